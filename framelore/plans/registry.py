@@ -1,7 +1,466 @@
-"""All queries of the engine by name, and their SQL."""
+"""All queries of the engine by name, and their SQL where SQL can express them.
+
+The driver's tables are no videos: these queries check the operators' arithmetic; tests/ holds the scenarios.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from framelore.functions import geometry as G
+from framelore.functions import text as X
+from framelore.operators import detections as D
+from framelore.operators import graph, media, motion, relations, sampling, tracking
+from framelore.plans import fixtures as fx
+from framelore.plans.fixtures import DET, OBS, PKT, SPANS
+
 FLAGSHIP = "w_motion_segments"
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _micro(sql: str) -> str:
+    return f"CAST(floor(({sql}) * 1e6 + 0.5) AS BIGINT)"
+
+
+# --- sources and media tables
+
+
+@query(f"""WITH {PKT}, r AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY pts, decode_idx) - 1 AS rank FROM pkt),
+d AS (SELECT video, max(decode_idx - rank) AS delay, min(pts) AS first, max(pts) FILTER (rank = 1) - min(pts) AS gap FROM r GROUP BY video)
+SELECT r.video, r.decode_idx, r.pts, CAST(coalesce(s.pts, first + (r.decode_idx - delay) * coalesce(gap, 1)) AS BIGINT) AS dts
+FROM r JOIN d USING (video) LEFT JOIN r s ON s.video = r.video AND s.rank = r.decode_idx - delay""")
+def s_synthesize_dts(spark, sf_dir):
+    return media.synthesize_dts(fx.packets(spark, sf_dir))
+
+
+@query(f"WITH {PKT} SELECT video, decode_idx, pts FROM pkt WHERE key")
+def s_key_frames(spark, sf_dir):
+    return fx.packets(spark, sf_dir).where("key").select("video", "decode_idx", "pts")
+
+
+@query(f"WITH {PKT} SELECT video, row_number() OVER (PARTITION BY video ORDER BY pts, decode_idx) - 1 AS frame_id, pts, {_micro('pts * (1.0::DOUBLE / 30000)')} AS micro_sec FROM pkt")
+def s_display_frames(spark, sf_dir):
+    return media.display_frames(fx.packets(spark, sf_dir), 1 / 30000).select("video", "frame_id", "pts", G.micro(F.col("time_sec")).alias("micro_sec"))
+
+
+@query("""SELECT o_orderkey, o_orderkey * 1001 AS pts, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderkey * 1000 END AS dts, 1001::BIGINT AS duration, o_custkey AS size, NULL::BIGINT AS pos, o_orderkey % 5 = 0 AS key FROM orders""")
+def s_parse_packets(spark, sf_dir):
+    line = F.expr("concat('pts=', o_orderkey * 1001, '|dts=', if(o_orderkey % 7 = 0, 'N/A', cast(o_orderkey * 1000 as string)), '|duration=1001|size=', o_custkey, '|flags=', if(o_orderkey % 5 = 0, 'K__', '___'))")
+    return media.parse_packets(_table(spark, sf_dir, "orders").select("o_orderkey", line.alias("line")))
+
+
+_SECTIONS = "SELECT CAST(o_custkey % 50 AS VARCHAR) AS path, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) - 1 AS idx, CAST(1 + o_orderkey % 3 AS INT) AS type, CAST(o_orderkey % 4 AS INT) AS layer, CASE WHEN o_orderkey % 11 = 0 THEN 0 ELSE o_orderkey % 1000 END AS start, CASE WHEN o_orderkey % 11 = 0 THEN 0 ELSE o_orderkey % 1000 + 50 END AS \"end\" FROM orders"
+
+
+def _sections(spark, sf_dir):
+    rows = _table(spark, sf_dir, "orders").selectExpr("cast(o_custkey % 50 as string) as path", "o_orderkey")
+    place = F.row_number().over(Window.partitionBy("path").orderBy("o_orderkey")) - 1
+    return rows.withColumn("idx", place).selectExpr("path", "cast(idx as bigint) as idx", "cast(1 + o_orderkey % 3 as int) as type", "cast(o_orderkey % 4 as int) as layer", "if(o_orderkey % 11 = 0, 0L, o_orderkey % 1000) as start", "if(o_orderkey % 11 = 0, 0L, o_orderkey % 1000 + 50) as `end`")
+
+
+@query(f"WITH s AS ({_SECTIONS}) SELECT path, min(idx) AS idx FROM s WHERE type = 2 AND layer = 1 GROUP BY path")
+def s_find_section(spark, sf_dir):
+    return media.find_section(_sections(spark, sf_dir), 2, 1)
+
+
+@query(f"""WITH s AS ({_SECTIONS}), h AS (SELECT * FROM s WHERE type = 2 AND layer = 1 AND ((start = 0 AND "end" = 0) OR (start <= 250 AND "end" >= 120)))
+SELECT path, idx, type, layer, start, "end", CAST(row_number() OVER (PARTITION BY path ORDER BY start, idx) AS INT) AS place FROM h""")
+def s_find_range(spark, sf_dir):
+    return media.find_range(_sections(spark, sf_dir), 2, 1, 120, 250)
+
+
+@query(f"""WITH {PKT}, d AS (SELECT video, decode_idx, lead(decode_idx * 1001 + decode_idx // 9 * 7) OVER w - (decode_idx * 1001 + decode_idx // 9 * 7) AS d0 FROM pkt WINDOW w AS (PARTITION BY video ORDER BY decode_idx)),
+e AS (SELECT video, decode_idx, coalesce(d0, lag(d0) OVER w, 0) AS d FROM d WINDOW w AS (PARTITION BY video ORDER BY decode_idx)),
+f AS (SELECT video, decode_idx, d, CASE WHEN d = lag(d) OVER w THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY video ORDER BY decode_idx)),
+g AS (SELECT video, d, CAST(sum(fresh) OVER (PARTITION BY video ORDER BY decode_idx) AS BIGINT) AS run FROM f)
+SELECT video, run, count(*) AS frames, max(d) AS duration FROM g GROUP BY video, run""")
+def w_duration_runs(spark, sf_dir):
+    return media.duration_runs(fx.packets(spark, sf_dir).withColumn("dts", F.expr("decode_idx * 1001 + decode_idx div 9 * 7")))
+
+
+@query(f"WITH {PKT} SELECT video, min(pts) AS first_pts, max(pts) AS last_pts, max(pts + dur) AS end_pts, CAST(count(*) FILTER (key) AS BIGINT) AS keys, CAST(sum(size) AS BIGINT) AS bytes, count(*) AS frames FROM pkt GROUP BY video")
+def a_pixel_summary(spark, sf_dir):
+    return media.pixel_summary(fx.packets(spark, sf_dir))
+
+
+@query(f"""WITH {PKT}, probes AS (SELECT o_orderkey % 40 AS video, o_orderkey AS probe, o_custkey * 37 - 5000 AS t FROM orders)
+SELECT p.video, p.probe, p.t, coalesce(max_by(k.decode_idx, (k.pts, k.decode_idx)), 0) AS decode_idx FROM probes p LEFT JOIN pkt k ON k.video = p.video AND k.pts <= p.t GROUP BY ALL""")
+def j_frame_at(spark, sf_dir):
+    probes = _table(spark, sf_dir, "orders").selectExpr("o_orderkey % 40 as video", "o_orderkey as probe", "o_custkey * 37 - 5000 as t")
+    return media.frame_at(fx.packets(spark, sf_dir), probes)
+
+
+@query(f"WITH {PKT} SELECT video, decode_idx, decode_idx // 12 * 12 AS seek FROM pkt")
+def j_seek_key(spark, sf_dir):
+    return media.seek_key(fx.packets(spark, sf_dir)).select("video", "decode_idx", "seek")
+
+
+@query("SELECT o_orderpriority AS stage, count(*) AS runs, CAST(floor(avg(o_custkey) * 1e6 + 0.5) AS BIGINT) AS wall, CAST(sum(o_orderkey) AS BIGINT) AS bytes_in, CAST(sum(o_custkey) AS BIGINT) AS bytes_out FROM orders GROUP BY 1")
+def a_stage_costs(spark, sf_dir):
+    log = _table(spark, sf_dir, "orders").selectExpr("o_orderpriority as stage", "cast(o_custkey as double) as wall_ms", "o_orderkey as bytes_in", "o_custkey as bytes_out")
+    return media.stage_costs(log).select("stage", "runs", G.micro(F.col("wall_ms")).alias("wall"), "bytes_in", "bytes_out")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size * 3 > p_partkey % 100 THEN CAST(ceil(CAST(p_partkey AS DOUBLE) / (p_size * 3 - p_partkey % 100)) AS BIGINT) END AS break_even FROM part")
+def q_break_even(spark, sf_dir):
+    costs = _table(spark, sf_dir, "part").selectExpr("p_partkey", "p_partkey as encode", "p_partkey % 100 as query", "p_size * 3 as baseline")
+    return media.break_even(costs).select("p_partkey", "break_even")
+
+
+@query("SELECT l_orderkey, l_linenumber, p AND q AS copy, CAST(CASE WHEN l_linenumber = 1 THEN 12800 ELSE 90000 END AS INT) AS timescale FROM (SELECT *, l_returnflag = 'A' AS p, l_linestatus = 'F' AS q FROM lineitem)")
+def p_pixel_mode(spark, sf_dir):
+    rows = _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "if(l_returnflag = 'A', 'h264', 'hevc') as codec", "if(l_linestatus = 'F', 'yuv420p', 'yuv444p') as pix")
+    copy, scale = media.choose_mode(F.col("codec"), F.col("pix"), F.col("l_linenumber"), F.lit(12800))
+    return rows.select("l_orderkey", "l_linenumber", copy.alias("copy"), scale.alias("timescale"))
+
+
+# --- filters and scalar functions
+
+
+@query(f"WITH {DET} SELECT video, frame_id, det_idx, class FROM det WHERE conf >= 0.6 AND w * h > 0")
+def p_usable_detections(spark, sf_dir):
+    return D.usable(fx.detections(spark, sf_dir), 0.6).select("video", "frame_id", "det_idx", "class")
+
+
+@query(f"""WITH {DET}, r AS (SELECT video, frame_id, det_idx, row_number() OVER (PARTITION BY video, frame_id ORDER BY conf DESC, det_idx) AS place FROM det WHERE conf >= 0.35 AND class IN ('click', 'view', 'purchase'))
+SELECT video, frame_id, det_idx, CAST(place AS INT) AS place FROM r WHERE place <= 2""")
+def p_limited_detections(spark, sf_dir):
+    return D.limited(fx.detections(spark, sf_dir), ["click", "view", "purchase"], most=2).select("video", "frame_id", "det_idx", "place")
+
+
+@query("""WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '  ' || substr(text, 1, CAST(turn % 4 AS INT)) || ' ' ELSE text END AS raw FROM conversations)
+SELECT conv_id, turn, trim(raw, ' ' || chr(9) || chr(10)) AS text FROM t WHERE length(trim(raw, ' ' || chr(9) || chr(10))) >= 2""")
+def p_usable_lines(spark, sf_dir):
+    raw = F.expr("if(turn % 3 = 0, concat('  ', substr(text, 1, cast(turn % 4 as int)), ' '), text)")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", raw.alias("text"), F.lit(0.9).alias("conf"), G.box(F.lit(0.1), F.lit(0.1), F.lit(0.5), F.lit(0.1)).alias("box"))
+    return D.usable_lines(rows).select("conv_id", "turn", "text")
+
+
+@query(f"WITH {DET} SELECT det_idx, x <= 0.05 OR x + w >= 0.95 AS lr, x <= 0.1 OR x + w >= 0.9 OR y <= 0.1 OR y + h >= 0.9 AS all_sides, x + w <= 1.0001 AND y + h <= 1.0001 AS valid FROM det")
+def p_boxes(spark, sf_dir):
+    b = F.col("box")
+    return fx.detections(spark, sf_dir).select("det_idx", G.at_edge(b).alias("lr"), G.at_edge(b, 0.1, "lrtb").alias("all_sides"), G.valid(b).alias("valid"))
+
+
+@query("SELECT p_partkey, p_brand IN ('Brand#1', 'book', 'cup') OR p_size % 4 = 0 AS holdable FROM part")
+def p_class_list(spark, sf_dir):
+    rows = _table(spark, sf_dir, "part").selectExpr("p_partkey", "if(p_size % 4 = 0, 'cup', p_brand) as class")
+    return rows.select("p_partkey", (F.col("class").isin([*D.HOLDABLE, "Brand#1"])).alias("holdable"))
+
+
+@query("SELECT c_custkey, replace(lower(trim(c_mktsegment)), ' ', '_') || '_' || CASE WHEN c_custkey % 120 < 10 THEN '0' ELSE '' END || (c_custkey % 120) AS label FROM customer")
+def p_labels(spark, sf_dir):
+    return _table(spark, sf_dir, "customer").select("c_custkey", X.label(F.col("c_mktsegment"), F.col("c_custkey") % 120).alias("label"))
+
+
+@query(f"""WITH {DET}, p AS (SELECT a.det_idx AS a, b.det_idx AS b, a.x AS ax, a.y AS ay, a.w AS aw, a.h AS ah, b.x AS bx, b.y AS bby, b.w AS bw, b.h AS bh FROM det a JOIN det b ON b.det_idx = a.det_idx + 7),
+i AS (SELECT *, greatest(0, least(ax + aw, bx + bw) - greatest(ax, bx)) * greatest(0, least(ay + ah, bby + bh) - greatest(ay, bby)) AS inter FROM p)
+SELECT a, b, {_micro('aw * ah')} AS area, {_micro('sqrt(aw * aw + ah * ah)')} AS diag, {_micro('inter')} AS inter, {_micro('inter / (aw * ah + bw * bh - inter)')} AS iou,
+ {_micro('sqrt((ax + aw / 2 - (bx + bw / 2)) * (ax + aw / 2 - (bx + bw / 2)) + (ay + ah / 2 - (bby + bh / 2)) * (ay + ah / 2 - (bby + bh / 2)))')} AS apart,
+ {_micro('greatest(ax + aw, bx + bw) - least(ax, bx)')} AS union_w, {_micro('greatest(abs(ax - bx), abs(ay - bby), abs(aw - bw), abs(ah - bh))')} AS change FROM i""")
+def f_geometry(spark, sf_dir):
+    rows = fx.detections(spark, sf_dir)
+    both = rows.select(F.col("det_idx").alias("a"), F.col("box").alias("p")).join(rows.select(F.col("det_idx").alias("b"), F.col("box").alias("q")), F.col("b") == F.col("a") + 7)
+    p, q = F.col("p"), F.col("q")
+    values = {"area": G.area(p), "diag": G.diag(p), "inter": G.intersection(p, q), "iou": G.iou(p, q), "apart": G.center_distance(p, q), "union_w": G.union(p, q)["w"], "change": G.change(p, q)}
+    return both.select("a", "b", *[G.micro(v).alias(k) for k, v in values.items()])
+
+
+@query("SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{Nd}\\s]', '', 'g'), '\\s+', ' ', 'g')) AS text FROM conversations")
+def f_normalize(spark, sf_dir):
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", X.normalize(F.col("text")).alias("text"))
+
+
+@query(f"""WITH n AS (SELECT p_partkey AS k, trim(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')) AS t FROM part)
+SELECT a.k, {_micro('1 - levenshtein(a.t, b.t)::DOUBLE / greatest(length(a.t), length(b.t))')} AS similarity FROM n a JOIN n b ON b.k = a.k + 1""")
+def f_similarity(spark, sf_dir):
+    rows = _table(spark, sf_dir, "part")
+    both = rows.selectExpr("p_partkey as k", "p_name as a").join(rows.selectExpr("p_partkey - 1 as k", "p_name as b"), "k")
+    return both.select("k", G.micro(X.similarity(F.col("a"), F.col("b"))).alias("similarity"))
+
+
+@query("SELECT event_id, CAST(floor(((event_id - 5000) * 90000 * 2 + 1001) / (1001 * 2.0)) AS BIGINT) AS up, CAST(sign(event_id - 5000) * floor((abs(event_id - 5000) * 90000 * 2 + 1001) / (1001 * 2.0)) AS BIGINT) AS even FROM events")
+def f_rescale(spark, sf_dir):
+    t, a, b = F.col("event_id") - 5000, F.lit(1001).cast("long"), F.lit(90000).cast("long")
+    return _table(spark, sf_dir, "events").select("event_id", X.rescale(t, a, b).alias("up"), X.rescale(t, a, b, True).alias("even"))
+
+
+@query("""WITH s AS (SELECT doc_id, doc_id % 7 AS a, doc_id % 11 AS b, doc_id % 13 AS c, lag(doc_id) OVER (ORDER BY doc_id) AS p FROM documents)
+SELECT doc_id, abs(a - p % 7) + abs(b - p % 11) + abs(c - p % 13) AS hist2, abs(a - p % 7) + abs(b - p % 11) + abs(c - p % 13) AS l1 FROM s WHERE p IS NOT NULL""")
+def f_signature_scores(spark, sf_dir):
+    rows = _table(spark, sf_dir, "documents").selectExpr("0L as video", "doc_id as frame_id", "cast(doc_id as double) as time_sec", "cast(array(doc_id % 7, doc_id % 11, doc_id % 13, 5) as array<double>) as hist", "cast(array(doc_id % 7, doc_id % 11, doc_id % 13, 5) as array<double>) as thumb")
+    out = sampling.signature_scores(rows).where("hist_score is not null")
+    return out.select(F.col("frame_id").alias("doc_id"), F.round(F.col("hist_score") * 2).cast("long").alias("hist2"), F.round(F.col("mad_score") * 4 * 255).cast("long").alias("l1"))
+
+
+# --- tracks and motion
+
+
+@query(f"""WITH {OBS}, m AS (SELECT video, track, count(*) AS hits, min(frame_id) AS first, max(frame_id) AS last, arg_max(obs_idx, (milli_conf, -obs_idx)) AS best_idx, max(milli_conf) AS best FROM obs GROUP BY video, track)
+SELECT video, track, hits, first, last, last - first AS duration, best_idx, best FROM m WHERE hits >= 2""")
+def a_lifetimes(spark, sf_dir):
+    out = D.lifetimes(fx.observations(spark, sf_dir))
+    return out.select("video", "track", "hits", F.col("first_sec").cast("long").alias("first"), F.col("last_sec").cast("long").alias("last"), F.col("duration").cast("long").alias("duration"), F.col("best_idx").cast("long").alias("best_idx"), F.round(F.col("best_conf") * 100).cast("long").alias("best"))
+
+
+@query(f"""WITH {OBS}, t AS (SELECT video, track, class, frame_id, x FROM obs WHERE obs_idx = 0), n AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY frame_id, class, x, track) AS entity_id, row_number() OVER (PARTITION BY video, class ORDER BY frame_id, class, x, track) AS seq FROM t)
+SELECT video, track, CAST(entity_id AS INT) AS entity_id, CAST(seq AS INT) AS seq, lower(class) || '_' || lpad(CAST(seq AS VARCHAR), CAST(greatest(2, length(CAST(seq AS VARCHAR))) AS INT), '0') AS name FROM n""")
+def a_entity_numbers(spark, sf_dir):
+    first = fx.observations(spark, sf_dir).where("obs_idx = 0").selectExpr("video", "track", "class", "time_sec as first_sec", "box.x as first_x")
+    return D.numbered_entities(first).select("video", "track", "entity_id", "seq", "name")
+
+
+@query(f"""WITH {OBS}, v AS (SELECT video, track, class AS text, sum(milli_conf) AS weight, count(*) AS n, arg_max(obs_idx, (milli_conf, -obs_idx)) AS best_idx FROM obs GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY video, track ORDER BY weight DESC, strlen(text) DESC, text) AS place FROM v)
+SELECT video, track, text, CAST(weight AS BIGINT) AS weight, n, best_idx, {_micro('CAST(weight AS DOUBLE) / n')} AS mean FROM r WHERE place = 1""")
+def a_text_consensus(spark, sf_dir):
+    rows = fx.observations(spark, sf_dir).selectExpr("video", "track", "cast(obs_idx as bigint) as obs_idx", "class as text", "milli_conf as conf")
+    return D.consensus(rows).select("video", "track", "text", "weight", "n", "best_idx", G.micro(F.col("mean_conf")).alias("mean"))
+
+
+_STEPS = OBS + """, s0 AS (SELECT video, track, obs_idx, time_sec, lead(time_sec) OVER o AS next_sec, sqrt((x + w / 2 - (lead(x) OVER o + lead(w) OVER o / 2)) * (x + w / 2 - (lead(x) OVER o + lead(w) OVER o / 2)) + (y + h / 2 - (lead(y) OVER o + lead(h) OVER o / 2)) * (y + h / 2 - (lead(y) OVER o + lead(h) OVER o / 2))) AS dist,
+ greatest(lead(time_sec) OVER o - time_sec, 0.001::DOUBLE) AS dt, (h + lead(h) OVER o) / 2 AS ref FROM obs WINDOW o AS (PARTITION BY video, track ORDER BY obs_idx)),
+s AS (SELECT *, sum(dist) OVER n / sum(dt) OVER n / avg(ref) OVER n AS speed FROM s0 WHERE next_sec IS NOT NULL WINDOW n AS (PARTITION BY video, track ORDER BY obs_idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING))"""
+_SEGMENTS = _STEPS + """, g AS (SELECT *, coalesce(last_value(CASE WHEN speed >= 0.30 THEN true WHEN speed < 0.15 THEN false END IGNORE NULLS) OVER (PARTITION BY video, track ORDER BY obs_idx ROWS UNBOUNDED PRECEDING), false) AS moving FROM s),
+c AS (SELECT *, CASE WHEN moving <> lag(moving) OVER (PARTITION BY video, track ORDER BY obs_idx) THEN 1 ELSE 0 END AS turn FROM g),
+e AS (SELECT *, CAST(sum(turn) OVER (PARTITION BY video, track ORDER BY obs_idx) AS BIGINT) AS segment FROM c)"""
+
+
+@query(f"WITH {_STEPS} SELECT video, track, obs_idx, {_micro('dist')} AS dist, {_micro('dt')} AS dt, {_micro('speed')} AS speed FROM s")
+def w_motion_steps(spark, sf_dir):
+    out = motion.steps(fx.observations(spark, sf_dir))
+    return out.select("video", "track", F.col("obs_idx").cast("long").alias("obs_idx"), *[G.micro(F.col(c)).alias(c) for c in ("dist", "dt", "speed")])
+
+
+@query(f"WITH {_SEGMENTS} SELECT video, track, segment, moving, min(obs_idx) AS start_idx, max(obs_idx) + 1 AS end_idx, CAST(min(time_sec) AS BIGINT) AS start_sec, CAST(max(next_sec) AS BIGINT) AS end_sec FROM e GROUP BY video, track, segment, moving")
+def w_motion_segments(spark, sf_dir):
+    out = motion.raw_segments(motion.steps(fx.observations(spark, sf_dir)))
+    return out.select("video", "track", "segment", "moving", *[F.col(c).cast("long").alias(c) for c in ("start_idx", "end_idx", "start_sec", "end_sec")])
+
+
+@query()
+def r_actions(spark, sf_dir):
+    return motion.actions(fx.observations(spark, sf_dir), min_seconds=3.0)
+
+
+# --- relations
+
+
+_PAIRS = DET + ", sub AS (SELECT * FROM det WHERE class IN ('click', 'view')), one AS (SELECT video, frame_id, track, class, x, y, w, h, time_sec FROM det QUALIFY row_number() OVER (PARTITION BY video, frame_id, track ORDER BY det_idx) = 1), pr AS (SELECT a.video, a.frame_id, a.time_sec, a.track AS s, b.track AS o, a.x AS ax, a.y AS ay, a.w AS aw, a.h AS ah, b.x AS bx, b.y AS bby, b.w AS bw, b.h AS bh FROM one a JOIN one b USING (video, frame_id) WHERE a.class IN ('click', 'view') AND a.track <> b.track AND (b.class NOT IN ('click', 'view') OR a.track < b.track))"
+
+
+def _sightings(spark, sf_dir):
+    rows = fx.detections(spark, sf_dir)
+    place = F.row_number().over(Window.partitionBy("video", "frame_id", "track").orderBy("det_idx"))
+    return rows.withColumn("place", place).where("place = 1").drop("place")
+
+
+@query(f"""WITH {_PAIRS}, d AS (SELECT video, time_sec, s, o, sqrt((ax + aw / 2 - (bx + bw / 2)) * (ax + aw / 2 - (bx + bw / 2)) + (ay + ah / 2 - (bby + bh / 2)) * (ay + ah / 2 - (bby + bh / 2))) / (sqrt(aw * aw + ah * ah) / 2 + sqrt(bw * bw + bh * bh) / 2) AS d FROM pr),
+k AS (SELECT *, {_micro('greatest(0, 1 - d / 1.4)')} AS score FROM d WHERE d <= 1.4), fr AS (SELECT video, time_sec, lag(time_sec) OVER (PARTITION BY video ORDER BY time_sec) AS prev_sec FROM (SELECT DISTINCT video, time_sec FROM one)),
+i AS (SELECT k.*, CASE WHEN prev_sec - lag(k.time_sec) OVER w > 30 THEN 1 WHEN lag(k.time_sec) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM k JOIN fr USING (video, time_sec) WINDOW w AS (PARTITION BY video, s, o ORDER BY k.time_sec)),
+j AS (SELECT *, sum(fresh) OVER (PARTITION BY video, s, o ORDER BY time_sec) AS island FROM i), l AS (SELECT *, max(CASE WHEN d <= 1.0 THEN 1 ELSE 0 END) OVER (PARTITION BY video, s, o, island ORDER BY time_sec ROWS UNBOUNDED PRECEDING) AS is_on FROM j),
+m AS (SELECT video, s AS subject, o AS object, count(*) AS hits, CAST(min(time_sec) AS BIGINT) AS start_sec, CAST(max(time_sec) AS BIGINT) AS end_sec, CAST(sum(score) AS BIGINT) AS score_sum FROM l WHERE is_on = 1 GROUP BY video, s, o, island HAVING count(*) >= 2)
+SELECT *, CAST(row_number() OVER (PARTITION BY video ORDER BY start_sec, subject, object) AS INT) AS relation_id FROM m""")
+def w_near_relations(spark, sf_dir):
+    rows = _sightings(spark, sf_dir)
+    out = relations.islands(relations.near(relations.pairs(rows, ["click", "view"])), rows, gap=30.0)
+    return out.select("video", "subject", "object", "hits", F.col("start_sec").cast("long").alias("start_sec"), F.col("end_sec").cast("long").alias("end_sec"), "score_sum", "relation_id")
+
+
+@query(f"""WITH {_PAIRS}, k AS (SELECT video, time_sec, s, o, greatest(0, least(ax + aw, bx + bw) - greatest(ax, bx)) * greatest(0, least(ay + ah, bby + bh) - greatest(ay, bby)) / (bw * bh) AS sc, aw * ah AS aa, bw * bh AS ba FROM pr)
+SELECT video, CAST(time_sec AS BIGINT) AS time_sec, s AS subject, o AS object, sc >= 0.3 AS keep, sc >= 0.5 AS enter, {_micro('sc')} AS score FROM k WHERE ba / aa <= 0.9""")
+def r_holding(spark, sf_dir):
+    paired = relations.pairs(_sightings(spark, sf_dir), ["click", "view"]).withColumn("subject_class", F.lit("person")).withColumn("object_class", F.lit("cup"))
+    return relations.holding(paired, area=0.9).select("video", F.col("time_sec").cast("long").alias("time_sec"), "subject", "object", "keep", "enter", "score")
+
+
+# --- events, shots, graph queries
+
+
+@query(f"""WITH {OBS}, t AS (SELECT video, track, arg_min(class, obs_idx) AS class, min(time_sec) AS f, max(time_sec) AS l, arg_min(x, obs_idx) AS fx, arg_min(w, obs_idx) AS fw, arg_max(x, obs_idx) AS lx, arg_max(w, obs_idx) AS lw FROM obs GROUP BY video, track),
+st AS (SELECT video, min(time_sec) AS a, max(time_sec) AS b FROM det GROUP BY video)
+SELECT video, track, class || CASE WHEN fx <= 0.05 OR fx + fw >= 0.95 THEN '_entered' ELSE '_appeared' END AS type, CAST(f AS BIGINT) AS sec FROM t JOIN st USING (video) WHERE f - a > 2
+UNION ALL SELECT video, track, class || CASE WHEN lx <= 0.05 OR lx + lw >= 0.95 THEN '_left' ELSE '_disappeared' END, CAST(l AS BIGINT) FROM t JOIN st USING (video) WHERE b - l > 2""")
+def r_edge_events(spark, sf_dir):
+    obs = fx.observations(spark, sf_dir)
+    ends = obs.groupBy("video", "track").agg(F.min_by("class", "obs_idx").alias("class"), F.min("time_sec").alias("first_sec"), F.max("time_sec").alias("last_sec"), F.min_by("box", "obs_idx").alias("first_box"), F.max_by("box", "obs_idx").alias("last_box"))
+    streams = obs.groupBy("video").agg(F.min("time_sec").alias("start_sec"), F.max("time_sec").alias("end_sec"))
+    return graph.edge_events(ends, streams).select("video", "track", "type", F.col("sec").cast("long").alias("sec"))
+
+
+def _frames(spark, sf_dir):
+    rows = fx.detections(spark, sf_dir).select("video", "frame_id").distinct()
+    return rows.selectExpr("video", "frame_id", "frame_id * 1000 as ticks", "cast(frame_id as double) as time_sec", "if(frame_id % 50 = 7, 'scene', 'interval') as reason")
+
+
+_FRAMES = DET + ", fr AS (SELECT DISTINCT video, frame_id, frame_id * 1000 AS ticks, CASE WHEN frame_id % 50 = 7 THEN 'scene' ELSE 'interval' END AS reason FROM det)"
+
+
+@query(f"""WITH {_FRAMES}, f AS (SELECT *, min(ticks) OVER (PARTITION BY video) AS first, max(ticks) OVER (PARTITION BY video) + 1000 AS fin FROM fr), s AS (SELECT * FROM f WHERE ticks = first OR (reason = 'scene' AND ticks > first)),
+n AS (SELECT video, CAST(row_number() OVER w AS INT) AS shot, ticks AS start, coalesce(lead(ticks) OVER w, fin) AS "end", frame_id FROM s WINDOW w AS (PARTITION BY video ORDER BY ticks))
+SELECT *, 'shot_' || lpad(CAST(shot AS VARCHAR), CAST(greatest(2, length(CAST(shot AS VARCHAR))) AS INT), '0') AS label FROM n""")
+def w_shots(spark, sf_dir):
+    frames = _frames(spark, sf_dir)
+    return graph.shots(frames, frames.groupBy("video").agg((F.max("ticks") + 1000).alias("end_ticks")))
+
+
+@query(f"WITH {_FRAMES} SELECT video, 'scene_changed' AS type, ticks AS start, ticks AS \"end\", frame_id FROM fr WHERE reason = 'scene'")
+def r_scene_events(spark, sf_dir):
+    return graph.scene_events(_frames(spark, sf_dir))
+
+
+@query(f"""WITH {SPANS}, p AS (SELECT o_orderkey % 8 AS video, o_orderkey AS probe, o_custkey % 2000 AS t FROM orders) SELECT p.video, probe, t, id FROM p JOIN spans s ON s.video = p.video AND s.start <= t AND t <= s."end" """)
+def j_active_at(spark, sf_dir):
+    probes = _table(spark, sf_dir, "orders").selectExpr("o_orderkey % 8 as video", "o_orderkey as probe", "o_custkey % 2000 as t")
+    return graph.active_at(fx.spans(spark, sf_dir), probes, 64).select("video", "probe", "t", "id")
+
+
+_SETS = SPANS + """, pts AS (SELECT video, start AS t FROM spans UNION SELECT video, "end" + 1 FROM spans), st AS (SELECT video, t AS t0, lead(t) OVER (PARTITION BY video ORDER BY t) AS t1 FROM pts),
+a AS (SELECT st.video, t0, t1, coalesce(string_agg(CAST(id AS VARCHAR), ',' ORDER BY id), '') AS ids FROM st LEFT JOIN spans s ON s.video = st.video AND s.start <= t0 AND t0 <= s."end" WHERE t1 IS NOT NULL GROUP BY ALL)"""
+
+
+@query(f"WITH {_SETS} SELECT * FROM a")
+def a_active_sets(spark, sf_dir):
+    return graph.active_sets(fx.spans(spark, sf_dir)).select("video", "t0", "t1", F.concat_ws(",", "ids").alias("ids"))
+
+
+@query(f"WITH {_SETS} SELECT * FROM a WHERE ids <> ''")
+def j_rebuilt_states(spark, sf_dir):
+    blocks = graph.state_blocks(graph.active_sets(fx.spans(spark, sf_dir)), 100)
+    return graph.rebuilt_sets(blocks).select("video", "t0", "t1", F.concat_ws(",", "ids").alias("ids"))
+
+
+@query()
+def t_state_blocks(spark, sf_dir):
+    return graph.state_blocks(graph.active_sets(fx.spans(spark, sf_dir)), 100)
+
+
+@query(f"""WITH {SPANS}, ev AS (SELECT user_id % 8 AS video, event_id AS t, event_type AS type, user_id AS e1, (user_id + 8) AS e2 FROM events), rel AS (SELECT video, id AS subject, id + 8 AS object, start, "end", 'near' AS name FROM spans),
+u AS (SELECT video, id AS entity, 'appears' AS kind, 0 AS rank, start, start AS "end", 'appears' AS label, NULL::BIGINT AS other FROM spans UNION ALL SELECT video, id, 'leaves', 4, "end", "end", 'leaves', NULL FROM spans
+UNION ALL SELECT video, e1, 'event', 1, t, t, type, NULL FROM ev UNION ALL SELECT video, e2, 'event', 1, t, t, type, NULL FROM ev UNION ALL SELECT video, id, 'action', 2, start, "end", 'standing', NULL FROM spans
+UNION ALL SELECT video, subject, 'relation', 3, start, "end", name, object FROM rel UNION ALL SELECT video, object, 'relation', 3, start, "end", 'inverse ' || name, subject FROM rel)
+SELECT video, entity, kind, start, "end", label, other, CAST(row_number() OVER (PARTITION BY video, entity ORDER BY start, rank, label, other NULLS FIRST, "end") AS INT) AS place FROM u""")
+def u_timeline(spark, sf_dir):
+    spans = fx.spans(spark, sf_dir)
+    lives = spans.selectExpr("video", "id as entity", "start as first", "`end` as last")
+    events = _table(spark, sf_dir, "events").selectExpr("user_id % 8 as video", "event_id as start", "event_id as `end`", "event_type as type", "array(user_id, user_id + 8, user_id) as entities")
+    acts = spans.selectExpr("video", "id as entity", "start", "`end`", "'standing' as name")
+    rels = spans.selectExpr("video", "id as subject", "id + 8 as object", "start", "`end`", "'near' as name")
+    return graph.timeline(lives, events, acts, rels)
+
+
+@query("SELECT o_orderkey AS block, o_custkey AS id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)")
+def j_dangling_references(spark, sf_dir):
+    refs = _table(spark, sf_dir, "orders").selectExpr("0L as video", "o_orderkey as block", "o_custkey as id")
+    known = _table(spark, sf_dir, "customer").where("c_acctbal >= 0").selectExpr("0L as video", "c_custkey as id")
+    return graph.dangling(refs, known).select("block", "id")
+
+
+@query(f"WITH {DET} SELECT class, CAST(layer AS INT) AS layer, count(*) AS blocks FROM (SELECT class, CASE class WHEN 'click' THEN 2 WHEN 'view' THEN 0 ELSE 1 END AS layer FROM det) GROUP BY ALL")
+def u_layers(spark, sf_dir):
+    from framelore.operators import document
+
+    kinds = {"click": "text", "view": "entity"}
+    rows = fx.detections(spark, sf_dir).withColumn("block", F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in kinds.items() for x in p]), F.col("class")), F.lit("event")))
+    return document.with_layer(rows, F.col("block")).groupBy("class", "layer").agg(F.count(F.lit(1)).alias("blocks"))
+
+
+@query(f"""WITH {DET} SELECT det_idx, rule FROM (SELECT det_idx, CASE WHEN x + w > 1.0001 OR y + h > 1.0001 THEN 'box' END AS rule FROM det UNION ALL SELECT det_idx, CASE WHEN conf > 0.95 THEN 'confidence' END FROM det UNION ALL SELECT det_idx, CASE WHEN frame_id % 97 > 90 THEN 'times' END FROM det UNION ALL SELECT det_idx, CASE WHEN det_idx % 41 = 0 THEN 'empty name' END FROM det) WHERE rule IS NOT NULL""")
+def p_violations(spark, sf_dir):
+    from framelore.operators import document
+
+    rows = fx.detections(spark, sf_dir).selectExpr("det_idx", "if(det_idx % 41 = 0, ' ', class) as name", "box", "if(conf > 0.95, conf + 1, conf) as confidence", "frame_id as start", "if(frame_id % 97 > 90, frame_id - 1, frame_id) as `end`")
+    return document.violations(rows, "det_idx")
+
+
+# --- samplers
+
+
+@query(f"WITH {DET}, f AS (SELECT DISTINCT video, frame_id FROM det), n AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY frame_id) - 1 AS i FROM f) SELECT video, frame_id, CASE WHEN i = 0 THEN 'first' ELSE 'interval' END AS reason FROM n WHERE i % 30 = 0")
+def t_every_n(spark, sf_dir):
+    return sampling.every_n(_frames(spark, sf_dir).drop("reason")).select("video", "frame_id", "reason")
+
+
+@query(f"WITH {DET}, f AS (SELECT video, frame_id // 24 AS b, min(frame_id) AS frame_id FROM det GROUP BY ALL) SELECT video, frame_id, CASE WHEN row_number() OVER (PARTITION BY video ORDER BY b) = 1 THEN 'first' ELSE 'interval' END AS reason FROM f")
+def t_every_seconds(spark, sf_dir):
+    return sampling.every_seconds(_frames(spark, sf_dir).drop("reason"), 24.0).select("video", "frame_id", "reason")
+
+
+@query()
+def t_scene_changes(spark, sf_dir):
+    rows = _table(spark, sf_dir, "documents").selectExpr("doc_id % 16 as video", "doc_id as frame_id", "cast(doc_id as double) / 480 as time_sec", "array(cast(doc_id % 5 as double) / 4, 1 - cast(doc_id % 5 as double) / 4) as hist", "array(cast(doc_id % 64 as double)) as thumb")
+    return sampling.scene_changes(sampling.signature_scores(rows))
+
+
+# --- linking
+
+
+@query()
+def j_object_tracks(spark, sf_dir):
+    rows = fx.detections(spark, sf_dir)
+    return tracking.track_objects(rows, _frames(spark, sf_dir)).withColumn("box", F.to_json("box"))
+
+
+@query()
+def j_text_tracks(spark, sf_dir):
+    rows = _table(spark, sf_dir, "conversations").selectExpr("conv_id as video", "turn as frame_id", "cast(turn as double) as time_sec", "cast(0 as bigint) as line_idx", "role as text", "0.9D as conf", "named_struct('x', 0.1D, 'y', 0.1D, 'w', 0.5D, 'h', 0.1D) as box")
+    return tracking.track_text(rows).withColumn("box", F.to_json("box"))
+
+
+# --- planned point queries
+
+
+@query("""WITH t AS (SELECT doc_id AS id, unnest(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{Nd}\\s]', '', 'g'), '\\s+', ' ', 'g')), ' ')) AS token FROM documents), p AS (SELECT token, id, count(*) AS n FROM t WHERE token IN ('license', 'password', 'que') GROUP BY ALL)
+SELECT id, count(*) AS matched, CAST(sum(n) AS BIGINT) AS n FROM p GROUP BY id""")
+def q_search(spark, sf_dir):
+    index = graph.postings(_table(spark, sf_dir, "documents").selectExpr("doc_id as id", "text"))
+    return graph.search(index, ["license", "password", "que"])
+
+
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT a.vec_id AS query, b.vec_id AS match, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
+SELECT query, match, CAST(place AS INT) AS place FROM (SELECT query, match, row_number() OVER (PARTITION BY query ORDER BY c DESC, match) AS place FROM s) WHERE place <= 5""")
+def q_nearest_vectors(spark, sf_dir):
+    from framelore.operators import vectors
+
+    rows = _table(spark, sf_dir, "embeddings")
+    return vectors.nearest(rows.where("vec_id % 20 = 0"), rows, "vec_id", "embedding", 5)
+
+
+@query(f"""WITH {OBS}, d AS (SELECT video, track, obs_idx, frame_id - coalesce(lag(frame_id) OVER (PARTITION BY video, track ORDER BY obs_idx), 0) AS delta, CAST(floor(conf * 255 + 0.5) AS INT) AS conf8, CAST(dense_rank() OVER (ORDER BY class) - 1 AS INT) AS class_code FROM obs) SELECT * FROM d""")
+def q_compressed(spark, sf_dir):
+    from framelore.operators import document
+
+    rows = fx.observations(spark, sf_dir).withColumn("obs_idx", F.col("obs_idx").cast("long"))
+    return document.compressed(rows).select("video", "track", "obs_idx", "delta", "conf8", "class_code")
+
+
+@query(f"""WITH {DET}, f AS (SELECT * FROM det), g AS (SELECT * REPLACE (x + CAST(det_idx % 9 AS DOUBLE) / 100 AS x), det_idx AS truth_idx FROM det),
+h AS (SELECT f.class, f.det_idx, g.truth_idx, greatest(0, least(f.x + f.w, g.x + g.w) - greatest(f.x, g.x)) * greatest(0, least(f.y + f.h, g.y + g.h) - greatest(f.y, g.y)) AS i, f.w * f.h + g.w * g.h AS s FROM f JOIN g USING (video, frame_id, class)),
+m AS (SELECT class, count(DISTINCT det_idx) AS "right", count(DISTINCT truth_idx) AS met FROM h WHERE i / (s - i) >= 0.7 GROUP BY class)
+SELECT class, coalesce(a.n, 0) AS found, coalesce(b.n, 0) AS truth, coalesce("right", 0) AS "right", coalesce(met, 0) AS met FROM (SELECT class, count(*) AS n FROM f GROUP BY class) a FULL JOIN (SELECT class, count(*) AS n FROM g GROUP BY class) b USING (class) LEFT JOIN m USING (class)""")
+def q_precision_recall(spark, sf_dir):
+    rows = fx.detections(spark, sf_dir)
+    moved = F.expr("named_struct('x', box.x + cast(det_idx % 9 as double) / 100, 'y', box.y, 'w', box.w, 'h', box.h)")
+    truth = rows.withColumn("box", moved).withColumnRenamed("det_idx", "truth_idx")
+    return D.precision_recall(rows, truth, 0.7)
+
+
+@query(f"WITH {DET} SELECT class, count(*) AS detections, count(DISTINCT track) AS tracks, count(DISTINCT (video, frame_id)) AS frames FROM det GROUP BY class")
+def a_semantic_summary(spark, sf_dir):
+    return fx.detections(spark, sf_dir).groupBy("class").agg(F.count(F.lit(1)).alias("detections"), F.countDistinct("track").alias("tracks"), F.countDistinct("video", "frame_id").alias("frames"))
