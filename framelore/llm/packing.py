@@ -126,6 +126,27 @@ def best_pattern(value: np.ndarray, weight: np.ndarray, room: int) -> tuple[floa
     return float(best[room]), pattern
 
 
+def first_patterns(weight: np.ndarray, need: np.ndarray, room: int) -> np.ndarray:
+    """A basis to start from, a pattern in each column: the largest class that is left, filled up as well as can be by the knapsack, in
+    as many (also fractional) copies as use up one of its classes. A column has nothing of classes that were used up before it, so the
+    basis is triangular.
+    """
+    left, basis = need.copy(), np.diag(room // weight).astype(float)
+    while len(alive := np.flatnonzero(left > 0)):
+        column, rest = np.zeros(len(weight)), int(room - weight[alive[-1]])
+        column[alive[-1]] = 1
+        if rest >= weight[alive[0]]:
+            likely = 1 + 0.01 * left[alive] / left[alive].max()  # of equal fills, what is plentiful
+            column[alive] += best_pattern(weight[alive] * likely, weight[alive], rest)[1]
+        copies = np.where(column > 0, left / np.where(column > 0, column, 1), np.inf)
+        i = int(copies.argmin())
+        basis[:, i] = column
+        left = np.maximum(left - copies[i] * column, 0)
+        left[left < 1e-9] = 0
+        left[i] = 0
+    return basis
+
+
 def cutting_stock(demand: dict[int, int], room: int, rounds: int = 1500) -> list[tuple[dict[int, int], int]]:
     """(pattern {weight: how many}, copies) whose total never exceeds the demand and whose copies are full.
 
@@ -135,9 +156,9 @@ def cutting_stock(demand: dict[int, int], room: int, rounds: int = 1500) -> list
     if not len(weight):
         return []
     need = np.array([demand[w] for w in weight.tolist()], dtype=float)
-    patterns = np.diag(room // weight).astype(float)  # a column each
-    inverse = np.diag(1.0 / np.diag(patterns))
-    x = need / np.diag(patterns)
+    patterns = first_patterns(weight, need, room)
+    inverse = np.linalg.inv(patterns)
+    x = np.maximum(inverse @ need, 0)
     for _ in range(rounds):
         value, column = best_pattern(inverse.sum(axis=0), weight, room)
         if value <= 1 + 1e-7:
@@ -168,7 +189,7 @@ def cutting_stock(demand: dict[int, int], room: int, rounds: int = 1500) -> list
     return [({int(w): int(a) for w, a in zip(weight, used[:, k]) if a}, int(whole[k])) for k in np.flatnonzero(full & (whole > 0))]
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, step: int = 8, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, step: int = 4, end_id: int = END_ID) -> DataFrame:
     """Pieces (id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset) of every document of docs.
 
     width is a power of two. Each id of a document lies in one piece; a sequence holds at most width ids, its offsets have no
@@ -207,12 +228,9 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         if (total - tail) >> j & 1:
             ends.append(block)
             block += 1 << j
-    head = F.lit(None).cast("long")
-    for start in ends:
-        head = F.when(F.col("at") >= start, F.lit(start)).otherwise(head) if start == ends[0] else F.when(F.col("at") >= start, F.lit(start)).otherwise(head)
-    number = F.lit(None).cast("long")
+    head = number = F.lit(None).cast("long")
     for i, start in enumerate(ends):
-        number = F.when(F.col("at") >= start, F.lit(i)).otherwise(number)
+        head, number = (F.when(F.col("at") >= start, F.lit(v)).otherwise(c) for v, c in ((start, head), (i, number)))
     sizes = spark.createDataFrame([(j, base[j], 1 << j) for j in many], "j int, base long, length long")
     cut = cut.join(F.broadcast(sizes), "j").withColumn("at", at)
     scraps = cut.select(
