@@ -20,6 +20,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Hand texts to Python in batches of at most so many rows, so that a worker's memory does not hold thousands of long texts.
+
+    A session setting, as Spark has no other place for it; a smaller value that is set already stays.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and return the written table."""
     spark = df.sparkSession

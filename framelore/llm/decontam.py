@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import stored
+from ._store import small_batches, stored
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -93,11 +93,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     documents get a row each; an empty table on either side gives no rows or no hits.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     bench = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")).where("item is not null and text is not null").distinct()
     size = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("s"), F.max(F.octet_length("text")).alias("m")).first()
     parts = max(1, -(-size["s"] // max_bytes))
     keep = [id_col, *(keep or [])]
-    out = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(dict.fromkeys(keep))], F.col(text_col).cast("string").alias("t"))
+    held = f"k{list(dict.fromkeys(keep)).index(text_col)}" if text_col in keep else "t"  # a kept text goes to Python once
+    out = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(dict.fromkeys(keep))], *([F.col(text_col).cast("string").alias("t")] if held == "t" else []))
     kept = [f"k{i}" for i in range(len(set(keep)))]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema.fields)
     result = "n_words long, runs array<struct<start:long,end:long>>, items array<string>"
@@ -109,7 +111,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         def run(batches, shared=shared, again=p > 0):
             automaton = build(shared.value, window)
             for b in batches:
-                found = [scan(automaton, t) for t in b["t"]]
+                found = [scan(automaton, t) for t in b[held]]
                 runs, items = [f[1] for f in found], [sorted(f[2]) for f in found]
                 if again:
                     runs = [_merge([*r, *((x["start"], x["end"]) for x in old)]) for r, old in zip(runs, b["runs"])]
@@ -122,7 +124,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     def place(batches):
         for b in batches:
-            b["spans"] = [word_spans(t, [(x["start"], x["end"]) for x in r]) if len(r) else [] for t, r in zip(b["t"], b["runs"])]
+            b["spans"] = [word_spans(t, [(x["start"], x["end"]) for x in r]) if len(r) else [] for t, r in zip(b[held], b["runs"])]
             b["n_hit"] = [sum(x["end"] - x["start"] for x in r) for r in b["runs"]]
             yield b
 

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import small_batches
+
 DIMS = 8192
 _LETTER = re.compile(r"[^\W\d_]")
 _ASCII = bytes(c if 97 <= c <= 122 or c >= 0x80 else 32 for c in range(256))
@@ -112,6 +114,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     id counts as the empty string in the checksum, and its row is predicted like any other. Repeated rows get a row
     each; an empty table gives none.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.withColumn("held_out", F.expr("crc32(coalesce(cast(id as string), '')) % 3 = 1"))
     seen = rows.where("not held_out and lang is not null and t is not null")
@@ -123,6 +126,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     def count(batches):
         for b in batches:
             b = b[[bool(_LETTER.search(t)) for t in b["t"]]]
+            if not len(b):
+                continue
             x = [features(t).astype(np.float32) for t in b["t"]]
             yield pd.DataFrame({"lang": b["lang"], "at": [np.flatnonzero(v).astype(np.int32) for v in x], "v": [v[v > 0] for v in x]})
 

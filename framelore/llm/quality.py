@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import stored
+from ._store import small_batches, stored
 
 _WORD = re.compile(r"[^\W_]+")
 SHAPES = 12
@@ -87,7 +87,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_la
                 for words, toxic in zip(b["words"], b["toxic"]):
                     for w in words:
                         seen.setdefault(w, [0, 0])[toxic] += 1
-                yield pd.DataFrame([(w, a, t) for w, (a, t) in seen.items()], columns=["w", "a", "t"])
+                if seen:
+                    yield pd.DataFrame([(w, a, t) for w, (a, t) in seen.items()], columns=["w", "a", "t"])
 
         counts = rows.select("words", "toxic").mapInPandas(tally, "w string, a long, t long").groupBy("w").agg(F.sum("a").alias("a"), F.sum("t").alias("t")).where("t >= 5")
         both, share = F.col("a") + F.col("t"), n1 / (n0 + n1)
@@ -125,15 +126,16 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     left out; a document labelled twice counts as its worse label; without labels of both kinds every text with words gets their mean,
     or 1 without any labels. Up to max_paths paths' rates go to every task, more are joined. Repeated rows get a row each; an empty table gives none.
     """
+    small_batches(docs.sparkSession)
     model = train(docs, labels, id_col, text_col, max_labels)
     names = list(dict.fromkeys([id_col, *(keep or [])]))
-    rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(names)], F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), F.col(text_col).cast("string").alias("t"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    held = f"k{names.index(text_col)}" if text_col in names else "t"  # a kept text goes to Python once
+    rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(names)], F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), *([F.col(text_col).cast("string").alias("t")] if held == "t" else []))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "t")
 
     def run(batches):
         for b in batches:
-            texts = b.pop("t")
-            yield b.assign(p=probability(texts.tolist(), model))
+            yield b.assign(p=probability(b[held].tolist(), model)).drop(columns="t", errors="ignore")
 
     own = rows.mapInPandas(run, f"{schema}, p double")
     own = stored(own, "quality")

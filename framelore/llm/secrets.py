@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import small_batches
+
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _CUES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
@@ -125,6 +127,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
 
     A null or empty text has none; repeated rows get a row each; an empty table gives none; other columns are dropped.
     """
+    small_batches(docs.sparkSession)
     names = list(dict.fromkeys([id_col, *(keep or [])]))
     rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(names)], F.col(text_col).cast("string").alias("t"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
@@ -152,6 +155,7 @@ def redact(text: str | None, spans: list[tuple[str, int, int]], mark: str = "[SE
 
 def redacted(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", mark: str = "[SECRET]") -> DataFrame:
     """docs with every secret in text_col replaced; length_col, if there, gets the new length where the text changed."""
+    small_batches(docs.sparkSession)
     at, n = docs.columns.index(text_col), docs.columns.index(length_col) if length_col in docs.columns else -1
     plain_rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
 

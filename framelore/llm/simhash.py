@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import Forest, connected_components
-from ._store import stored
+from ._store import small_batches, stored
 
 _BYTES = np.array([[(i >> (7 - k)) & 1 for k in range(8)] for i in range(256)], dtype=np.uint8)
 
@@ -143,6 +143,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a shingle is one shingle; a repeated row gets a row each; rows with a null id are returned with the component of their
     fingerprint; an empty table gives an empty table. Other columns of docs are ignored.
     """
+    small_batches(docs.sparkSession)
     rows = stored(fingerprints(docs, id_col, text_col, shingle), "simhash")
     groups = rows.groupBy("fp").agg(F.min("id").alias("least"))
     roots = stored(fingerprint_components(groups.select("fp"), distance, blocks), "simhash-roots")
