@@ -1,7 +1,7 @@
 """Main text of web pages by wrapper induction.
 
 Pages are parsed into trees. Pages of one host are aligned by simple tree matching: two trees match node by node if tag and class
-agree, children in order with the greatest total match; runs of like siblings count as one repeated node. Folding a host's
+agree, children in order with the greatest total match; like siblings count as one repeated node. Folding a host's
 pages gives its wrapper, whose nodes know how many pages have them and how often their text was the same: constant nodes are
 template, varying ones are slots. A page's main text is taken from its article or main element if it has one, else
 from the varying slots; elements whose tag, role, class or id marks them as furniture are left out in both.
@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import stored
+from ._store import small_batches, stored
 
 # HTML element names by behaviour.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -181,17 +181,12 @@ def slots(root: Node):
 
 
 def wrapper(node: Node, deep: int = 0) -> list:
-    """A page's wrapper: its tree with runs of like siblings as one."""
+    """A page's wrapper: its tree with like siblings as one."""
     kids: list = []
     blocks = [k for k in node.kids if isinstance(k, Node) and k.tag not in RAW and k.tag != "br"]
     leaf = not any(k.tag in BLOCK for k in blocks)
     if not leaf and deep < 40:
-        for k in blocks:
-            w = wrapper(k, deep + 1)
-            if kids and kids[-1][0] == w[0]:
-                kids[-1] = merge(kids[-1], w, True)
-            else:
-                kids.append(w)
+        kids = _by_label([wrapper(k, deep + 1) for k in blocks], True)
     own: list[str] = []
     if leaf:
         _pieces(node, own, True, lambda _: False)
@@ -236,7 +231,15 @@ def merge(a: list, b: list, sibling: bool = False) -> list:
     text, same = (a[2], a[3] if sibling else a[3] + b[3]) if alike else (a[2], a[3]) if a[3] >= b[3] else (b[2], b[3])
     if sibling and not alike:
         text, same = "", 0  # repeated siblings that differ are no constant
-    return [a[0], a[1] if sibling else a[1] + b[1], text, same, kids]
+    return [a[0], a[1] if sibling else a[1] + b[1], text, same, _by_label(kids, sibling)]
+
+
+def _by_label(kids: list, sibling: bool) -> list:
+    """Children with each label once, in order of appearance, so that a wrapper is bounded by the labels that there are."""
+    out: dict[str, list] = {}
+    for k in kids:
+        out[k[0]] = merge(out[k[0]], k, sibling) if k[0] in out else k
+    return list(out.values())
 
 
 def constants(w: list, share: float = 0.8, pages: int = 5, path: str = "") -> list[str]:
@@ -265,7 +268,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
             if len(found) > 20_000:
                 yield pd.DataFrame({"host": list(found), "salt": part % 32, "w": [json.dumps(w) for w in found.values()]})
                 found = {}
-        yield pd.DataFrame({"host": list(found), "salt": part % 32, "w": [json.dumps(w) for w in found.values()]}, columns=["host", "salt", "w"]).astype({"salt": "int32"})
+        if found:  # no empty frames: an empty string column does not convert
+            yield pd.DataFrame({"host": list(found), "salt": part % 32, "w": [json.dumps(w) for w in found.values()]})
 
     def together(columns):
         def run(batches):
@@ -276,7 +280,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
                         yield pd.DataFrame([(*k, json.dumps(v)) for k, v in held.items()], columns=[*columns, "w"])
                         held = {}
                     _fold(held, key, json.loads(w))
-            yield pd.DataFrame([(*k, json.dumps(v)) for k, v in held.items()], columns=[*columns, "w"])
+            if held:
+                yield pd.DataFrame([(*k, json.dumps(v)) for k, v in held.items()], columns=[*columns, "w"])
 
         return run
 
@@ -291,6 +296,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Null and empty pages have no text. Pages whose URL is null or has no host share a wrapper. Repeated rows get a row each; an
     empty table gives none; other columns are ignored.
     """
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.lower(F.coalesce(F.regexp_extract(F.col(url_col).cast("string"), _HOST, 1), F.lit(""))).alias("host"), F.col(html_col).cast("string").alias("html"))
     found = wrappers(rows.where("html is not null").select("host", "html"))
 
