@@ -21,10 +21,11 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     found = stored(simhash.near_duplicates(docs).select("doc_id", "component_id"), "kept-ids")
     ids = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     nameless = docs.where("doc_id is null")
+    # the ids grow with the corpus, so they are never sent to every task: both sides are dealt by id at any size
     if ids.where("n > 1").isEmpty():
-        return docs.join(ids.select("doc_id"), "doc_id", "left_semi").unionByName(nameless).select(*docs.columns)
-    once = docs.join(ids.where("n = 1").select("doc_id"), "doc_id", "left_semi")
-    several = docs.join(ids.where("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        return docs.join(ids.select("doc_id").hint("merge"), "doc_id", "left_semi").unionByName(nameless).select(*docs.columns)
+    once = docs.join(ids.where("n = 1").select("doc_id").hint("merge"), "doc_id", "left_semi")
+    several = docs.join(ids.where("n > 1").select("doc_id").hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return once.unionByName(several).unionByName(nameless).select(*docs.columns)
 
 
