@@ -44,10 +44,9 @@ def runs(nodes: DataFrame) -> DataFrame:
         ptr = ptr.join(heads, ["tree", "to"]).select("tree", "node", "parent", F.when(F.col("end"), F.col("to")).otherwise(F.col("next")).alias("to"), (F.col("far") + F.when(F.col("end"), 0).otherwise(F.col("step"))).alias("far"), "is_head", F.col("end").alias("done"))
         ptr = stored(ptr, "chat-runs")
         now = ptr.where("not done").count()
-        ptr = ptr.drop("done")
         if now == 0 or now == left:  # done; or what is left is cycles, which have no root
-            return ptr.withColumnRenamed("to", "head")
-        left = now
+            return ptr.where("done").drop("done").withColumnRenamed("to", "head")
+        ptr, left = ptr.drop("done"), now
 
 
 def paths(nodes: DataFrame, per_tree: int | None = 1) -> DataFrame:

@@ -43,23 +43,40 @@ def plain(raw: bytes) -> list[tuple[str, int, int]]:
     return out
 
 
+_BEFORE, _AFTER = re.compile(rb"[\x20-~]{0,64}\Z"), re.compile(rb"[!-~]{0,64}")
+
+
+def _around(m: re.Match) -> tuple[int, int]:
+    """A stretch with what touches it, as a name and its value may be written in different ways."""
+    raw = m.string
+    before = _BEFORE.search(raw, max(0, m.start() - 64), m.start())
+    return before.start() if before else m.start(), _AFTER.match(raw, m.end()).end()
+
+
 def _url(m: re.Match) -> tuple[bytes, list[tuple[int, int]]]:
-    s, out, at, i = m[0], bytearray(), [], 0
-    while i < len(s):
-        wide = 3 if s[i] == 37 and re.match(rb"%[0-9A-Fa-f]{2}", s[i : i + 3]) else 1
+    (i, end), s, out, at = _around(m), m.string, bytearray(), []
+    while i < end:
+        wide = 3 if s[i] == 37 and re.fullmatch(rb"%[0-9A-Fa-f]{2}", s[i : i + 3]) else 1
         out.append(int(s[i + 1 : i + 3], 16) if wide == 3 else s[i])
-        at.append((m.start() + i, m.start() + i + wide))
+        at.append((i, i + wide))
         i += wide
     return bytes(out), at
 
 
 def _unicode(m: re.Match) -> tuple[bytes, list[tuple[int, int]]]:
-    out, at = bytearray(), []
-    for u in _UNIT.finditer(m[0]):
+    (i, end), s, out, at = _around(m), m.string, bytearray(), []
+    while i < end:
+        u = _UNIT.match(s, i)
+        if u is None:
+            out.append(s[i])
+            at.append((i, i + 1))
+            i += 1
+            continue
         code = int(u[4]) if u[4] else int(u[1] or u[2] or u[3], 16)
         c = chr(code).encode("utf-8", "surrogatepass") if code < 0x110000 else b"?"
         out += c
-        at += [(m.start() + u.start(), m.start() + u.end())] * len(c)
+        at += [(i, u.end())] * len(c)
+        i = u.end()
     return bytes(out), at
 
 

@@ -1,0 +1,275 @@
+"""The corpus operators on small tables with nulls, empty and very long texts, ties, repeated rows, no rows and extra columns."""
+
+from __future__ import annotations
+
+import base64
+import gzip
+import hashlib
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from framelore.llm import chat, decontam, embed_dedup, html_main, langid, licences, packing, quality, secrets, simhash
+from framelore.llm._components import connected_components
+from framelore.llm.queries import tokenizer
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, id long, rank long"
+
+
+def docs(spark, texts, langs=None, sources=None):
+    rows = [(i, t, (langs or {}).get(i, "en"), (sources or {}).get(i, "s"), None if t is None else len(t), "x", -1, 7) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+ODD = [None, "", " \n\t", "word", "Ünï cödé 🙂 x", "a b c " * 20_000, "one two three four five six", "one two three four five six", "x" * 30_000, "a <|endoftext|> b", "tab\x1fsep line  two   spaces \n\n end "]
+
+
+def test_components(spark):
+    draw = np.random.default_rng(3)
+    pairs = [(int(a), int(b)) for a, b in draw.integers(0, 300, (250, 2))] + [(0, i) for i in range(400, 700)] + [(i, i + 1) for i in range(1000, 1100)]
+    got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    up = {}
+
+    def root(x):
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    assert got == {x: root(x) for p in pairs for x in p if p[0] != p[1] or root(x) != x or x in got}
+
+
+def test_packing_round_trip(spark):
+    from tokenizers import Tokenizer
+
+    rows = docs(spark, [*ODD, *(f"doc {i} " * (i * 7 % 900) for i in range(120))])
+    exact = Tokenizer.from_file(tokenizer())
+    ids = {r["doc_id"]: [*exact.encode(r["text"] or "", add_special_tokens=False).ids, 1] for r in rows.collect()}
+    pieces = packing.pack(rows, tokenizer()).collect()
+    held, sequences = defaultdict(list), defaultdict(list)
+    for p in pieces:
+        own = ids[p["doc_id"]][p["start"] : p["start"] + p["length"]]
+        assert len(own) == p["length"] and p["doc_tokens"] == len(ids[p["doc_id"]])
+        assert zlib.crc32(np.array(own, "<u4").tobytes()) == p["ids_crc32"]
+        held[p["doc_id"]].append((p["start"], p["length"]))
+        sequences[p["sequence_id"]].append((p["offset"], p["length"]))
+    for spans, total in [(v, len(ids[k])) for k, v in held.items()] + [(v, None) for v in sequences.values()]:
+        at = 0
+        for start, length in sorted(spans):
+            assert start == at
+            at += length
+        assert at == total if total is not None else at <= 2048
+    assert set(held) == set(ids)
+    padding = sum(2048 - n for v in sequences.values() if (n := sum(x for _, x in v)) & (n - 1))
+    assert padding < 0.03 * sum(map(len, ids.values()))
+    assert packing.pack(rows.limit(0), tokenizer()).count() == 0
+
+
+def test_cutting_stock_stays_within_demand():
+    draw = np.random.default_rng(5)
+    for _ in range(5):
+        demand = {int(w): int(n) for w, n in zip(draw.choice(np.arange(1, 129), 40, replace=False), draw.integers(1, 500, 40))}
+        used = defaultdict(int)
+        for pattern, copies in packing.cutting_stock(demand, 128):
+            assert sum(w * a for w, a in pattern.items()) == 128
+            for w, a in pattern.items():
+                used[w] += a * copies
+        assert all(used[w] <= demand[w] for w in demand)
+    assert packing.cutting_stock({}, 128) == []
+
+
+def plain_contamination(texts, items, k=10):
+    import re
+
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    windows = {(tuple(w[i : i + k]), item) for item, t in items for w in [words(t)] if w for i in range(max(1, len(w) - k + 1))}
+    out = []
+    for t in texts:
+        w, hit, found = words(t), set(), set()
+        for g, item in windows:
+            for i in range(len(w) - len(g) + 1):
+                if tuple(w[i : i + len(g)]) == g:
+                    hit |= set(range(i, i + len(g)))
+                    found.add(item)
+        out.append((len(w), len(hit), sorted(found)))
+    return out
+
+
+@pytest.mark.parametrize("max_bytes", [1 << 20, 60])
+def test_contamination(spark, max_bytes):
+    passage = "The Quick brown fox jumps over the lazy dog and runs far away from Ünder the bridge"
+    items = [("1", passage), ("10", "short item"), ("2", ""), ("3", None), ("4", "one two three four five six seven eight nine ten eleven"), ("1", passage)]
+    texts = [None, "", "..,", passage.upper(), "x the, quick-BROWN fox\njumps over the lazy dog and é runs", "a short ITEM! short item", "é " + passage + " tail " + passage, "one two three four five six seven eight nine ten"]
+    bench = spark.createDataFrame([(int(i), t, 5) for i, t in items], "item_id long, text string, n_words long")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], list(r["items"])) for r in decontam.contamination(docs(spark, texts), bench, max_bytes=max_bytes).collect()}
+    want = dict(enumerate(plain_contamination(texts, [i for i in items if i[1]])))
+    assert got == want
+    assert decontam.contamination(docs(spark, texts), bench.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
+    spans = decontam.contamination(docs(spark, texts), bench).where("doc_id = 5").first()["spans"]
+    assert [texts[5][s["start"] : s["end"]] for s in spans] == ["short ITEM! short item"]
+
+
+def test_secrets(spark):
+    key = "AKIA" + "A1B2C3D4E5F6G7H8"
+    texts = [None, "", "é password = 'hunter22' ok", f"Ü {key}x", "API_KEY:abcdef and apikey=abc", "0123456789abcdef01234567 é", "%70%61%73%73word%3Dhunter22",
+             "x " + base64.b64encode(b"token=deadbeef99").decode(), "x " + base64.b64encode(gzip.compress(b"secret: abcdefgh")).decode(), base64.b64encode(base64.b64encode(b"secret=abcdefgh1")).decode(), "\\u0070\\u0061\\u0073\\u0073\\u0077\\u0064=abcdef"]
+    got = {r["doc_id"]: (r["base"], r["spans"]) for r in secrets.scan(docs(spark, texts)).collect()}
+    cut = lambda i, k: [texts[i][s["start"] : s["end"]] for s in got[i][k]]
+    assert got[0] == ([], []) and got[1] == ([], [])
+    assert cut(2, 0) == ["password = 'hunter22"] and cut(3, 0) == [key] and cut(4, 0) == ["API_KEY:abcdef"] and cut(5, 0) == ["0123456789abcdef01234567"]
+    for i in (6, 7, 8, 9, 10):
+        assert got[i][1] and len(got[i][1]) >= 1, texts[i]
+    clean = {r["doc_id"]: r for r in secrets.redacted(docs(spark, texts)).collect()}
+    assert clean[2]["text"] == "é [SECRET]' ok" and clean[2]["n_chars"] == len(clean[2]["text"]) and clean[0]["text"] is None and clean[2]["rank"] == 7
+    assert all(not secrets.find(clean[i]["text"])[1] for i in range(len(texts)) if clean[i]["text"])
+
+
+def test_licences(spark):
+    notice = licences.TEMPLATES["MIT"]
+    files = [(1, "a/LICENSE", notice), (2, "a/b/x.txt", "hello"), (3, "a/c/LICENSE", licences.TEMPLATES["Apache-2.0"]), (4, "a/c/d/e.txt", "text\nAll rights reserved.\nmore"), (5, "a/c/d/f.txt", None), (6, "z/q.txt", ""), (7, None, "x"), (8, "top.txt", "x the of and"), (9, "ab/x.txt", "the program of the public")]
+    rows = spark.createDataFrame([(*f, "clash") for f in files], "doc_id long, path string, text string, own string")
+    got = {r["doc_id"]: (r["licence"], r["origin"]) for r in licences.scan(rows, "doc_id", "path", "text", F.col("path").endswith("LICENSE")).collect()}
+    assert got == {1: ("MIT", "own"), 2: ("MIT", "inherited"), 3: ("Apache-2.0", "own"), 4: ("Proprietary", "own"), 5: ("Apache-2.0", "inherited"), 6: (None, "none"), 7: (None, "none"), 8: (None, "none"), 9: (None, "none")}
+
+
+def test_quality(spark):
+    good, junk, toxic = "the river runs along the old town and its mill", "aa aa aa aa aa $$$ %%% aa aa", "the river runs past an idiot and a moron today"
+    texts = [*(f"{good} number {i}" for i in range(40)), *(f"{junk} {i}" for i in range(20)), *(f"{toxic} number {i}" for i in range(20)), None, "", f"{good} again", f"{toxic} again"]
+    labels = spark.createDataFrame([(i, int(not 40 <= i < 60), int(60 <= i < 80)) for i in range(80)] + [(0, None, 1)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["kept"] for r in quality.classify(docs(spark, texts, sources={3: None}), labels).collect()}
+    assert all(got[i] for i in [*range(40), 82]) and not any(got[i] for i in [*range(40, 82), 83])
+    assert quality.classify(docs(spark, ["a b", None]), labels.limit(0)).where("kept").count() == 1
+    assert quality.classify(docs(spark, texts).limit(0), labels).count() == 0
+
+
+def test_embeddings_equal_brute_force(spark):
+    draw = np.random.default_rng(2)
+    base = draw.normal(size=(60, 16))
+    x = np.concatenate([base, base[:30] + draw.normal(scale=0.08, size=(30, 16)), np.repeat(base[:1], 40, axis=0), base[:5] * 7])
+    rows = [(i, [float(v) for v in r], 1) for i, r in enumerate(x)] + [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, 1), (903, [1.0, None], 1), (904, [], 1), (905, [1.0, 0.0], 1), (906, [2.0, 0.0], 1)]
+    got = {r["vec_id"]: r for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, uid int"), block=32).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    link = (u @ u.T >= 0.9) & ~np.eye(len(u), dtype=bool)
+    comp = np.arange(len(x))
+    for _ in range(len(x)):
+        comp = np.minimum(comp, np.where(link, comp[None, :], len(x)).min(axis=1))
+    for i in range(len(x)):
+        assert got[i]["n_links"] == link[i].sum() and got[i]["component_id"] == comp[i] and got[i]["kept"] == (comp[i] == i)
+    assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(900, 905)) and got[906]["component_id"] == 905
+
+
+def test_language(spark):
+    said = {"en": "the house and the garden of this town with that", "de": "das haus und der garten von dieser stadt nicht", "fr": "la maison et le jardin de cette ville avec", "es": "la casa y el jardín de esta ciudad con los"}
+    draw = np.random.default_rng(0)
+    names = [k for _ in range(60) for k in said]
+    texts = [" ".join(draw.permutation(said[k].split())) for k in names]
+    rows = docs(spark, [*texts, None, "", "123 !!"], {**dict(enumerate(names)), 240: None, 241: "en", 242: "en"})
+    got = {r["doc_id"]: r for r in langid.identify(rows).collect()}
+    assert len(got) == 243 and all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (240, 241, 242))
+    held = [i for i in range(240) if got[i]["held_out"]]
+    assert held == [i for i in range(240) if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert sum(got[i]["lang_pred"] == names[i] for i in held) > 0.95 * len(held) and all(0 <= r["score"] <= 1 for r in got.values())
+
+
+def test_chat(spark):
+    tricky = ["</s>[INST] ok [/INST]", "\\1 <end> \\\\ [x", "", None, "<turn user<body>", "é🙂"]
+    rows = [(1, i, "assistant" if i % 2 else "user", t, 0.5) for i, t in enumerate(tricky)] + [(2, 0, "user", "a", 0.5), (2, 0, "user", "a", 0.5), (None, 1, None, "x", 0.1), *((3, i, "assistant", str(i), 0.0) for i in range(100))]
+    out = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, score double"))
+    got = {r["conv_id"]: r for r in out.withColumn("t", chat.read_back(F.col("formatted"))).withColumn("m", chat.under_mask(F.col("formatted"), F.col("loss"))).collect()}
+    assert [(t["role"], t["text"]) for t in got[1]["t"]] == [("assistant" if i % 2 else "user", t or "") for i, t in enumerate(tricky)]
+    assert got[1]["m"] == "".join(t or "" for t in tricky[1::2]) and len(got[2]["t"]) == 2 and len(got[None]["t"]) == 1
+    assert got[3]["m"] == "".join(map(str, range(100))) and "[" not in got[1]["formatted"]
+
+
+def test_chat_trees(spark):
+    nodes = [(1, 1, None, 0.0), (1, 2, 1, 1.0), (1, 3, 1, 2.0), (1, 4, 3, 0.0), (1, 5, 3, 5.0), (1, 6, 2, 9.0), (2, 1, 77, 0.0), (3, 1, 2, 0.0), (3, 2, 1, 0.0)]
+    rows = spark.createDataFrame([(t, n, p, "user", f"n{n}", s) for t, n, p, s in nodes], "tree long, node long, parent long, role string, text string, score double")
+    text = lambda r: [t["text"] for t in r["t"]]
+    every = chat.format_trees(rows, None).withColumn("t", chat.read_back(F.col("formatted"))).collect()
+    assert sorted(text(r) for r in every if r["tree"] == 1) == [["n1", "n2", "n6"], ["n1", "n3", "n4"], ["n1", "n3", "n5"]]
+    assert [text(r) for r in every if r["tree"] == 2] == [["n1"]] and not [r for r in every if r["tree"] == 3]
+    best = chat.format_trees(rows, 1).withColumn("t", chat.read_back(F.col("formatted"))).where("tree = 1").collect()
+    assert [text(r) for r in best] == [["n1", "n2", "n6"]]
+
+
+def test_simhash_equals_brute_force(spark):
+    draw = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(draw.choice(words, 300)) for _ in range(40)]
+    for t in list(texts[:20]):
+        w = t.split()
+        w[int(draw.integers(0, 300))] = "changed"
+        texts += [" ".join(w), t.upper()]
+    texts += ODD
+    rows = docs(spark, texts)
+    got = {r["doc_id"]: r for r in simhash.near_duplicates(rows).collect()}
+    fps = [simhash.fingerprint(t) for t in texts]
+    comp = list(range(len(fps)))
+    for _ in range(len(fps)):
+        comp = [min(comp[j] for j in range(len(fps)) if (fps[i] ^ fps[j]).bit_count() <= 3) for i in range(len(fps))]
+    assert [got[i]["component_id"] for i in range(len(fps))] == comp
+    assert [got[i]["fingerprint"] for i in range(len(fps))] == [f"{x:016x}" for x in fps] and fps[texts.index(None)] == 0
+
+
+def test_simhash_by_definition():
+    from xxhash import xxh64_intdigest
+
+    words = "The quick Brown fox jumps".encode().lower().split()
+    hashes = [xxh64_intdigest(b" ".join(words[i : i + 3]), 42) for i in range(3)]
+    want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > 3)
+    assert simhash.fingerprint("The  quick\tBrown\nfox jumps ") == want and simhash.fingerprint("A b") == xxh64_intdigest(b"a b", 42)
+
+
+def test_tiles_lose_no_link(spark):
+    draw = np.random.default_rng(6)
+    core = int(draw.integers(0, 2**62))
+    fps = sorted({core ^ (1 << int(a)) ^ (1 << int(b)) for a, b in draw.integers(0, 62, (300, 2))} | {int(v) for v in draw.integers(0, 2**62, 50)})
+    got = {r["fp"]: r["root"] for r in simhash.fingerprint_components(spark.createDataFrame([(f,) for f in fps], "fp long"), tile=16).collect()}
+    comp = dict(zip(fps, fps))
+    for _ in range(20):
+        comp = {a: min(comp[b] for b in fps if (a ^ b).bit_count() <= 3) for a in fps}
+    groups = lambda m: {frozenset(k for k in fps if m.get(k, k) == r) for r in set(m.values()) | set(fps)} - {frozenset()}
+    assert {g for g in groups(got) if len(g) > 1} == {g for g in groups(comp) if len(g) > 1}
+
+
+PAGE = '<html><head><title>t</title><style>p{}</style><script>var a="</p>";</script></head><body><nav><ul><li>menu</li></ul></nav><div class="cookie-notice">we use</div>%s<aside>side</aside><div id="comments"><p>me too</p></div><footer>&copy; x</footer></body></html>'
+
+
+def test_main_text(spark):
+    rows = [(1, "http://a.example/1", PAGE % "<article><h1>Head &amp; <b>bo</b>ld</h1><p>One<p>two  &eacute;<br>three<div class='ad'>buy</div><form><input>go</form></article>"), (2, None, None), (3, "x", ""), (4, "http://a.example/4", "plain <p>text"), (5, "http://a.example/5", PAGE % "<main><p>only main</p></main>")]
+    rows += [(10 + i, f"http://b.example/{i}", f"<body><div class='top'>Always the same</div><div class='box'><p>Story {i} is new</p></div></body>") for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in html_main.extract(spark.createDataFrame([(*r, "h") for r in rows], "page_id long, url string, html string, host string")).collect()}
+    assert got[1] == "Head & bold One two é three" and got[2] == got[3] == "" and got[4] == "plain text" and got[5] == "only main"
+    assert all(got[10 + i] == f"Story {i} is new" for i in range(12))
+    joined = {r["page_id"]: r["text"] for r in html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), max_bytes=0).collect()}
+    assert joined == got
+
+
+def test_pipeline_equals_plain_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    good = [f"the river number {i} runs along the old town and its mill near house {i * 7} of street {i * 3}" for i in range(60)]
+    junk = [f"aa aa aa aa aa $$$ %%% aa aa aa {i}" for i in range(30)]
+    passage = "here is a question about ten words that nobody else would ever write down"
+    texts = [*good, *junk, good[0], good[0].upper(), passage + " " + good[1], good[2] + " x y z password=hunter2222 some more words for this one", None]
+    rows = docs(spark, texts).drop("fp", "id", "rank")
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i < 60), 0) for i in range(90)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    labels = spark.read.parquet(str(tmp_path / "labels.parquet"))
+    kept = [r["doc_id"] for r in quality.classify(rows, labels).where("kept").collect()]
+    fps = {i: simhash.fingerprint(texts[i]) for i in kept}
+    comp = {i: i for i in kept}
+    for _ in range(len(kept)):
+        comp = {i: min(comp[j] for j in kept if (fps[i] ^ fps[j]).bit_count() <= 3) for i in kept}
+    left = [i for i in kept if comp[i] == i]
+    left = [i for i, f in zip(left, plain_contamination([texts[i] for i in left], [("1", passage)])) if not f[1]]
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in out} == set(left) and 92 not in left and 0 in left and 90 not in left
+    own = {i: packing.encoder(tokenizer())(secrets.redact(texts[i], secrets.find(texts[i])[1])) for i in left}
+    assert all(r["doc_tokens"] == len(own[r["doc_id"]]) // 4 + 1 for r in out)
