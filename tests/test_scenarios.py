@@ -26,8 +26,8 @@ def test_assignment_equals_brute_force():
         cost = draw.integers(0, 20, (n, m)).astype(float)
         got = tracking.assign(cost)
         total = sum(cost[i, j] for i, j in enumerate(got) if j >= 0)
-        k = min(n, m)
-        best = min(sum(c[i, j] for i, j in enumerate(p)) for c in [cost if n <= m else cost.T] for p in permutations(range(max(n, m)), k))
+        k = int(min(n, m))
+        best = min(sum(c[i, j] for i, j in enumerate(p)) for c in [cost if n <= m else cost.T] for p in permutations(range(int(max(n, m))), k))
         assert total == best and len({j for j in got if j >= 0}) == k
 
 
@@ -86,7 +86,7 @@ def test_text_flicker_is_one_track(spark):
 def test_samplers(spark):
     frames = lambda times: spark.createDataFrame([(1, i, t) for i, t in enumerate(times)], "video long, frame_id long, time_sec double")
     assert [r["frame_id"] for r in sampling.every_n(frames([float(i) for i in range(10)]), 3).orderBy("frame_id").collect()] == [0, 3, 6, 9]
-    assert [r["frame_id"] for r in sampling.every_seconds(frames([0, 0.1, 0.4, 0.9, 1.0, 1.05, 2.5, 2.6, 3.0])).orderBy("frame_id").collect()] == [0, 4, 6, 8]
+    assert [r["frame_id"] for r in sampling.every_seconds(frames([0.0, 0.1, 0.4, 0.9, 1.0, 1.05, 2.5, 2.6, 3.0])).orderBy("frame_id").collect()] == [0, 4, 6, 8]
     flips = spark.createDataFrame([(1, i, i / 30, [float(10 <= i < 20), 1 - float(10 <= i < 20)], [255.0 * (10 <= i < 20)]) for i in range(30)], "video long, frame_id long, time_sec double, hist array<double>, thumb array<double>")
     assert [r["frame_id"] for r in sampling.scene_changes(sampling.signature_scores(flips)).orderBy("frame_id").collect()] == [0, 10, 20]
     still = spark.createDataFrame([(1, i, i / 30, [1.0], [0.0]) for i in range(60)], "video long, frame_id long, time_sec double, hist array<double>, thumb array<double>")
