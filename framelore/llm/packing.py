@@ -138,6 +138,21 @@ def first_patterns(weight: np.ndarray, need: np.ndarray, room: int) -> np.ndarra
     return basis
 
 
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """By elimination on the few entries of a column; the library's routine was seen to hang in a driver with many threads."""
+    a, out = matrix.astype(float), np.eye(len(matrix))
+    for c in range(len(a)):
+        p = c + int(np.abs(a[c:, c]).argmax())
+        a[[c, p]], out[[c, p]] = a[[p, c]], out[[p, c]]
+        out[c] /= a[c, c]
+        a[c] /= a[c, c]
+        rows = np.flatnonzero(a[:, c])
+        rows = rows[rows != c]
+        out[rows] -= a[rows, c][:, None] * out[c]
+        a[rows] -= a[rows, c][:, None] * a[c]
+    return out
+
+
 def cutting_stock(demand: dict[int, int], room: int, rounds: int = 1500) -> list[tuple[dict[int, int], int]]:
     """(pattern {weight: how many}, copies) whose total never exceeds the demand and whose copies are full.
 
@@ -148,7 +163,7 @@ def cutting_stock(demand: dict[int, int], room: int, rounds: int = 1500) -> list
         return []
     need = np.array([demand[w] for w in weight.tolist()], dtype=float)
     patterns = first_patterns(weight, need, room)
-    inverse = np.linalg.inv(patterns)
+    inverse = inverted(patterns)
     x = np.maximum(inverse @ need, 0)
     for _ in range(rounds):
         value, column = best_pattern(inverse.sum(axis=0), weight, room)
