@@ -37,16 +37,17 @@ def runs(nodes: DataFrame) -> DataFrame:
     base = nodes.join(kids.withColumnRenamed("node", "parent"), ["tree", "parent"], "left").join(known, ["tree", "parent"], "left")
     # a head: a root (also a node whose parent is not in the tree), or one of several replies
     base = base.select("tree", "node", F.when(F.col("there") == 1, F.col("parent")).alias("parent"), (F.coalesce("there", F.lit(0)).eqNullSafe(0) | (F.col("kids") > 1)).alias("is_head"))
-    ptr = stored(base.select("tree", "node", "parent", F.when(F.col("is_head"), F.col("node")).otherwise(F.col("parent")).alias("to"), F.when(F.col("is_head"), 0).otherwise(1).cast("long").alias("far"), "is_head"), "chat-runs")
+    ptr = stored(base.select("tree", "node", "parent", F.when(F.col("is_head"), F.col("node")).otherwise(F.col("parent")).alias("to"), F.when(F.col("is_head"), 0).otherwise(1).cast("long").alias("far"), "is_head", F.col("is_head").alias("done")), "chat-runs")
     left = None
     while True:
-        heads = ptr.select("tree", F.col("node").alias("to"), F.col("to").alias("next"), F.col("far").alias("step"), F.col("is_head").alias("end"))
-        ptr = ptr.join(heads, ["tree", "to"]).select("tree", "node", "parent", F.when(F.col("end"), F.col("to")).otherwise(F.col("next")).alias("to"), (F.col("far") + F.when(F.col("end"), 0).otherwise(F.col("step"))).alias("far"), "is_head", F.col("end").alias("done"))
-        ptr = stored(ptr, "chat-runs")
         now = ptr.where("not done").count()
         if now == 0 or now == left:  # done; or what is left is cycles, which have no root
             return ptr.where("done").drop("done").withColumnRenamed("to", "head")
-        ptr, left = ptr.drop("done"), now
+        left = now
+        there = ptr.select("tree", F.col("node").alias("to"), F.col("to").alias("next"), F.col("far").alias("step"), F.col("done").alias("end"))
+        moved = ptr.where("not done").join(there, ["tree", "to"])  # nodes that have their head are set aside
+        moved = moved.select("tree", "node", "parent", F.col("next").alias("to"), (F.col("far") + F.col("step")).alias("far"), "is_head", F.col("end").alias("done"))
+        ptr = stored(ptr.where("done").unionByName(moved), "chat-runs")
 
 
 def paths(nodes: DataFrame, per_tree: int | None = 1) -> DataFrame:
