@@ -13,8 +13,8 @@ import zlib
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-# The layout.
-MAGIC = b"VIRX"
+# This engine's own layout.
+MAGIC = b"FLOR"
 HEADER = struct.Struct("<4sHHHHIIIIIIQHHHHIQ")
 ROW = struct.Struct("<BBBxIQQIIqq")
 INDEX_HEAD = struct.Struct("<IIQ")
