@@ -3,7 +3,8 @@
 A file's lines are compared with licence templates. Weights are term frequency times inverse document frequency over
 the templates; a word that no template has weighs as the rarest. Most lines cannot reach the threshold: of each
 template's words the lightest are set aside as long as their share of its length stays below it, so a line
-that reaches it holds one of the others (its anchors), and only lines with an anchor are weighed. Licence files lend their
+that reaches it holds one of the others (its anchors), and only lines with an anchor are weighed, first as if no word outside
+the templates came twice, which bounds the cosine from above. Licence files lend their
 licence to the files below them: distinct directories, not files, are joined with their ancestors, and the nearest counts.
 """
 
@@ -12,8 +13,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from functools import reduce
-from operator import or_
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,8 +64,8 @@ def _number(x: float) -> Column:
     return F.lit(float(x))
 
 
-def _holds(words: list[str]):
-    return lambda c: reduce(or_, [c.contains(w) for w in words])
+def _among(words) -> Callable[[Column], Column]:
+    return lambda w: w.isin(sorted(words))
 
 
 def _dot(unit: dict[str, float]) -> Column:
@@ -73,19 +73,36 @@ def _dot(unit: dict[str, float]) -> Column:
     return F.aggregate("v", F.lit(0.0), lambda s, t: s + t["x"] * F.coalesce(F.element_at(part, t["w"]), F.lit(0.0)))
 
 
+def _squares(words: Column) -> Column:
+    """The sum of the squares of how often each distinct word occurs, from runs of equal words in sorted order."""
+    start = F.struct(F.lit("").alias("w"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("sum"))
+
+    def step(s, w):
+        run = F.when(s["w"] == w, s["run"]).otherwise(F.lit(0).cast("long"))
+        return F.struct(w.alias("w"), (run + 1).alias("run"), (s["sum"] + 2 * run + 1).alias("sum"))
+
+    return F.aggregate(F.array_sort(words), start, step)["sum"]
+
+
 def own_licence(files: DataFrame, at_least: float, templates: dict[str, str]) -> DataFrame:
     """files(id, text) -> (id, own, own_score) of the files with a line that reaches at_least; ties go to the first name."""
     idf, other, unit = weights(templates)
-    some = _holds(anchors(unit, at_least))  # substrings: finds more than the words, never less
-    lines = files.where(some(F.lower("text"))).select("id", F.explode(F.split("text", r"\n")).alias("line")).where(some(F.lower("line")))
-    lines = lines.select("id", F.regexp_extract_all(F.translate("line", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(f"({WORD})"), 1).alias("words"))
-    lines = lines.groupBy("id", "words").agg(F.count(F.lit(1)).alias("n"))  # a repeated line is weighed once
+    # a line is its words; only scores leave the task that reads a text, never lines
+    words = lambda line: F.split(F.trim(F.lower(F.regexp_replace(line, "[^A-Za-z0-9]+", " "))), " ")
+    lines = files.select("id", F.explode(F.transform(F.array_distinct(F.split("text", r"\n")), words)).alias("words"))
+    lines = lines.where(F.exists("words", _among(anchors(unit, at_least))))
+    # explode of one value: the filters that follow read it instead of computing it again
+    lines = lines.select("id", "words", F.explode(F.array(F.filter("words", _among(idf)))).alias("known"))
     rare = F.create_map(*[c for w, x in sorted(idf.items()) for c in (F.lit(w), _number(x))])
-    terms = F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("w"), (F.size(F.filter("words", lambda o: o == w)) * F.coalesce(F.element_at(rare, w), _number(other))).alias("x")))
-    lines = lines.select("id", terms.alias("v")).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, t: s + t["x"] * t["x"])))
-    scored = []
-    for name, v in unit.items():
-        scored.append(F.struct(F.round(_dot(v) / F.col("norm"), 6).alias("score"), F.lit(name).alias("name")))
+    terms = F.transform(F.array_distinct("known"), lambda w: F.struct(w.alias("w"), (F.size(F.filter("known", lambda o: o == w)) * F.element_at(rare, w)).alias("x")))
+    lines = lines.select("id", "words", (F.size("words") - F.size("known")).alias("n_other"), F.explode(F.array(terms)).alias("v"))
+    square = F.aggregate("v", F.lit(0.0), lambda s, t: s + t["x"] * t["x"])
+    # the other words weigh the least if each occurs once: a line whose share of known words is too small even then cannot reach at_least
+    lines = lines.where(F.sqrt(square) >= (at_least - 1e-6) * F.sqrt(square + other * other * F.col("n_other")))
+    dots = [F.col(f"d{i}") for i in range(len(unit))]
+    norm = F.sqrt(square + other * other * _squares(F.filter("words", lambda w: ~_among(idf)(w))))
+    lines = lines.select("id", norm.alias("norm"), *[_dot(v).alias(f"d{i}") for i, v in enumerate(unit.values())])
+    scored = [F.struct(F.round(d / F.col("norm"), 6).alias("score"), F.lit(name).alias("name")) for d, name in zip(dots, unit)]
     each = lines.select("id", F.explode(F.array(*scored)).alias("s")).where(F.col("s.score") >= at_least)
     best = each.groupBy("id").agg(F.max("s.score").alias("own_score"), F.min(F.struct(-F.col("s.score"), F.col("s.name").alias("name"))).alias("b"))
     return best.select("id", F.col("b.name").alias("own"), "own_score")
