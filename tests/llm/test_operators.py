@@ -273,3 +273,35 @@ def test_pipeline_equals_plain_stages(spark, tmp_path):
     assert {r["doc_id"] for r in out} == set(left) and 92 not in left and 0 in left and 90 not in left
     own = {i: packing.encoder(tokenizer())(secrets.redact(texts[i], secrets.find(texts[i])[1])) for i in left}
     assert all(r["doc_tokens"] == len(own[r["doc_id"]]) // 4 + 1 for r in out)
+
+
+def test_licence_scores_match_plain_cosine(spark):
+    """Lines near the threshold, with repeated words inside and outside the templates, a very long line and letters beyond ASCII."""
+    import math
+    import random
+    import re
+    from collections import Counter
+
+    idf, other, unit = licences.weights(licences.TEMPLATES)
+    rnd, texts = random.Random(5), []
+    for _ in range(150):
+        known = rnd.choice(list(licences.TEMPLATES.values())).split()
+        line = rnd.sample(known, rnd.randint(1, len(known))) + [rnd.choice(["zu", "Zu", "KKelvin", "été", "the", "x9"]) for _ in range(rnd.randint(0, 6))]
+        rnd.shuffle(line)
+        texts.append(" ".join(line) + rnd.choice(["", "\n\nno words here", "\nMIT License"]))
+    texts += ["MIT " * 5000 + "zu " * 5000, "MIT License " * 5000, "zu " * 20000, "", None]
+    want = {}
+    for i, t in enumerate(texts):
+        found = []
+        for line in (t or "").split("\n"):
+            c = Counter(w.lower() for w in re.findall("[A-Za-z0-9]+", line))
+            v = {w: n * idf.get(w, other) for w, n in c.items()}
+            norm = math.sqrt(sum(x * x for x in v.values()))
+            found += [(-round(sum(x * u.get(w, 0.0) for w, x in v.items()) / norm, 6), k) for k, u in unit.items()] if norm else []
+        if found and -min(found)[0] >= 0.6:
+            want[i] = (min(found)[1], -min(found)[0])
+    files = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r["id"]: (r["own"], r["own_score"]) for r in licences.own_licence(files, 0.6, licences.TEMPLATES).collect()}
+    assert got.keys() == want.keys() and len(want) > 20
+    for i, (name, score) in want.items():
+        assert got[i][1] == pytest.approx(score, abs=2e-6) and got[i][0] == name
