@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from ._components import Forest, connected_components
 from ._store import small_batches, stored
 
-_BYTES = np.array([[(i >> (7 - k)) & 1 for k in range(8)] for i in range(256)], dtype=np.uint8)
+# The white space between words, as blanks.
+_BLANKS = bytes.maketrans(b"\t\n\v\f\r", b" " * 5)
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -33,18 +34,22 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     """
     from xxhash import xxh64_intdigest as digest
 
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower().translate(_BLANKS), np.uint8)
+    blank = raw == 32
+    held = ~blank
+    held[1:] |= blank[1:] & ~blank[:-1]  # the words, a blank after each
+    joined = raw[held].tobytes().rstrip(b" ")
+    if not joined:
         return 0
-    joined = b" ".join(words)
-    if len(words) <= shingle:
+    ends = np.append(np.flatnonzero(np.frombuffer(joined, np.uint8) == 32), len(joined))
+    if len(ends) <= shingle:
         return digest(joined, seed)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[: -shingle] + 1])
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist())], dtype=">u8")
-    total, n = np.zeros(64, np.int64), len(hashes)
-    for i in range(0, n, 65_536):  # a very long text is counted in pieces
-        total += np.unpackbits(hashes[i : i + 65_536].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    starts = np.concatenate([[0], ends[:-shingle] + 1])
+    total, n = np.zeros(64, np.int64), len(starts)
+    for i in range(0, n, 65_536):  # a very long text is hashed in pieces
+        spans = zip(starts[i : i + 65_536].tolist(), ends[i + shingle - 1 : i + shingle + 65_535].tolist())
+        hashes = np.array([digest(joined[a:b], seed) for a, b in spans], dtype=">u8")
+        total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(total * 2 > n).tobytes(), "big")
 
 

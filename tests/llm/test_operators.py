@@ -225,6 +225,15 @@ def test_simhash_by_definition():
     assert simhash.fingerprint("The  quick\tBrown\nfox jumps ") == want and simhash.fingerprint("A b") == xxh64_intdigest(b"a b", 42)
 
 
+def test_simhash_of_odd_and_long_texts():
+    from xxhash import xxh64_intdigest
+
+    for text in (*ODD, " ", "\n a\tb \x1f c\x85 d  ", "A  b c ", "\v\f\r", "lone \ud800 half", " ".join(map(str, range(70_000)))):
+        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        hashes = [xxh64_intdigest(b" ".join(words[i : i + 3]), 42) for i in range(max(1, len(words) - 2))] if words else [0]
+        assert simhash.fingerprint(text) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
 def test_tiles_lose_no_link(spark):
     draw = np.random.default_rng(6)
     core = int(draw.integers(0, 2**62))
