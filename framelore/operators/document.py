@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from framelore.functions import geometry as G
 
-# The layer of a block that names none.
-LAYERS = {"entity": 0, "object": 0, "attribute": 0, "event": 1, "action": 1, "relation": 1, "scene": 1, "temporal": 1, "text": 2, "embedding": 3}
+# The layer of a block that names none, by its number in a file; 0 there means that none is named.
+LAYERS = {"entity": 1, "object": 1, "attribute": 1, "event": 2, "action": 2, "relation": 2, "scene": 2, "temporal": 2, "text": 3, "embedding": 4}
 
 
 def with_layer(blocks: DataFrame, kind: Column) -> DataFrame:

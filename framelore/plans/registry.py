@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from framelore.functions import geometry as G
 from framelore.functions import text as X
 from framelore.operators import detections as D
-from framelore.operators import graph, media, motion, relations, sampling, tracking
+from framelore.operators import graph, images, media, motion, relations, sampling, text_events, tracking
 from framelore.plans import fixtures as fx
 from framelore.plans.fixtures import DET, OBS, PKT, SPANS
 
@@ -372,7 +372,7 @@ def j_dangling_references(spark, sf_dir):
     return graph.dangling(refs, known).select("block", "id")
 
 
-@query(f"WITH {DET} SELECT class, CAST(layer AS INT) AS layer, count(*) AS blocks FROM (SELECT class, CASE class WHEN 'click' THEN 2 WHEN 'view' THEN 0 ELSE 1 END AS layer FROM det) GROUP BY ALL")
+@query(f"WITH {DET} SELECT class, CAST(layer AS INT) AS layer, count(*) AS blocks FROM (SELECT class, CASE class WHEN 'click' THEN 3 WHEN 'view' THEN 1 ELSE 2 END AS layer FROM det) GROUP BY ALL")
 def u_layers(spark, sf_dir):
     from framelore.operators import document
 
@@ -423,6 +423,67 @@ def j_text_tracks(spark, sf_dir):
     return tracking.track_text(rows).withColumn("box", F.to_json("box"))
 
 
+_TEXTS = DET + """, txt AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY first_sec, det_idx) AS track, first_sec + det_idx % 4 AS last_sec FROM (SELECT video, det_idx, class AS text, frame_id AS first_sec, x, y, w, h FROM det))"""
+
+
+def _texts(spark, sf_dir):
+    """Each detection as a text that stays for 0 to 3 seconds."""
+    rows = fx.detections(spark, sf_dir).selectExpr("video", "det_idx", "class as text", "time_sec as first_sec", "time_sec + det_idx % 4 as last_sec", "box as first_box", "box as best_box")
+    return rows.withColumn("track", F.row_number().over(Window.partitionBy("video").orderBy("first_sec", "det_idx")).cast("bigint"))
+
+
+@query(f"""WITH {_TEXTS}, p AS (SELECT b.video, b.track, a.track AS before, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS i, a.w * a.h + b.w * b.h AS s
+FROM txt a JOIN txt b ON a.video = b.video AND a.track <> b.track AND a.last_sec <= b.first_sec AND b.first_sec - a.last_sec <= 3 AND a.text <> b.text)
+SELECT video, track, before, {_micro('i / (s - i)')} AS overlap FROM p WHERE i / (s - i) >= 0.3""")
+def j_text_predecessors(spark, sf_dir):
+    return text_events.predecessors(_texts(spark, sf_dir)).select("video", "track", "before", G.micro(F.col("overlap")).alias("overlap"))
+
+
+@query()
+def r_text_events(spark, sf_dir):
+    return text_events.text_events(_texts(spark, sf_dir))
+
+
+@query()
+def p_kept_sightings(spark, sf_dir):
+    return text_events.kept_sightings(fx.observations(spark, sf_dir), 0.3).select("video", "track", "obs_idx", "det_idx")
+
+
+# --- pixels
+
+
+def _pictures(spark, sf_dir):
+    """The bytes of each whole text as a picture 64 pixels wide, filled up with zeros to whole rows and 27 of them at least."""
+    rows = _table(spark, sf_dir, "documents").selectExpr("doc_id", "encode(coalesce(text, ''), 'UTF-8') as raw").withColumn("height", F.expr("cast(greatest(27, ceil(octet_length(raw) / 192D)) as int)"))
+    filled = F.expr("unhex(rpad(hex(raw), height * 384, '0'))")
+    return rows.select(F.expr("doc_id % 16").alias("video"), F.col("doc_id").alias("frame_id"), F.col("doc_id").cast("double").alias("time_sec"), F.lit(64).alias("width"), "height", filled.alias("rgb"))
+
+
+@query()
+def a_image_signatures(spark, sf_dir):
+    return images.signatures(_pictures(spark, sf_dir)).select("video", "frame_id", *[F.transform(c, lambda x: F.round(x * 1e6).cast("long")).alias(c) for c in ("hist", "thumb")])
+
+
+@query()
+def t_text_sources(spark, sf_dir):
+    return images.text_sources(images.cell_means(_pictures(spark, sf_dir)))
+
+
+@query()
+def u_stand_in_detections(spark, sf_dir):
+    return images.stand_in_detections(_pictures(spark, sf_dir)).withColumn("box", F.to_json("box"))
+
+
+@query("SELECT o_custkey AS video, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS place, o_orderpriority AS type, o_orderkey AS start, o_orderkey + 7 AS \"end\", o_custkey || ',' || o_orderkey AS entity_ids, CAST(2 AS INT) AS layer FROM orders")
+def s_document_round_trip(spark, sf_dir):
+    """Orders as events of customers' documents, written in binary form and read back."""
+    from framelore.sources import semantic
+
+    rows = _table(spark, sf_dir, "orders").selectExpr("o_custkey as video", "o_orderkey as place", "o_orderpriority as type", "o_orderkey as start", "o_orderkey + 7 as `end`", "array(o_custkey, o_orderkey) as entity_ids", "2 as layer")
+    heads = rows.groupBy("video").agg(F.lit(0).alias("layer"), F.min("start").alias("t_start"), F.max("end").alias("t_end"))
+    return semantic.blocks(semantic.documents({"events": rows}, heads), "events").select("video", "place", "type", "start", "end", F.concat_ws(",", "entity_ids").alias("entity_ids"), "layer")
+
+
 # --- planned point queries
 
 
