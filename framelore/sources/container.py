@@ -20,7 +20,7 @@ ROW = struct.Struct("<BBBxIQQIIqq")
 INDEX_HEAD = struct.Struct("<IIQ")
 RECORD = struct.Struct("<qqQII")
 HEADER_SIZE = 72
-FRAME_INDEX = 3
+SEMANTIC, FRAME_INDEX = 2, 3
 
 
 def encode_index(records: list[tuple[int, int, int, int, int]]) -> bytes:
@@ -107,8 +107,13 @@ class _Reader(DataSourceReader):
     def read(self, partition):
         if not partition.path:
             return
-        with open(partition.path, "rb") as f:
-            yield from rows(self.table, partition.path, f.read(), self.verify)
+        import mmap
+        import os
+
+        if os.path.getsize(partition.path) < HEADER_SIZE:
+            raise ValueError("not a container")
+        with open(partition.path, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as raw:  # only the header, the table and what is asked for are read
+            yield from rows(self.table, partition.path, raw, self.verify)
 
 
 def rows(table: str, path: str, raw: bytes, verify: bool = True):

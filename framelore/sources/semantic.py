@@ -208,3 +208,55 @@ def _batch(rows: list[tuple]):
 
     columns = list(zip(*rows)) or [()] * 4
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["key", "list", "place", "told"])
+
+
+# The names of numbered values, from 0.
+NAMES = {"layer": "LAYER_UNSPECIFIED L0_ENTITY L1_EVENT L2_TEXT L3_EMBEDDING".split(), "kind": "TEMPORAL_KIND_UNSPECIFIED TEMPORAL_KEY TEMPORAL_DELTA".split()}
+
+
+def merge(parts: list[dict]) -> dict:
+    """The blocks of several documents in one new document, repeats included; one document stays as it is."""
+    if len(parts) == 1:
+        return parts[0]
+    return {"schema_major": VERSION[0], "schema_minor": VERSION[1]} | {n: [b for p in parts for b in p.get(n) or []] for n in KINDS}
+
+
+def as_plain(message: dict, kind: str = "Document") -> dict:
+    """The message as JSON has it: 64-bit numbers as strings, numbered values by name, nothing for defaults and absent fields."""
+    import numpy as np
+
+    def one(name, type_, v):
+        if type_ in FIELDS:
+            return as_plain(v, type_)
+        if type_ == "enum":
+            return NAMES[name][v] if 0 <= v < len(NAMES[name]) else v
+        if type_ == "float":
+            return float(str(np.float32(v))) if np.isfinite(v) else "NaN" if v != v else "Infinity" if v > 0 else "-Infinity"
+        return str(v) if type_.endswith("64") else v
+
+    out = {}
+    for name, _, type_, mark in FIELDS[kind]:
+        v = message.get(name)
+        if mark == "*":
+            if v is not None and len(v):
+                out[name] = [one(name, type_, x) for x in v]
+        elif v is not None and (mark or type_ in FIELDS or v):
+            out[name] = one(name, type_, v)
+    return out
+
+
+def from_plain(found: dict, kind: str = "Document") -> dict:
+    """as_plain() back; a name that is not known is an error."""
+    known = {name: (type_, mark) for name, _, type_, mark in FIELDS[kind]}
+    if strange := set(found) - set(known):
+        raise ValueError(f"unknown fields: {', '.join(sorted(strange))}")
+
+    def one(name, type_, v):
+        if type_ in FIELDS:
+            return from_plain(v, type_)
+        if type_ == "enum":
+            return NAMES[name].index(v) if isinstance(v, str) else int(v)
+        return float(v) if type_ == "float" else v if type_ == "string" else int(v)
+
+    empty = decode(b"", kind)
+    return empty | {name: [one(name, known[name][0], x) for x in v] if known[name][1] == "*" else one(name, known[name][0], v) for name, v in found.items() if v is not None}

@@ -150,6 +150,15 @@ def test_document_agrees_with_the_library():
     raw = message.SerializeToString(deterministic=True)
     assert semantic.encode(DOCUMENT) == raw and semantic.encode(semantic.decode(raw)) == raw
 
+    def numbered(v):
+        return {k: semantic.NAMES[k].index(x) if k in semantic.NAMES and isinstance(x, str) else numbered(x) for k, x in v.items()} if isinstance(v, dict) else [numbered(x) for x in v] if isinstance(v, list) else v
+
+    plain = semantic.as_plain(semantic.decode(raw))
+    assert numbered(plain) == json_format.MessageToDict(message, preserving_proto_field_name=True)
+    assert semantic.from_plain(plain) == semantic.decode(raw)
+    with pytest.raises(ValueError, match="unknown"):
+        semantic.from_plain({"entities": [{"colour": "red"}]})
+
 
 def test_document_round_trip(spark):
     got = semantic.decode(semantic.encode(DOCUMENT))
@@ -170,3 +179,54 @@ def test_document_round_trip(spark):
     names = ("embeddings", "entities", "events", "objects", "temporals")
     again = {r["video"]: bytes(r["content"]) for r in semantic.documents({n: semantic.blocks(stored, n) for n in names}, heads).collect()}
     assert again[1] == raw and semantic.decode(again[2]) == semantic.decode(b"\x10\x01")
+
+
+def test_container_is_shown(tmp_path, capsys):
+    import json
+
+    from framelore.__main__ import main
+    from framelore.sources import container
+
+    raw = semantic.encode(DOCUMENT)
+    path = str(tmp_path / "a.vidx")
+    (tmp_path / "a.vidx").write_bytes(container.encode({"width": 320, "height": 180, "timescale": 1000, "duration": 2500}, [(1, 0, 0, b"pixels", 0, 0), (container.SEMANTIC, 0, 0, raw, 0, 0), (container.SEMANTIC, 0, 0, raw, 0, 0)]))
+    assert main([path, "--info", "--json", str(tmp_path / "out.json")]) == 0 and "320x180" in (said := capsys.readouterr().out) and said.count("section") == 3
+    out = json.loads((tmp_path / "out.json").read_text())
+    assert len(out["entities"]) == 2 and out["entities"][0]["layer"] == "L0_ENTITY" and out["temporals"][0]["kind"] == "TEMPORAL_DELTA" and "t_start" not in out
+    assert main([path]) == 2 and main([str(tmp_path / "none"), "--info"]) == 1
+    damaged = (tmp_path / "a.vidx").read_bytes()
+    (tmp_path / "a.vidx").write_bytes(damaged[:-1] + bytes([damaged[-1] ^ 1]))
+    assert main([path, "--json", "-"]) == 1 and "checksum" in capsys.readouterr().err
+
+
+def test_settings_are_strict():
+    from dataclasses import dataclass, field
+
+    from framelore import config
+    from framelore.operators.tracking import TrackConfig
+
+    @dataclass(frozen=True)
+    class All:
+        track: TrackConfig = field(default_factory=TrackConfig)
+        name: str = "a"
+
+    assert config.settings(All, {"track": {"max_gap_seconds": 2}}) == All(TrackConfig(max_gap_seconds=2.0))
+    for wrong in ({"tracks": {}}, {"track": {"gap": 1}}, {"name": 3}, {"track": 5}):
+        with pytest.raises(ValueError):
+            config.settings(All, wrong)
+
+
+def test_cost_log(spark, tmp_path):
+    from framelore import cost
+    from framelore.operators import media
+
+    log = cost.CostLog(str(tmp_path / "cost.jsonl"), "r1")
+    for n in (10, 30):
+        with log.stage("sample") as record:
+            record["bytes_in"] = n
+    with pytest.raises(KeyError), log.stage("detect"):
+        raise KeyError
+    with cost.CostLog().stage("nowhere"):
+        pass
+    got = {r["stage"]: (r["runs"], r["bytes_in"]) for r in media.stage_costs(cost.load(spark, str(tmp_path / "cost.jsonl"))).collect()}
+    assert got == {"sample": (2, 40), "detect": (1, 0)}
