@@ -471,7 +471,11 @@ def t_text_sources(spark, sf_dir):
 
 @query()
 def u_stand_in_detections(spark, sf_dir):
-    return images.stand_in_detections(_pictures(spark, sf_dir)).withColumn("box", F.to_json("box"))
+    """Each sign of a whole text is a pixel: small vowels and blanks red, all else blue."""
+    told = F.expr("replace(regexp_replace(regexp_replace(coalesce(text, ''), '(?s)[^aeiou ]', '#'), '[aeiou ]', 'C80A0A'), '#', '0A0AC8')")
+    rows = _table(spark, sf_dir, "documents").select("doc_id", told.alias("told")).withColumn("height", F.expr("cast(greatest(27, ceil(length(told) / 384D)) as int)"))
+    pictures = rows.selectExpr("doc_id % 16 as video", "doc_id as frame_id", "cast(doc_id as double) as time_sec", "64 as width", "height", "unhex(rpad(told, height * 384, '0')) as rgb")
+    return images.stand_in_detections(pictures).withColumn("box", F.to_json("box"))
 
 
 @query("SELECT o_custkey AS video, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS place, o_orderpriority AS type, o_orderkey AS start, o_orderkey + 7 AS \"end\", o_custkey || ',' || o_orderkey AS entity_ids, CAST(2 AS INT) AS layer FROM orders")
