@@ -1,9 +1,9 @@
 """Secret scans through nested encodings.
 
 A text is a layer; so is whatever a URL-escaped, Unicode-escaped, base64 or compressed stretch of a layer decodes to. A
-worklist scans each layer with the same patterns and unwraps it until nothing new appears; layers seen before
-(by content) are not opened again, which ends cycles. Every layer keeps, for each of its characters, where in
-the original text it came from, so a secret found in any depth is reported as a span of the original.
+worklist scans each layer with the same patterns and unwraps it until nothing new appears. A content is opened once, which
+ends cycles, but every place where it stands is kept: what is found in it is carried to each of them, and on to the
+places of the layers around, so a secret found in any depth is reported as a span of the original wherever it occurs.
 """
 
 from __future__ import annotations
@@ -121,16 +121,26 @@ def _layers(raw: bytes):
 def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(spans of the text itself, those and the ones inside its encodings), by start and kind; code points, end exclusive."""
     raw = (text or "").encode("utf-8", "surrogatepass")
-    base, more = plain(raw), set()
-    seen, work = {raw}, [(raw, None)]
+    base = plain(raw)
+    places, found, work = {raw: []}, {raw: set(base)}, [raw]  # by content: the layers it stands in, and its spans
     while work:
-        layer, origin = work.pop()
-        if origin is not None:
-            more.update((k, min(x[0] for x in origin[a:b]), max(x[1] for x in origin[a:b])) for k, a, b in plain(layer))
+        layer = work.pop()
         for inner, at in _layers(layer):
-            if inner and inner not in seen:
-                seen.add(inner)
-                work.append((inner, at if origin is None else [(origin[a][0], origin[b - 1][1]) for a, b in at]))
+            if not inner:
+                continue
+            if inner not in places:
+                places[inner], found[inner] = [], set(plain(inner))
+                work.append(inner)
+            places[inner].append((layer, at))
+    news = [(layer, spans) for layer, spans in found.items() if spans]
+    while news:
+        layer, spans = news.pop()
+        for outer, at in places[layer]:
+            fresh = {(k, at[a][0], at[b - 1][1]) for k, a, b in spans} - found[outer]
+            if fresh:
+                found[outer] |= fresh
+                news.append((outer, fresh))
+    more = found[raw]
     if (base or more) and not raw.isascii():
         points = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
         base = [(k, int(points[a]), int(points[b])) for k, a, b in base]

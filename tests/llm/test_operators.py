@@ -129,6 +129,17 @@ def test_secrets(spark):
     assert all(not secrets.find(clean[i]["text"])[1] for i in range(len(texts)) if clean[i]["text"])
 
 
+def test_secrets_at_every_place():
+    for blob in (base64.b64encode(b"token=deadbeef99 and so on").decode(), base64.b64encode(gzip.compress(b"secret: abcdefgh")).decode(), "%70%61%73%73word%3Dhunter22"):
+        text = f"first {blob}\nsecond {blob}\n"
+        spans = secrets.find(text)[1]
+        assert len(spans) >= 2 and any(a > text.index("second") for _, a, _ in spans)
+        assert not secrets.find(secrets.redact(text, spans))[1]
+        twice = base64.b64encode(text.encode()).decode()
+        again = secrets.find(f"{twice} and {twice}")[1]
+        assert any(a > len(twice) for _, a, _ in again) and any(a < len(twice) for _, a, _ in again)
+
+
 def test_licences(spark):
     notice = licences.TEMPLATES["MIT"]
     files = [(1, "a/LICENSE", notice), (2, "a/b/x.txt", "hello"), (3, "a/c/LICENSE", licences.TEMPLATES["Apache-2.0"]), (4, "a/c/d/e.txt", "text\nAll rights reserved.\nmore"), (5, "a/c/d/f.txt", None), (6, "z/q.txt", ""), (7, None, "x"), (8, "top.txt", "x the of and"), (9, "ab/x.txt", "the program of the public")]
