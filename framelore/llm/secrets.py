@@ -12,6 +12,8 @@ import base64
 import binascii
 import re
 import zlib
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -20,14 +22,15 @@ from pyspark.sql import functions as F
 
 from ._store import small_batches
 
+Place = Callable[[int, int], tuple[int, int]]  # from a span of a layer to the span it stands for in the layer around
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _CUES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(rb"[0-9a-f]{24,}")
-_URL = re.compile(rb"(?:%[0-9A-Fa-f]{2}[!-$&-~]{0,64}){2,}")
-_UNI = re.compile(rb"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};){2,}")
-_UNIT = re.compile(rb"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+# an escape sign that is itself escaped, however often, is read at once
+_URL = re.compile(rb"%(?:25)*([0-9A-Fa-f]{2})")
+_UNI = re.compile(rb"\\(?:u005[Cc]|x5[Cc])*(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2}))|&(?:#[xX]0*26;|#0*38;|amp;)*#(?:[xX]0*([0-9A-Fa-f]{1,6})|0*([0-9]{1,7}));")
 _B64 = re.compile(rb"[A-Za-z0-9+/_-]{16,}={0,2}")
 _MAX_LAYER = 1 << 24  # bytes that one compressed stretch may unfold to; guards against bombs
 
@@ -43,41 +46,43 @@ def plain(raw: bytes) -> list[tuple[str, int, int]]:
     return out
 
 
-_BEFORE, _AFTER = re.compile(rb"[\x20-~]{0,64}\Z"), re.compile(rb"[!-~]{0,64}")
+def _byte(m: re.Match) -> bytes:
+    return bytes([int(m[1], 16)])
 
 
-def _around(m: re.Match) -> tuple[int, int]:
-    """A stretch with what touches it, as a name and its value may be written in different ways."""
-    raw = m.string
-    before = _BEFORE.search(raw, max(0, m.start() - 64), m.start())
-    return before.start() if before else m.start(), _AFTER.match(raw, m.end()).end()
+def _char(m: re.Match) -> bytes:
+    code = int(m[4]) if m[4] else int(m[1] or m[2] or m[3], 16)
+    return chr(code).encode("utf-8", "surrogatepass") if code < 0x110000 else b"?"
 
 
-def _url(m: re.Match) -> tuple[bytes, list[tuple[int, int]]]:
-    (i, end), s, out, at = _around(m), m.string, bytearray(), []
-    while i < end:
-        wide = 3 if s[i] == 37 and re.fullmatch(rb"%[0-9A-Fa-f]{2}", s[i : i + 3]) else 1
-        out.append(int(s[i + 1 : i + 3], 16) if wide == 3 else s[i])
-        at.append((i, i + wide))
-        i += wide
-    return bytes(out), at
+def _unescaped(raw: bytes, escape: re.Pattern, decode: Callable[[re.Match], bytes]) -> tuple[bytes, Place] | None:
+    """The whole layer with every escape read, as a name and its value may be written in different ways; None without one."""
+    out, ends, here, at = [], [], [], 0  # ends: where the pieces end in the new layer; here: where they start and end in the old
+    n = 0
+    for m in escape.finditer(raw):
+        for piece, start, end in ((raw[at : m.start()], at, m.start()), (decode(m), m.start(), m.end())):
+            if piece:
+                n += len(piece)
+                out.append(piece)
+                ends.append(n)
+                here.append((start, end))
+        at = m.end()
+    if not out:
+        return None
+    if at < len(raw):
+        out.append(raw[at:])
+        ends.append(n + len(raw) - at)
+        here.append((at, len(raw)))
 
+    def place(a: int, b: int) -> tuple[int, int]:
+        i, j = bisect_right(ends, a), bisect_left(ends, b)
+        (start, end), first = here[i], ends[i - 1] if i else 0
+        whole = end - start == ends[i] - first  # a piece without escapes
+        start += (a - first) if whole else 0
+        (p, q), first = here[j], ends[j - 1] if j else 0
+        return start, p + b - first if q - p == ends[j] - first else q
 
-def _unicode(m: re.Match) -> tuple[bytes, list[tuple[int, int]]]:
-    (i, end), s, out, at = _around(m), m.string, bytearray(), []
-    while i < end:
-        u = _UNIT.match(s, i)
-        if u is None:
-            out.append(s[i])
-            at.append((i, i + 1))
-            i += 1
-            continue
-        code = int(u[4]) if u[4] else int(u[1] or u[2] or u[3], 16)
-        c = chr(code).encode("utf-8", "surrogatepass") if code < 0x110000 else b"?"
-        out += c
-        at += [(i, u.end())] * len(c)
-        i = u.end()
-    return bytes(out), at
+    return b"".join(out), place
 
 
 def _unpack(raw: bytes) -> bytes | None:
@@ -92,7 +97,7 @@ def _unpack(raw: bytes) -> bytes | None:
     return None
 
 
-def _base64(m: re.Match) -> tuple[bytes, list[tuple[int, int]]] | None:
+def _base64(m: re.Match) -> tuple[bytes, Place] | None:
     body = m[0].rstrip(b"=")
     if len(body) % 4 == 1:
         return None
@@ -101,21 +106,20 @@ def _base64(m: re.Match) -> tuple[bytes, list[tuple[int, int]]] | None:
     except (binascii.Error, ValueError):
         return None
     if (opened := _unpack(raw)) is not None:
-        return opened, [(m.start(), m.end())] * len(opened)
+        return opened, lambda a, b: m.span()
     good = sum(32 <= c < 127 or c in (9, 10, 13) for c in raw)
     if good < 0.9 * len(raw):
         return None
-    return raw, [(m.start() + 4 * (i // 3), m.start() + min(4 * (i // 3) + 4, len(m[0]))) for i in range(len(raw))]
+    return raw, lambda a, b: (m.start() + 4 * (a // 3), m.start() + min(4 * ((b - 1) // 3) + 4, len(m[0])))
 
 
 def _layers(raw: bytes):
     if b"%" in raw:
-        yield from (_url(m) for m in _URL.finditer(raw))
-    if b"\\" in raw or b"&#" in raw:
-        yield from (_unicode(m) for m in _UNI.finditer(raw))
+        yield _unescaped(raw, _URL, _byte)
+    if b"\\" in raw or b"&" in raw:
+        yield _unescaped(raw, _UNI, _char)
     for m in _B64.finditer(raw):
-        if (got := _base64(m)) is not None:
-            yield got
+        yield _base64(m)
 
 
 def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -125,9 +129,7 @@ def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
     places, found, work = {raw: []}, {raw: set(base)}, [raw]  # by content: the layers it stands in, and its spans
     while work:
         layer = work.pop()
-        for inner, at in _layers(layer):
-            if not inner:
-                continue
+        for inner, at in filter(None, _layers(layer)):
             if inner not in places:
                 places[inner], found[inner] = [], set(plain(inner))
                 work.append(inner)
@@ -136,7 +138,7 @@ def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
     while news:
         layer, spans = news.pop()
         for outer, at in places[layer]:
-            fresh = {(k, at[a][0], at[b - 1][1]) for k, a, b in spans} - found[outer]
+            fresh = {(k, *at(a, b)) for k, a, b in spans} - found[outer]
             if fresh:
                 found[outer] |= fresh
                 news.append((outer, fresh))

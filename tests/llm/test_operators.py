@@ -140,6 +140,16 @@ def test_secrets_at_every_place():
         assert any(a > len(twice) for _, a, _ in again) and any(a < len(twice) for _, a, _ in again)
 
 
+def test_secrets_with_single_escapes():
+    long = "eyJ" + "aB3" * 100
+    for text, value in [("password%3Dhunter22secret", "hunter22secret"), (f"next=/cb?access_token%3D{long}", long), ('{"a": "token\\u003dabcdefgh"}', "abcdefgh"), ("token&#61;abcdefgh", "abcdefgh"), (f"token%3A%20{long} tail", long),
+                        ("ü token%25252525253Dabcdefgh", "abcdefgh"), ("token\\u005cu003dabcdefgh", "abcdefgh"), ("token&amp;#61;abcdefgh", "abcdefgh"), ("token\\u003d%61bcdefgh", "%61bcdefgh")]:
+        assert value not in secrets.redact(text, secrets.find(text)[1]) and any(value in text[a:b] and text[a:b].startswith("token") | text[a:b].startswith("pass") for _, a, b in secrets.find(text)[1]), text
+    assert secrets.find("50% of 100%, a\\b & c") == ([], [])
+    many = "%25" * 100_000 + "3D"  # read in linear time
+    assert secrets.find("token%" + "25" * 100_000 + "3Dabcdefgh" + many)[1]
+
+
 def test_licences(spark):
     notice = licences.TEMPLATES["MIT"]
     files = [(1, "a/LICENSE", notice), (2, "a/b/x.txt", "hello"), (3, "a/c/LICENSE", licences.TEMPLATES["Apache-2.0"]), (4, "a/c/d/e.txt", "text\nAll rights reserved.\nmore"), (5, "a/c/d/f.txt", None), (6, "z/q.txt", ""), (7, None, "x"), (8, "top.txt", "x the of and"), (9, "ab/x.txt", "the program of the public")]
