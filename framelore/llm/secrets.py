@@ -4,16 +4,19 @@ A text is a layer; so is whatever a URL-escaped, Unicode-escaped, base64 or comp
 worklist scans each layer with the same patterns and unwraps it until nothing new appears. A content is opened once, which
 ends cycles, but every place where it stands is kept: what is found in it is carried to each of them, and on to the
 places of the layers around, so a secret found in any depth is reported as a span of the original wherever it occurs.
+Every base64 run is read at its four alignments, whatever it decodes to. Compressed streams in what it decodes to are
+unfolded to their end through all their members and scanned chunk by chunk; a secret in one stands for the whole stream.
 """
 
 from __future__ import annotations
 
-import base64
 import binascii
 import re
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable
+from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,8 +34,14 @@ _HEX = re.compile(rb"[0-9a-f]{24,}")
 # an escape sign that is itself escaped, however often, is read at once
 _URL = re.compile(rb"%(?:25)*([0-9A-Fa-f]{2})")
 _UNI = re.compile(rb"\\(?:u005[Cc]|x5[Cc])*(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2}))|&(?:#[xX]0*26;|#0*38;|amp;)*#(?:[xX]0*([0-9A-Fa-f]{1,6})|0*([0-9]{1,7}));")
-_B64 = re.compile(rb"[A-Za-z0-9+/_-]{16,}={0,2}")
-_MAX_LAYER = 1 << 24  # bytes that one compressed stretch may unfold to; guards against bombs
+# a run may be wrapped: line ends, also written as \n, and what indents or quotes the next line
+_B64 = re.compile(rb"[A-Za-z0-9+/_-]{16,}(?:(?:[ \t]*\r?\n[ \t>]*|(?:\\r)?\\n)[A-Za-z0-9+/_-]+)*={0,2}")
+_WRAP = re.compile(rb"[ \t]*\r?\n[ \t>]*|(?:\\r)?\\n")
+# gzip, or zlib without a preset dictionary
+_PACKED = re.compile(rb"\x1f\x8b\x08|[\x08\x18\x28\x38\x48\x58\x68\x78][\x00-\x1f\x40-\x5f\x80-\x9f\xc0-\xdf]")
+# where a compressed layer can be cut without parting a stretch: a sign of no encoding, or a blank within a line
+_BREAK = re.compile(rb"[^A-Za-z0-9+/_=\s\\%&#;>-]|[^\s>][ \t]+(?=[^\s])")
+_CHUNK, _OVERLAP = 1 << 22, 1 << 16
 
 
 def plain(raw: bytes) -> list[tuple[str, int, int]]:
@@ -85,32 +94,95 @@ def _unescaped(raw: bytes, escape: re.Pattern, decode: Callable[[re.Match], byte
     return b"".join(out), place
 
 
-def _unpack(raw: bytes) -> bytes | None:
-    """The content of a gzip or zlib stream, whole or nothing."""
-    if raw[:2] == b"\x1f\x8b" or (len(raw) > 6 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0):
+def _inflate(raw: bytes, at: int):
+    """Pieces of the stream that starts at `at`, through all gzip members that follow one another; returns where it ends.
+
+    What comes before an error is given too.
+    """
+    view = memoryview(raw)
+    while True:
+        opened, start = zlib.decompressobj(47), at
         try:
-            opened = zlib.decompressobj(47)
-            got = opened.decompress(raw, _MAX_LAYER)
-            return got if opened.eof or got else None
+            while at < len(raw) and not opened.eof:
+                fed = bytes(view[at : at + _OVERLAP])
+                at += len(fed)
+                while fed and not opened.eof:
+                    if got := opened.decompress(fed, 1 << 20):
+                        yield got
+                    fed = opened.unconsumed_tail
+            while not opened.eof and (got := opened.decompress(b"", 1 << 20)):
+                yield got
         except zlib.error:
-            return None
-    return None
+            return at
+        at -= len(opened.unused_data)
+        if not opened.eof or raw[start : start + 2] != b"\x1f\x8b" or raw[at : at + 3] != b"\x1f\x8b\x08":
+            return at
 
 
-def _base64(m: re.Match) -> tuple[bytes, Place] | None:
-    body = m[0].rstrip(b"=")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        raw = base64.b64decode(body.replace(b"-", b"+").replace(b"_", b"/") + b"=" * (-len(body) % 4))
-    except (binascii.Error, ValueError):
-        return None
-    if (opened := _unpack(raw)) is not None:
-        return opened, lambda a, b: m.span()
-    good = sum(32 <= c < 127 or c in (9, 10, 13) for c in raw)
-    if good < 0.9 * len(raw):
-        return None
-    return raw, lambda a, b: (m.start() + 4 * (a // 3), m.start() + min(4 * ((b - 1) // 3) + 4, len(m[0])))
+def _chunks(pieces):
+    """Layers to scan one by one: each starts where no stretch is parted, before the end of the last one.
+
+    A run without such a place is kept whole, however long.
+    """
+    held, enough = bytearray(), _CHUNK
+    for piece in pieces:
+        held += piece
+        if len(held) < enough:
+            continue
+        cut, stop = 0, len(held) - _OVERLAP
+        while stop > 0 and not cut:
+            start = max(0, stop - 4096)
+            for m in _BREAK.finditer(held, start, stop):
+                cut = m.end()
+            stop = start + 1 if start else 0
+        if cut:
+            yield bytes(held)
+            del held[:cut]
+        enough = max(_CHUNK, 2 * len(held))
+    if held:
+        yield bytes(held)
+
+
+def _packed(raw: bytes):
+    """(start, end, the pieces' chunks) of the compressed streams in a layer, as a generator that must be used up at each step."""
+    at = 0
+    while (m := _PACKED.search(raw, at)) is not None:
+        at = m.start()
+        if raw[at] != 0x1F and (raw[at] << 8 | raw[at + 1]) % 31:
+            at += 1
+            continue
+        end = [at]
+
+        def pieces(start=at, end=end):
+            end[0] = yield from _inflate(raw, start)
+
+        stream = pieces()
+        first = next(stream, None)
+        if first is None:
+            at += 1
+            continue
+        yield at, end, _chunks(chain([first], stream))
+        at += 2  # a false start may stand before a true one
+
+
+def _base64(m: re.Match):
+    """A run read from each of its first four characters, as signs of a path or a name may stand before it."""
+    raw, (first, last) = m[0], m.span()
+    body = raw.rstrip(b"=")
+    kept = range(len(body))
+    if wraps := list(_WRAP.finditer(body)):
+        kept = np.concatenate([np.arange(a, b) for a, b in zip([0, *(w.end() for w in wraps)], [*(w.start() for w in wraps), len(body)])])
+        body = _WRAP.sub(b"", body)
+    body = body.replace(b"-", b"+").replace(b"_", b"/")
+    for skip in range(4):
+        size = len(body) - skip
+        size -= size % 4 == 1
+
+        def place(a: int, b: int, skip=skip, size=size) -> tuple[int, int]:
+            end = 4 * ((b - 1) // 3) + 4
+            return first + int(kept[skip + 4 * (a // 3)]), last if end >= size else first + int(kept[skip + end - 1]) + 1
+
+        yield binascii.a2b_base64(body[skip : skip + size] + b"=" * (-size % 4)), place
 
 
 def _layers(raw: bytes):
@@ -119,14 +191,12 @@ def _layers(raw: bytes):
     if b"\\" in raw or b"&" in raw:
         yield _unescaped(raw, _UNI, _char)
     for m in _B64.finditer(raw):
-        yield _base64(m)
+        yield from _base64(m)
 
 
-def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """(spans of the text itself, those and the ones inside its encodings), by start and kind; code points, end exclusive."""
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    base = plain(raw)
-    places, found, work = {raw: []}, {raw: set(base)}, [raw]  # by content: the layers it stands in, and its spans
+def _inside(raw: bytes, text: bool = False):
+    """The spans of a layer with those in its encodings. Compressed streams (text itself is none) are handed out as digest and chunks; their kinds come back."""
+    places, found, work = {raw: []}, {raw: set(plain(raw))}, [raw]  # by content: the layers it stands in, and its spans
     while work:
         layer = work.pop()
         for inner, at in filter(None, _layers(layer)):
@@ -134,6 +204,10 @@ def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
                 places[inner], found[inner] = [], set(plain(inner))
                 work.append(inner)
             places[inner].append((layer, at))
+        if layer is not raw or not text:
+            for start, end, chunks in _packed(layer):
+                kinds = yield blake2b(memoryview(layer)[start:]).digest(), chunks
+                found[layer] |= {(k, start, max(end[0], start + 1) if end[0] > start else len(layer)) for k in kinds}
     news = [(layer, spans) for layer, spans in found.items() if spans]
     while news:
         layer, spans = news.pop()
@@ -142,7 +216,42 @@ def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
             if fresh:
                 found[outer] |= fresh
                 news.append((outer, fresh))
-    more = found[raw]
+    return found[raw]
+
+
+def _unfolded(chunks):
+    kinds = set()
+    for chunk in chunks:
+        kinds |= {k for k, _, _ in (yield from _inside(chunk))}
+    return kinds
+
+
+def _spans(raw: bytes) -> set[tuple[str, int, int]]:
+    """_inside() with every compressed stream opened once; a stack, as they can nest deeply. One that holds itself adds nothing."""
+    known: dict[bytes, set[str]] = {}
+    stack, back = [(None, _inside(raw, True))], None
+    while True:
+        try:
+            key, chunks = stack[-1][1].send(back)
+        except StopIteration as done:
+            key, back = stack.pop()[0], done.value
+            if not stack:
+                return back
+            known[key] = back
+            continue
+        if key in known or any(key == k for k, _ in stack):
+            for _ in chunks:  # to learn where it ends
+                pass
+            back = known.get(key, set())
+        else:
+            stack.append((key, _unfolded(chunks)))
+            back = None
+
+
+def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+    """(spans of the text itself, those and the ones inside its encodings), by start and kind; code points, end exclusive."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    base, more = plain(raw), _spans(raw)
     if (base or more) and not raw.isascii():
         points = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
         base = [(k, int(points[a]), int(points[b])) for k, a, b in base]

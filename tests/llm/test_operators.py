@@ -150,6 +150,31 @@ def test_secrets_with_single_escapes():
     assert secrets.find("token%" + "25" * 100_000 + "3Dabcdefgh" + many)[1]
 
 
+def test_secrets_in_whole_layers():
+    b64 = lambda b: base64.b64encode(b).decode()
+    plain, noise = b"token=deadbeef99 and so on", bytes(np.random.default_rng(1).integers(128, 256, 200, dtype=np.uint8))
+    words = b" ".join(b"w%d" % i for i in range(40))
+    texts = {
+        "second member": b64(gzip.compress(b"x" * 50) + gzip.compress(b"secret: abcdefgh")),
+        "across members": b64(gzip.compress(b"x sec") + gzip.compress(b"ret: abcdefgh")),
+        "beyond 16 MB": b64(gzip.compress(b"x y " * (5 << 20) + b" secret: abcdefgh")),
+        "Russian": b64("пароль такой password=hunter22 и всё остальное тут".encode()),
+        "binary": b64(noise + plain + noise),
+        "wrapped": base64.encodebytes(words + b" password=hunter22 " + words).decode(),
+        "wrapped, crlf and quoted": base64.encodebytes(gzip.compress(noise + plain)).decode().replace("\n", "\r\n> "),
+        "wrapped, written": base64.encodebytes(words + b" password=hunter22 " + words).decode().replace("\n", "\\n"),
+        "zlib after a head": b64(b"head" + zlib.compress(plain)),
+        "cut stream": b64(gzip.compress(plain + noise)[:-60]),
+        "packed twice": b64(zlib.compress(zlib.compress(noise + plain))),
+        "nested beyond a chunk": b64(gzip.compress(b"x y " * (1 << 20) + base64.encodebytes(gzip.compress(bytes(np.random.default_rng(2).integers(0, 256, 300_000, dtype=np.uint8)) + plain)))),
+    } | {f"{n} before": "p/_x"[:n] + b64(plain) for n in (1, 2, 3, 4)} | {f"{n} before gzip": "p/_x"[:n] + b64(gzip.compress(plain)) for n in (1, 2, 3, 4)}
+    for name, text in texts.items():
+        text = f"before {text} after"
+        spans = secrets.find(text)[1]
+        assert spans and spans[0][1] >= 7 and spans[-1][2] <= len(text) - 6, name
+        assert not secrets.find(secrets.redact(text, spans))[1], name
+
+
 def test_licences(spark):
     notice = licences.TEMPLATES["MIT"]
     files = [(1, "a/LICENSE", notice), (2, "a/b/x.txt", "hello"), (3, "a/c/LICENSE", licences.TEMPLATES["Apache-2.0"]), (4, "a/c/d/e.txt", "text\nAll rights reserved.\nmore"), (5, "a/c/d/f.txt", None), (6, "z/q.txt", ""), (7, None, "x"), (8, "top.txt", "x the of and"), (9, "ab/x.txt", "the program of the public")]
