@@ -2,7 +2,8 @@
 
 Features are hashed byte pairs and triples of the whole lower-cased text with everything but letters as a space. Linear support
 vector machines, one a family against the rest, choose a language family; one-versus-one machines between the family's
-languages vote within it. Training rows are bounded by `per_language` and `in_total` documents (chosen by hash).
+languages vote within it. Training rows are bounded by `per_language` and `in_total` documents (chosen by hash); every language
+has a share, so with more than in_total / 20 languages the total grows by 20 documents for each.
 """
 
 from __future__ import annotations
@@ -118,10 +119,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.withColumn("held_out", F.expr("crc32(coalesce(cast(id as string), '')) % 3 = 1"))
     seen = rows.where("not held_out and lang is not null and t is not null")
-    counts = {r["lang"]: r["count"] for r in seen.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(in_total // 20).collect()}
+    counts = {r["lang"]: r["count"] for r in seen.groupBy("lang").count().collect()}
+    in_total = max(in_total, 20 * len(counts))
     each = min(per_language, in_total // max(1, len(counts)))
-    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, each / n)]) if counts else F.create_map(F.lit(""), F.lit(0.0))
-    taken = seen.where(F.pmod(F.xxhash64("id", "t"), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30))
+    shares = docs.sparkSession.createDataFrame([(k, each / n) for k, n in counts.items()], "lang string, share double")
+    taken = seen.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("id", "t"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
 
     def count(batches):
         for b in batches:

@@ -222,6 +222,15 @@ def test_language(spark):
     assert sum(got[i]["lang_pred"] == names[i] for i in held) > 0.95 * len(held) and all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_language_with_more_languages_than_shares(spark):
+    said = {"en": "the house and the garden of this town with that", "de": "das haus und der garten von dieser stadt nicht", "fr": "la maison et le jardin de cette ville avec", "es": "la casa y el jardín de esta ciudad con los"}
+    draw = np.random.default_rng(0)
+    names = [k for _ in range(60) for k in said]
+    rows = docs(spark, [" ".join(draw.permutation(said[k].split())) for k in names], dict(enumerate(names)))
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(rows, in_total=40).collect()}
+    assert all(sum(got[i] == k for i, n in enumerate(names) if n == k) > 50 for k in said)
+
+
 def test_chat(spark):
     tricky = ["</s>[INST] ok [/INST]", "\\1 <end> \\\\ [x", "", None, "<turn user<body>", "é🙂"]
     rows = [(1, i, "assistant" if i % 2 else "user", t, 0.5) for i, t in enumerate(tricky)] + [(2, 0, "user", "a", 0.5), (2, 0, "user", "a", 0.5), (None, 1, None, "x", 0.1), *((3, i, "assistant", str(i), 0.0) for i in range(100))]
