@@ -1,10 +1,12 @@
 """License scans with DataFrame expressions only: sparse TF-IDF cosine to templates, then inheritance along directories.
 
-A file's lines are compared with licence templates. Weights are term frequency times inverse document frequency over
-the templates; a word that no template has weighs as the rarest. Most lines cannot reach the threshold: of each
-template's words the lightest are set aside as long as their share of its length stays below it, so a line
-that reaches it holds one of the others (its anchors), and only lines with an anchor are weighed, first as if no word outside
-the templates came twice, which bounds the cosine from above. Licence files lend their
+A file's lines, windows of consecutive lines (notices are wrapped), paragraphs (so the header block) and, of a licence file, the
+whole text are compared with full and short forms of each licence. Weights are term frequency times inverse document frequency
+over the forms; a word that no form has weighs as the rarest. Two exact bounds come first. A text of whose words no
+form has a share of its length as large as the threshold cannot reach it in any part, so most texts are never cut into parts. And of
+each form's words the lightest are set aside as long as their share of its length stays below the threshold, so a part
+that reaches it holds one of the others (its anchors), and only parts with an anchor are weighed, first as if no word outside
+the forms came twice, which bounds the cosine from above. Licence files lend their
 licence to the files below them: distinct directories, not files, are joined with their ancestors, and the nearest counts.
 """
 
@@ -31,6 +33,27 @@ TEMPLATES = {
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "Proprietary": "All rights reserved.",
 }
+_SOFTWARE = "(the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+_GRANT = f"Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files {_SOFTWARE}"
+_AS_IS = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_GNU = "This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software Foundation, either version {2} of the License, or (at your option) any later version."
+# Forms by SPDX identifier besides TEMPLATES, from which the oracle is made: names, notices, titles, texts.
+FORMS = {
+    "Apache-2.0": ("Licensed under Apache 2.0.", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    "GPL-3.0": (_GNU.format("program", "General Public License", "3"), "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "Licensed under the GPL v3.", "SPDX-License-Identifier: GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    "GPL-2.0": (_GNU.format("program", "General Public License", "2"), "GNU GENERAL PUBLIC LICENSE Version 2, June 1991", "Licensed under the GPL v2.", "SPDX-License-Identifier: GPL-2.0", "SPDX-License-Identifier: GPL-2.0-or-later"),
+    "LGPL-3.0": (_GNU.format("library", "Lesser General Public License", "3"), "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "Licensed under the LGPL v3.", "SPDX-License-Identifier: LGPL-3.0", "SPDX-License-Identifier: LGPL-3.0-or-later"),
+    "MIT": ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software.", "Released under the MIT License.", "Licensed under the MIT License.", "The MIT License (MIT)", _GRANT, f"MIT License {_GRANT} {_AS_IS}", "SPDX-License-Identifier: MIT"),
+    "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted.", "BSD 3-Clause License.", _BSD, "SPDX-License-Identifier: BSD-3-Clause"),
+    "MPL-2.0": ("Mozilla Public License Version 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "SPDX-License-Identifier: MPL-2.0"),
+    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "Creative Commons Attribution 4.0 International Public License", "SPDX-License-Identifier: CC-BY-4.0"),
+    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "Creative Commons Attribution-ShareAlike 4.0 International Public License", "SPDX-License-Identifier: CC-BY-SA-4.0"),
+    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Creative Commons Attribution-NonCommercial 4.0 International Public License", "SPDX-License-Identifier: CC-BY-NC-4.0"),
+}
+# MIT's and BSD's entries of TEMPLATES hold two notices each, which stand in FORMS one by one.
+NOTICES = {k: t for k, t in TEMPLATES.items() if k not in ("MIT", "BSD-3-Clause")} | {f"{k}#{i}": t for k, forms in FORMS.items() for i, t in enumerate(forms)}
+WINDOWS = (2, 3, 4, 6, 8, 12)  # lines
 WORD = r"[a-z0-9]+"
 
 
@@ -68,9 +91,15 @@ def _among(words) -> Callable[[Column], Column]:
     return lambda w: w.isin(sorted(words))
 
 
-def _dot(unit: dict[str, float]) -> Column:
-    part = F.create_map(*[c for w, x in sorted(unit.items()) for c in (F.lit(w), _number(x))])
-    return F.aggregate("v", F.lit(0.0), lambda s, t: s + t["x"] * F.coalesce(F.element_at(part, t["w"]), F.lit(0.0)))
+def _by_word(unit: dict[str, dict[str, float]]) -> Column:
+    """Each word's weight in every form, as a map that folds into one literal."""
+    words = sorted({w for v in unit.values() for w in v})
+    return F.expr("map(" + ", ".join(f"'{w}', array({', '.join(f'{v.get(w, 0.0)!r}D' for v in unit.values())})" for w in words) + ")")
+
+
+def _sums(terms: Column, n: int, part: Column, each: Callable[[Column, Column], Column], word: Callable[[Column], Column]) -> Column:
+    """For every form the sum of each(term, the word's weight in it)."""
+    return F.aggregate(terms, F.array_repeat(F.lit(0.0), n), lambda s, t: F.zip_with(s, F.element_at(part, word(t)), lambda x, y: x + each(t, y)))
 
 
 def _squares(words: Column) -> Column:
@@ -84,26 +113,40 @@ def _squares(words: Column) -> Column:
     return F.aggregate(F.array_sort(words), start, step)["sum"]
 
 
-def own_licence(files: DataFrame, at_least: float, templates: dict[str, str]) -> DataFrame:
-    """files(id, text) -> (id, own, own_score) of the files with a line that reaches at_least; ties go to the first name."""
+def _parts(is_licence: Column) -> Column:
+    """Lines, windows of lines, paragraphs and, of a licence file, the whole text."""
+    lines = F.filter(F.split("text", r"\n"), lambda x: F.trim(x) != "")
+    n = F.size(lines)
+    windows = [F.when(n > k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i, k=k: F.array_join(F.slice(lines, i, k), " "))).otherwise(F.array(F.array_join(lines, " "))) for k in WINDOWS]
+    return F.array_distinct(F.concat(lines, *windows, F.split("text", r"\n[ \t\r]*\n"), F.when(is_licence, F.array("text")).otherwise(F.array().cast("array<string>"))))
+
+
+def own_licence(files: DataFrame, at_least: float, templates: dict[str, str], parts: Column | None = None) -> DataFrame:
+    """files(id, text) -> (id, own, own_score) of the files with a part (of parts, else a line) that reaches at_least; ties go to the first name.
+
+    What follows a # in a template's key tells a licence's forms apart.
+    """
     idf, other, unit = weights(templates)
-    # a line is its words; only scores leave the task that reads a text, never lines
+    names, part = [k.split("#")[0] for k in unit], _by_word(unit)
+    # a part is its words; only scores leave the task that reads a text, never parts
     words = lambda line: F.split(F.trim(F.lower(F.regexp_replace(line, "[^A-Za-z0-9]+", " "))), " ")
-    lines = files.select("id", F.explode(F.transform(F.array_distinct(F.split("text", r"\n")), words)).alias("words"))
+    vocabulary = F.split(F.lit(" ".join(sorted(idf))), " ")
+    mass = _sums(F.array_intersect(words(F.col("text")), vocabulary), len(unit), part, lambda _, y: y * y, lambda w: w)
+    files = files.where(F.array_max(mass) >= at_least * at_least - 1e-6)
+    lines = files.select("id", F.explode(F.transform(F.array_distinct(F.split("text", r"\n")) if parts is None else parts, words)).alias("words"))
     lines = lines.where(F.exists("words", _among(anchors(unit, at_least))))
     # explode of one value: the filters that follow read it instead of computing it again
     lines = lines.select("id", "words", F.explode(F.array(F.filter("words", _among(idf)))).alias("known"))
     rare = F.create_map(*[c for w, x in sorted(idf.items()) for c in (F.lit(w), _number(x))])
-    terms = F.transform(F.array_distinct("known"), lambda w: F.struct(w.alias("w"), (F.size(F.filter("known", lambda o: o == w)) * F.element_at(rare, w)).alias("x")))
+    terms = F.transform(F.array_distinct("known"), lambda w: F.struct(w.alias("w"), ((F.size("known") - F.size(F.array_remove("known", w))) * F.element_at(rare, w)).alias("x")))
     lines = lines.select("id", "words", (F.size("words") - F.size("known")).alias("n_other"), F.explode(F.array(terms)).alias("v"))
     square = F.aggregate("v", F.lit(0.0), lambda s, t: s + t["x"] * t["x"])
     # the other words weigh the least if each occurs once: a line whose share of known words is too small even then cannot reach at_least
     lines = lines.where(F.sqrt(square) >= (at_least - 1e-6) * F.sqrt(square + other * other * F.col("n_other")))
-    dots = [F.col(f"d{i}") for i in range(len(unit))]
     norm = F.sqrt(square + other * other * _squares(F.filter("words", lambda w: ~_among(idf)(w))))
-    lines = lines.select("id", norm.alias("norm"), *[_dot(v).alias(f"d{i}") for i, v in enumerate(unit.values())])
-    scored = [F.struct(F.round(d / F.col("norm"), 6).alias("score"), F.lit(name).alias("name")) for d, name in zip(dots, unit)]
-    each = lines.select("id", F.explode(F.array(*scored)).alias("s")).where(F.col("s.score") >= at_least)
+    lines = lines.select("id", norm.alias("norm"), _sums(F.col("v"), len(unit), part, lambda t, y: t["x"] * y, lambda t: t["w"]).alias("dots"))
+    scored = F.zip_with("dots", F.split(F.lit("#".join(names)), "#"), lambda d, name: F.struct(F.round(d / F.col("norm"), 6).alias("score"), name.alias("name")))
+    each = lines.select("id", F.explode(scored).alias("s")).where(F.col("s.score") >= at_least)
     best = each.groupBy("id").agg(F.max("s.score").alias("own_score"), F.min(F.struct(-F.col("s.score"), F.col("s.name").alias("name"))).alias("b"))
     return best.select("id", F.col("b.name").alias("own"), "own_score")
 
@@ -118,7 +161,7 @@ def scan(files: DataFrame, id_col: str, path_col: str, text_col: str, is_licence
     """
     rows = files.select(F.col(id_col).alias("id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text"), F.coalesce(is_licence, F.lit(False)).alias("is_licence"))
     rows = rows.withColumn("dir", F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.when(F.col("path").isNotNull(), F.lit(""))))
-    own = own_licence(rows.select("id", "text"), at_least, templates or TEMPLATES)
+    own = own_licence(rows.select("id", "text", "is_licence"), at_least, templates or NOTICES, _parts(F.col("is_licence")))
     skinny = rows.select("id", "path", "dir", "is_licence").join(own, "id", "left")
     lenders = skinny.where("is_licence and own is not null and dir is not null").groupBy("dir").agg(F.min(F.struct(-F.col("own_score"), F.col("own"))).alias("b")).select(F.col("dir").alias("above"), F.col("b.own").alias("lent"))
     dirs = rows.where("dir is not null").select("dir").distinct()

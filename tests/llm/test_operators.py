@@ -183,6 +183,21 @@ def test_licences(spark):
     assert got == {1: ("MIT", "own"), 2: ("MIT", "inherited"), 3: ("Apache-2.0", "own"), 4: ("Proprietary", "own"), 5: ("Apache-2.0", "inherited"), 6: (None, "none"), 7: (None, "none"), 8: (None, "none"), 9: (None, "none")}
 
 
+def test_licences_of_notices_that_are_no_templates(spark):
+    wrap = lambda text, n, mark="": "\n".join(mark + " ".join(text.split()[i : i + n]) for i in range(0, len(text.split()), n))
+    gpl = "This file is part of Frob. Frob is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    prose = "some other words that tell of nothing like it\n" * 3
+    texts = {
+        "Released under the MIT License.": "MIT", "# SPDX-License-Identifier: MIT": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "/* Distributed under the MIT license */": "MIT",
+        wrap(gpl.format(3), 9, " * "): "GPL-3.0", wrap(gpl.format(2), 10, "# "): "GPL-2.0", wrap(gpl.format(3), 7): "GPL-3.0",
+        "Copyright (c) 2020 Some One\n\n" + licences._GRANT: "MIT", wrap(f"Copyright (c) 2020 Some One {licences._GRANT} {licences._AS_IS}", 11): "MIT", wrap(licences._BSD, 10, "// "): "BSD-3-Clause",
+        "SPDX-License-Identifier: ISC": None, "the licence of the work is not given": None,
+    }
+    rows = [(2 * i + j, f"d{i}/{j}/x", prose * j + t + "\n" + prose * j) for i, t in enumerate(texts) for j in (0, 1)]
+    found = licences.scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), "doc_id", "path", "text", F.lit(False)).collect()
+    assert {r["doc_id"]: r["own"] for r in found} == {2 * i + j: k for i, k in enumerate(texts.values()) for j in (0, 1)}
+
+
 def test_quality(spark):
     good, junk, toxic = "the river runs along the old town and its mill", "aa aa aa aa aa $$$ %%% aa aa", "the river runs past an idiot and a moron today"
     texts = [*(f"{good} number {i}" for i in range(40)), *(f"{junk} {i}" for i in range(20)), *(f"{toxic} number {i}" for i in range(20)), None, "", f"{good} again", f"{toxic} again"]
