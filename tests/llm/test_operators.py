@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framelore.llm import chat, decontam, embed_dedup, html_main, langid, licences, packing, quality, secrets, simhash
+from framelore.llm import chat, decontam, embed_dedup, langid, licences, packing, quality, secrets, simhash
 from framelore.llm._components import connected_components
 from framelore.llm.queries import tokenizer
 
@@ -316,19 +316,6 @@ def test_tiles_lose_no_link(spark):
     assert {g for g in groups(got) if len(g) > 1} == {g for g in groups(comp) if len(g) > 1}
 
 
-PAGE = '<html><head><title>t</title><style>p{}</style><script>var a="</p>";</script></head><body><nav><ul><li>menu</li></ul></nav><div class="cookie-notice">we use</div>%s<aside>side</aside><div id="comments"><p>me too</p></div><footer>&copy; x</footer></body></html>'
-
-
-def test_main_text(spark):
-    rows = [(1, "http://a.example/1", PAGE % "<article><h1>Head &amp; <b>bo</b>ld</h1><p>One<p>two  &eacute;<br>three<div class='ad'>buy</div><form><input>go</form></article>"), (2, None, None), (3, "x", ""), (4, "http://a.example/4", "plain <p>text"), (5, "http://a.example/5", PAGE % "<main><p>only main</p></main>")]
-    rows += [(10 + i, f"http://b.example/{i}", f"<body><div class='top'>Always the same</div><div class='box'><p>Story {i} is new</p></div></body>") for i in range(12)]
-    got = {r["page_id"]: r["text"] for r in html_main.extract(spark.createDataFrame([(*r, "h") for r in rows], "page_id long, url string, html string, host string")).collect()}
-    assert got[1] == "Head & bold One two é three" and got[2] == got[3] == "" and got[4] == "plain text" and got[5] == "only main"
-    assert all(got[10 + i] == f"Story {i} is new" for i in range(12))
-    joined = {r["page_id"]: r["text"] for r in html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), max_bytes=0).collect()}
-    assert joined == got
-
-
 def test_pipeline_equals_plain_stages(spark, tmp_path):
     import corpus_pipeline
 
