@@ -2,12 +2,14 @@
 
 A file's lines, windows of consecutive lines (notices are wrapped), paragraphs (so the header block) and, of a licence file, the
 whole text are compared with full and short forms of each licence. Weights are term frequency times inverse document frequency
-over the forms; a word that no form has weighs as the rarest. Two exact bounds come first. A text of whose words no
-form has a share of its length as large as the threshold cannot reach it in any part, so most texts are never cut into parts. And of
+over the forms, without stop words; a word that no form has weighs as the rarest. Exact bounds come first. Of
 each form's words the lightest are set aside as long as their share of its length stays below the threshold, so a part
-that reaches it holds one of the others (its anchors), and only parts with an anchor are weighed, first as if no word outside
-the forms came twice, which bounds the cosine from above. Licence files lend their
-licence to the files below them: distinct directories, not files, are joined with their ancestors, and the nearest counts.
+that reaches it holds one of the others (its anchors): a text without an anchor is never cut into parts. A part can reach the threshold only
+if its known words weigh enough against the number of its other words; the sums for lines bound those of windows, so windows
+that cannot reach it are never built. What is left is weighed.
+
+Licence files lend their licence to the files below them: distinct directories, not files, are joined with their ancestors, and
+the nearest counts.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._store import stored
+
 # Short notices by SPDX identifier.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -40,13 +44,13 @@ _BSD = "Redistribution and use in source and binary forms, with or without modif
 _GNU = "This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software Foundation, either version {2} of the License, or (at your option) any later version."
 # Forms by SPDX identifier besides TEMPLATES, from which the oracle is made: names, notices, titles, texts.
 FORMS = {
-    "Apache-2.0": ("Licensed under Apache 2.0.", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    "GPL-3.0": (_GNU.format("program", "General Public License", "3"), "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "Licensed under the GPL v3.", "SPDX-License-Identifier: GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
-    "GPL-2.0": (_GNU.format("program", "General Public License", "2"), "GNU GENERAL PUBLIC LICENSE Version 2, June 1991", "Licensed under the GPL v2.", "SPDX-License-Identifier: GPL-2.0", "SPDX-License-Identifier: GPL-2.0-or-later"),
-    "LGPL-3.0": (_GNU.format("library", "Lesser General Public License", "3"), "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "Licensed under the LGPL v3.", "SPDX-License-Identifier: LGPL-3.0", "SPDX-License-Identifier: LGPL-3.0-or-later"),
-    "MIT": ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software.", "Released under the MIT License.", "Licensed under the MIT License.", "The MIT License (MIT)", _GRANT, f"MIT License {_GRANT} {_AS_IS}", "SPDX-License-Identifier: MIT"),
-    "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted.", "BSD 3-Clause License.", _BSD, "SPDX-License-Identifier: BSD-3-Clause"),
-    "MPL-2.0": ("Mozilla Public License Version 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "SPDX-License-Identifier: MPL-2.0"),
+    "Apache-2.0": ("Licensed under Apache 2.0.", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "SPDX-License-Identifier: Apache-2.0", "Distributed under the Apache License 2.0."),
+    "GPL-3.0": (_GNU.format("program", "General Public License", "3"), "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "Licensed under the GPL v3.", "SPDX-License-Identifier: GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later", "Distributed under the GNU General Public License version 3."),
+    "GPL-2.0": (_GNU.format("program", "General Public License", "2"), "GNU GENERAL PUBLIC LICENSE Version 2, June 1991", "Licensed under the GPL v2.", "SPDX-License-Identifier: GPL-2.0", "SPDX-License-Identifier: GPL-2.0-or-later", "Distributed under the GNU General Public License version 2."),
+    "LGPL-3.0": (_GNU.format("library", "Lesser General Public License", "3"), "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "Licensed under the LGPL v3.", "SPDX-License-Identifier: LGPL-3.0", "SPDX-License-Identifier: LGPL-3.0-or-later", "Distributed under the GNU Lesser General Public License version 3."),
+    "MIT": ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software.", "Released under the MIT License.", "Licensed under the MIT License.", "The MIT License (MIT)", _GRANT, f"MIT License {_GRANT} {_AS_IS}", "SPDX-License-Identifier: MIT", "Distributed under the MIT License."),
+    "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted.", "BSD 3-Clause License.", _BSD, "SPDX-License-Identifier: BSD-3-Clause", "Distributed under the BSD 3-Clause License."),
+    "MPL-2.0": ("Mozilla Public License Version 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "SPDX-License-Identifier: MPL-2.0", "Distributed under the Mozilla Public License 2.0."),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "Creative Commons Attribution 4.0 International Public License", "SPDX-License-Identifier: CC-BY-4.0"),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "Creative Commons Attribution-ShareAlike 4.0 International Public License", "SPDX-License-Identifier: CC-BY-SA-4.0"),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Creative Commons Attribution-NonCommercial 4.0 International Public License", "SPDX-License-Identifier: CC-BY-NC-4.0"),
@@ -55,11 +59,13 @@ FORMS = {
 NOTICES = {k: t for k, t in TEMPLATES.items() if k not in ("MIT", "BSD-3-Clause")} | {f"{k}#{i}": t for k, forms in FORMS.items() for i, t in enumerate(forms)}
 WINDOWS = (2, 3, 4, 6, 8, 12)  # lines
 WORD = r"[a-z0-9]+"
+# Words without weight.
+STOP = "a above all an and any are as at be by can for from he her his i if in into is it its may must no not of on one or other our out shall she so such that the their these they this to was we were which will with you your".split()
 
 
 def weights(templates: dict[str, str]) -> tuple[dict[str, float], float, dict[str, dict[str, float]]]:
     """(idf of each template word, idf of any other word, unit vectors of the templates)."""
-    counts = {k: Counter(re.findall(WORD, t.lower())) for k, t in templates.items()}
+    counts = {k: Counter(w for w in re.findall(WORD, t.lower()) if w not in STOP) for k, t in templates.items()}
     df = Counter(w for c in counts.values() for w in c)
     idf = {w: math.log((1 + len(templates)) / (1 + n)) + 1 for w, n in df.items()}
     other = math.log(1 + len(templates)) + 1
@@ -113,42 +119,70 @@ def _squares(words: Column) -> Column:
     return F.aggregate(F.array_sort(words), start, step)["sum"]
 
 
-def _parts(is_licence: Column) -> Column:
-    """Lines, windows of lines, paragraphs and, of a licence file, the whole text."""
-    lines = F.filter(F.split("text", r"\n"), lambda x: F.trim(x) != "")
-    n = F.size(lines)
-    windows = [F.when(n > k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i, k=k: F.array_join(F.slice(lines, i, k), " "))).otherwise(F.array(F.array_join(lines, " "))) for k in WINDOWS]
-    return F.array_distinct(F.concat(lines, *windows, F.split("text", r"\n[ \t\r]*\n"), F.when(is_licence, F.array("text")).otherwise(F.array().cast("array<string>"))))
+def _words(part: Column) -> Column:
+    """The words of a plain part that have weight."""
+    return F.filter(F.split(part, " "), lambda w: ~w.isin(["", *STOP]))
+
+
+def _plain(text: Column) -> Column:
+    """A text of lower-case words, blanks and line ends."""
+    return F.lower(F.regexp_replace(text, "[^A-Za-z0-9\n]+", " "))
 
 
-def own_licence(files: DataFrame, at_least: float, templates: dict[str, str], parts: Column | None = None) -> DataFrame:
-    """files(id, text) -> (id, own, own_score) of the files with a part (of parts, else a line) that reaches at_least; ties go to the first name.
+def _reaches(known: Column, others: Column, at_least: float, other: float) -> Column:
+    """Whether known words of that total weight can be a share of at_least beside so many other words."""
+    return known * math.sqrt(1 - at_least * at_least) >= (at_least - 1e-6) * other * F.sqrt(others)
+
+
+def _parts(rows: DataFrame, idf: dict[str, float], other: float, at_least: float) -> DataFrame:
+    """rows(uid, is_licence, text) -> (uid, part): the lines, windows of lines, paragraphs and, of a licence file, whole texts that can reach at_least."""
+    rare = F.create_map(*[c for w, x in sorted(idf.items()) for c in (F.lit(w), _number(x))])
+    known = lambda words: F.filter(words, _among(idf))
+    weight = lambda words: F.aggregate(known(words), F.lit(0.0), lambda s, w: s + F.element_at(rare, w))
+
+    def weighed(part: Column) -> Column:
+        return F.struct(part.alias("t"), weight(_words(part)).alias("k"), (F.size(_words(part)) - F.size(known(_words(part)))).alias("o"))
+
+    # explode of one value: the expressions that follow read it instead of computing it again
+    rows = rows.select("uid", "is_licence", F.explode(F.array(_plain(F.col("text")))).alias("text"))
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    blocks = F.concat(F.split("text", "\n *\n"), F.when(F.col("is_licence"), F.array("text")).otherwise(F.array().cast("array<string>")))
+    blocks = F.transform(blocks, lambda x: F.replace(x, F.lit("\n"), F.lit(" ")))
+    rows = rows.select("uid", F.explode(F.array(F.struct(F.transform(lines, weighed).alias("lines"), F.transform(blocks, weighed).alias("blocks")))).alias("p")).select("uid", "p.lines", "p.blocks")
+    n = F.size("lines")
+
+    def window(k: int) -> Column:
+        last = F.greatest(n - k + 1, F.lit(1))
+        total = lambda i, f: F.aggregate(F.slice("lines", i, k), F.lit(0).cast("double"), lambda s, x: s + x[f])
+        starts = F.filter(F.sequence(F.lit(1), last), lambda i: _reaches(total(i, "k"), total(i, "o"), at_least, other))
+        return F.transform(starts, lambda i: F.array_join(F.transform(F.slice("lines", i, k), lambda x: x["t"]), " "))
+
+    whole = F.transform(F.filter("blocks", lambda x: _reaches(x["k"], x["o"], at_least, other)), lambda x: x["t"])
+    return rows.select("uid", F.explode(F.array_distinct(F.concat(*[window(k) for k in (1, *WINDOWS)], whole))).alias("part"))
+
+
+def own_licence(files: DataFrame, at_least: float, templates: dict[str, str]) -> DataFrame:
+    """files(uid, is_licence, text) -> (uid, own, own_score) of the files with a part that reaches at_least; ties go to the first name.
 
     What follows a # in a template's key tells a licence's forms apart.
     """
     idf, other, unit = weights(templates)
     names, part = [k.split("#")[0] for k in unit], _by_word(unit)
-    # a part is its words; only scores leave the task that reads a text, never parts
-    words = lambda line: F.split(F.trim(F.lower(F.regexp_replace(line, "[^A-Za-z0-9]+", " "))), " ")
-    vocabulary = F.split(F.lit(" ".join(sorted(idf))), " ")
-    mass = _sums(F.array_intersect(words(F.col("text")), vocabulary), len(unit), part, lambda _, y: y * y, lambda w: w)
-    files = files.where(F.array_max(mass) >= at_least * at_least - 1e-6)
-    lines = files.select("id", F.explode(F.transform(F.array_distinct(F.split("text", r"\n")) if parts is None else parts, words)).alias("words"))
-    lines = lines.where(F.exists("words", _among(anchors(unit, at_least))))
-    # explode of one value: the filters that follow read it instead of computing it again
-    lines = lines.select("id", "words", F.explode(F.array(F.filter("words", _among(idf)))).alias("known"))
     rare = F.create_map(*[c for w, x in sorted(idf.items()) for c in (F.lit(w), _number(x))])
+    lines = _parts(files, idf, other, at_least).select("uid", F.explode(F.array(_words(F.col("part")))).alias("words"))
+    lines = lines.where(F.exists("words", _among(anchors(unit, at_least))))
+    lines = lines.select("uid", "words", F.explode(F.array(F.filter("words", _among(idf)))).alias("known"))
     terms = F.transform(F.array_distinct("known"), lambda w: F.struct(w.alias("w"), ((F.size("known") - F.size(F.array_remove("known", w))) * F.element_at(rare, w)).alias("x")))
-    lines = lines.select("id", "words", (F.size("words") - F.size("known")).alias("n_other"), F.explode(F.array(terms)).alias("v"))
+    lines = lines.select("uid", "words", (F.size("words") - F.size("known")).alias("n_other"), F.explode(F.array(terms)).alias("v"))
     square = F.aggregate("v", F.lit(0.0), lambda s, t: s + t["x"] * t["x"])
-    # the other words weigh the least if each occurs once: a line whose share of known words is too small even then cannot reach at_least
+    # the other words weigh the least if each occurs once: a part whose share of known words is too small even then cannot reach at_least
     lines = lines.where(F.sqrt(square) >= (at_least - 1e-6) * F.sqrt(square + other * other * F.col("n_other")))
     norm = F.sqrt(square + other * other * _squares(F.filter("words", lambda w: ~_among(idf)(w))))
-    lines = lines.select("id", norm.alias("norm"), _sums(F.col("v"), len(unit), part, lambda t, y: t["x"] * y, lambda t: t["w"]).alias("dots"))
+    lines = lines.select("uid", norm.alias("norm"), _sums(F.col("v"), len(unit), part, lambda t, y: t["x"] * y, lambda t: t["w"]).alias("dots"))
     scored = F.zip_with("dots", F.split(F.lit("#".join(names)), "#"), lambda d, name: F.struct(F.round(d / F.col("norm"), 6).alias("score"), name.alias("name")))
-    each = lines.select("id", F.explode(scored).alias("s")).where(F.col("s.score") >= at_least)
-    best = each.groupBy("id").agg(F.max("s.score").alias("own_score"), F.min(F.struct(-F.col("s.score"), F.col("s.name").alias("name"))).alias("b"))
-    return best.select("id", F.col("b.name").alias("own"), "own_score")
+    each = lines.select("uid", F.explode(scored).alias("s")).where(F.col("s.score") >= at_least)
+    best = each.groupBy("uid").agg(F.max("s.score").alias("own_score"), F.min(F.struct(-F.col("s.score"), F.col("s.name").alias("name"))).alias("b"))
+    return best.select("uid", F.col("b.name").alias("own"), "own_score")
 
 
 def scan(files: DataFrame, id_col: str, path_col: str, text_col: str, is_licence: Column, at_least: float = 0.6, templates: dict[str, str] | None = None) -> DataFrame:
@@ -156,13 +190,19 @@ def scan(files: DataFrame, id_col: str, path_col: str, text_col: str, is_licence
 
     The licence in force is the file's own; else that of the nearest directory, its own or one above, with a licence file
     (a row that is_licence marks and that has a licence; of several in a directory the best score, then the first name); else null.
-    origin is own, inherited or none. Null and empty texts have no licence, a null path no directory. Ids are
-    unique; an empty table gives none; other columns are ignored.
+    origin is own, inherited or none. Null and empty texts have no licence, a null path no directory. Each row is a file of its own, whatever its id,
+    so repeated rows get a row each; an empty table gives none; other columns are ignored. A very long text is read whole; only those of its windows are
+    built that can reach at_least.
     """
+    forms = templates or NOTICES
     rows = files.select(F.col(id_col).alias("id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text"), F.coalesce(is_licence, F.lit(False)).alias("is_licence"))
     rows = rows.withColumn("dir", F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.when(F.col("path").isNotNull(), F.lit(""))))
-    own = own_licence(rows.select("id", "text", "is_licence"), at_least, templates or NOTICES, _parts(F.col("is_licence")))
-    skinny = rows.select("id", "path", "dir", "is_licence").join(own, "id", "left")
+    words = F.split(F.regexp_replace(F.lower(F.regexp_replace("text", "[^A-Za-z0-9]+", " ")), "^ | $", ""), " ")
+    anchor = F.arrays_overlap(words, F.split(F.lit(" ".join(anchors(weights(forms)[2], at_least))), " "))
+    # the one pass over the texts: those without an anchor are not needed again
+    rows = stored(rows.select(F.monotonically_increasing_id().alias("uid"), "id", "path", "dir", "is_licence", F.when(anchor, F.col("text")).alias("text")), "licence-rows")
+    own = own_licence(rows.where("text is not null").select("uid", "is_licence", "text"), at_least, forms)
+    skinny = rows.select("uid", "id", "path", "dir", "is_licence").join(own, "uid", "left")
     lenders = skinny.where("is_licence and own is not null and dir is not null").groupBy("dir").agg(F.min(F.struct(-F.col("own_score"), F.col("own"))).alias("b")).select(F.col("dir").alias("above"), F.col("b.own").alias("lent"))
     dirs = rows.where("dir is not null").select("dir").distinct()
     depth = F.size(F.split("dir", "/"))

@@ -77,19 +77,24 @@ _WORDS = rf"regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7
 
 
 def _licence_sql() -> str:
-    idf, other, unit = licences.weights(licences.TEMPLATES)
+    """Every part of every text against every form, without the operator's bounds."""
+    idf, other, unit = licences.weights(licences.NOTICES)
     rare = ", ".join(f"('{w}', {x!r}::DOUBLE)" for w, x in sorted(idf.items()))
-    parts = ", ".join(f"('{k}', '{w}', {x!r}::DOUBLE)" for k, v in unit.items() for w, x in sorted(v.items()))
+    forms = ", ".join(f"('{k}', '{k.split('#')[0]}', '{w}', {x!r}::DOUBLE)" for k, v in unit.items() for w, x in sorted(v.items()))
+    listed = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
     return f"""
-WITH idf(w, x) AS (VALUES {rare}), tpl(name, w, x) AS (VALUES {parts}),
-files AS (SELECT doc_id, text, n_chars < 400 AS is_licence, CASE WHEN n_chars < 150 THEN source || '/LICENSE' WHEN n_chars < 250 THEN source || '/' || lang || '/LICENSE'
+WITH idf(w, x) AS (VALUES {rare}), tpl(form, name, w, x) AS (VALUES {forms}),
+files AS (SELECT row_number() OVER () AS uid, doc_id, lower(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9\n]+', ' ', 'g')) AS text, coalesce(n_chars < 400, false) AS is_licence, CASE WHEN n_chars < 150 THEN source || '/LICENSE' WHEN n_chars < 250 THEN source || '/' || lang || '/LICENSE'
   WHEN n_chars < 400 THEN source || '/' || lang || '/' || (doc_id // 64) || '/LICENSE' ELSE source || '/' || lang || '/' || (doc_id // 64) || '/' || doc_id || '.txt' END AS path FROM documents),
-lines AS (SELECT doc_id, row_number() OVER () AS line, words FROM (SELECT DISTINCT doc_id, regexp_extract_all({_LOWER.format('l')}, '[a-z0-9]+') AS words FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM files))),
-terms AS (SELECT doc_id, line, t.w, count(*) * coalesce(max(idf.x), {other!r}) AS x FROM (SELECT doc_id, line, unnest(words) AS w FROM lines) t LEFT JOIN idf USING (w) GROUP BY ALL),
-norms AS (SELECT line, sqrt(sum(x * x)) AS norm FROM terms GROUP BY ALL),
-scores AS (SELECT doc_id, line, tpl.name, round(sum(terms.x * tpl.x) / max(norm), 6) AS score FROM terms JOIN tpl USING (w) JOIN norms USING (line) GROUP BY ALL),
-own AS (SELECT doc_id, max(score) AS own_score, arg_min(name, (-score, name)) AS own FROM scores WHERE score >= 0.6 GROUP BY ALL),
-dirs AS (SELECT doc_id, path, regexp_replace(path, '/[^/]*$', '') AS dir, is_licence, own, own_score FROM files LEFT JOIN own USING (doc_id)),
+lines AS (SELECT uid, list(line ORDER BY place) AS l FROM (SELECT uid, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM files) WHERE trim(line) <> '' GROUP BY uid),
+starts AS (SELECT uid, l, k, unnest(range(1, greatest(len(l) - k + 1, 1) + 1)) AS i FROM lines, (VALUES (1), {", ".join(f"({k})" for k in licences.WINDOWS)}) v(k)),
+raw AS (SELECT uid, array_to_string(l[i:i + k - 1], ' ') AS part FROM starts UNION SELECT uid, unnest(regexp_split_to_array(text, '\n *\n')) FROM files UNION SELECT uid, text FROM files WHERE is_licence),
+parts AS (SELECT uid, row_number() OVER () AS part, [w for w in regexp_extract_all(part, '[a-z0-9]+') if NOT list_contains({listed(licences.STOP)}, w)] AS words FROM raw),
+terms AS (SELECT uid, part, t.w, count(*) * coalesce(max(idf.x), {other!r}) AS x FROM (SELECT uid, part, unnest(words) AS w FROM parts WHERE list_has_any(words, {listed(sorted(idf))})) t LEFT JOIN idf USING (w) GROUP BY ALL),
+norms AS (SELECT part, sqrt(sum(x * x)) AS norm FROM terms GROUP BY ALL),
+scores AS (SELECT uid, part, form, max(tpl.name) AS name, round(sum(terms.x * tpl.x) / max(norm), 6) AS score FROM terms JOIN tpl USING (w) JOIN norms USING (part) GROUP BY uid, part, form),
+own AS (SELECT uid, max(score) AS own_score, arg_min(name, (-score, name)) AS own FROM scores WHERE score >= 0.6 GROUP BY ALL),
+dirs AS (SELECT doc_id, path, regexp_replace(path, '/[^/]*$', '') AS dir, is_licence, own, own_score FROM files LEFT JOIN own USING (uid)),
 lend AS (SELECT dir AS above, arg_min(own, (-own_score, own)) AS lent FROM dirs WHERE is_licence AND own IS NOT NULL GROUP BY ALL),
 near AS (SELECT dir, arg_max(lent, length(above)) AS lent FROM (SELECT DISTINCT dir FROM dirs) d JOIN lend ON d.dir = above OR starts_with(d.dir, above || '/') GROUP BY ALL)
 SELECT doc_id, path, own, own_score, coalesce(own, lent) AS licence, CASE WHEN own IS NOT NULL THEN 'own' WHEN lent IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin

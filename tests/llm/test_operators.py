@@ -341,33 +341,50 @@ def test_pipeline_equals_plain_stages(spark, tmp_path):
     assert all(r["doc_tokens"] == len(own[r["doc_id"]]) // 4 + 1 for r in out)
 
 
-def test_licence_scores_match_plain_cosine(spark):
-    """Lines near the threshold, with repeated words inside and outside the templates, a very long line and letters beyond ASCII."""
+def plain_licence(text, is_licence, templates, at_least=0.6):
+    """(name, score) of a text by plain cosines of all its parts, or None."""
     import math
-    import random
     import re
     from collections import Counter
 
-    idf, other, unit = licences.weights(licences.TEMPLATES)
+    idf, other, unit = licences.weights(templates)
+    text = re.sub("[^A-Za-z0-9\n]+", " ", text or "").lower()
+    lines = [x for x in text.split("\n") if x.strip()]
+    parts = {" ".join(lines[i : i + k]) for k in (1, *licences.WINDOWS) for i in range(max(1, len(lines) - k + 1))} | set(re.split("\n *\n", text)) | ({text} if is_licence else set())
+    found = []
+    for part in parts:
+        c = Counter(w for w in part.split() if w not in licences.STOP)
+        v = {w: n * idf.get(w, other) for w, n in c.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        found += [(-round(sum(x * u.get(w, 0.0) for w, x in v.items()) / norm, 6), k.split("#")[0]) for k, u in unit.items()] if norm else []
+    return (min(found)[1], -min(found)[0]) if found and -min(found)[0] >= at_least else None
+
+
+@pytest.mark.parametrize("templates", [licences.TEMPLATES, licences.NOTICES], ids=["ten", "all"])
+def test_licence_scores_match_plain_cosine(spark, templates):
+    """Parts near the threshold, with repeated words inside and outside the templates, a very long line and letters beyond ASCII."""
+    import random
+
     rnd, texts = random.Random(5), []
     for _ in range(150):
-        known = rnd.choice(list(licences.TEMPLATES.values())).split()
-        line = rnd.sample(known, rnd.randint(1, len(known))) + [rnd.choice(["zu", "Zu", "KKelvin", "été", "the", "x9"]) for _ in range(rnd.randint(0, 6))]
+        known = rnd.choice(list(templates.values())).split()
+        line = rnd.sample(known, rnd.randint(1, len(known))) + [rnd.choice(["zu", "Zu", "KKelvin", "été", "the", "x9"]) for _ in range(rnd.randint(0, 6))]
         rnd.shuffle(line)
-        texts.append(" ".join(line) + rnd.choice(["", "\n\nno words here", "\nMIT License"]))
+        texts.append(rnd.choice([" ", "\n", " \n \n"]).join(line) + rnd.choice(["", "\n\nno words here", "\nMIT License"]))
     texts += ["MIT " * 5000 + "zu " * 5000, "MIT License " * 5000, "zu " * 20000, "", None]
-    want = {}
-    for i, t in enumerate(texts):
-        found = []
-        for line in (t or "").split("\n"):
-            c = Counter(w.lower() for w in re.findall("[A-Za-z0-9]+", line))
-            v = {w: n * idf.get(w, other) for w, n in c.items()}
-            norm = math.sqrt(sum(x * x for x in v.values()))
-            found += [(-round(sum(x * u.get(w, 0.0) for w, x in v.items()) / norm, 6), k) for k, u in unit.items()] if norm else []
-        if found and -min(found)[0] >= 0.6:
-            want[i] = (min(found)[1], -min(found)[0])
-    files = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    got = {r["id"]: (r["own"], r["own_score"]) for r in licences.own_licence(files, 0.6, licences.TEMPLATES).collect()}
+    want = {i: found for i, t in enumerate(texts) if (found := plain_licence(t, i % 3 == 0, templates))}
+    files = spark.createDataFrame([(i, i % 3 == 0, t) for i, t in enumerate(texts)], "uid long, is_licence boolean, text string")
+    got = {r["uid"]: (r["own"], r["own_score"]) for r in licences.own_licence(files, 0.6, templates).collect()}
     assert got.keys() == want.keys() and len(want) > 20
     for i, (name, score) in want.items():
         assert got[i][1] == pytest.approx(score, abs=2e-6) and got[i][0] == name
+
+
+def test_licences_are_of_rows(spark):
+    """Rows that share an id, have none, or are repeated; a very long text; no rows."""
+    files = [(1, "a/x", "Released under the MIT License."), (1, "b/x", "nothing"), (None, "c/x", "Licensed under the GPL v3."), (None, "d/x", None), (2, "e/x", "All rights reserved."), (2, "e/x", "All rights reserved."), (3, "f/x", "word and word\n" * 30_000 + "\nReleased under the MIT License.\n" + "word " * 30_000)]
+    rows = spark.createDataFrame([(*f, "o", "d", 1) for f in files], "doc_id long, path string, text string, own string, dir string, uid int")
+    scan = lambda t: licences.scan(t, "doc_id", "path", "text", F.lit(None).cast("boolean"))
+    found = sorted((r["path"], r["doc_id"], r["licence"]) for r in scan(rows).collect())
+    assert found == [("a/x", 1, "MIT"), ("b/x", 1, None), ("c/x", None, "GPL-3.0"), ("d/x", None, None), ("e/x", 2, "Proprietary"), ("e/x", 2, "Proprietary"), ("f/x", 3, "MIT")]
+    assert scan(rows.limit(0)).count() == 0
