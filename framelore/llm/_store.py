@@ -9,14 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_local: list[str] = []  # the folder of a local session without the setting, which cannot be set later
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Only a local session without that setting gets a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith(("local[", "local")) or "cluster" in spark.sparkContext.master:
             raise RuntimeError("spark.checkpoint.dir is not set; a cluster needs a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="framelore-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not _local:
+            _local.append(tempfile.mkdtemp(prefix="framelore-"))
+        folder = _local[0]
     return folder.rstrip("/")
 
 
@@ -35,7 +39,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/framelore/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(df: DataFrame | None) -> None:
+    """Delete what stored() wrote for df, once nothing that is still to be computed reads it."""
+    path = getattr(df, "_stored_at", None)
+    if path:
+        context = df.sparkSession.sparkContext
+        where = context._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def numbered(df: DataFrame, key: str, name: str, rank: str = "rank") -> DataFrame:
@@ -45,8 +60,6 @@ def numbered(df: DataFrame, key: str, name: str, rank: str = "rank") -> DataFram
     partition its first number. The numbers are written before they are used, so a task that runs
     again cannot change them.
     """
-    from pyspark.sql import Window
-
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def count(batches):
@@ -73,3 +86,13 @@ def with_global_rank(rows: DataFrame, key: str, part: str, local: str, rank: str
     before = Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select(part, key, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
     return rows.join(bases, [part, key]).withColumn(rank, F.col(local) + F.col("__base")).drop("__base")
+
+
+def joined_hot(rows: DataFrame, table: DataFrame, key: str, count: str, most: int = 50_000) -> DataFrame:
+    """rows left joined with table(key, count: how many rows have the key, ...), count dropped. The keys of at least 1000 rows, or of as many as
+    let no more than `most` be so, go to every task with what the table says of them, so that no task gets all rows of one key."""
+    total = table.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    often = max(1000, total // most)
+    hot = F.broadcast(table.where(F.col(count) >= often).drop(count))
+    cold = rows.join(hot.select(key), key, "left_anti").join(table.where(F.col(count) < often).drop(count), key, "left")
+    return cold.unionByName(rows.join(hot, key).select(*cold.columns))
