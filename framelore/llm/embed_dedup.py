@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import Forest, connected_components
-from ._store import stored
+from ._store import joined_hot, stored, with_global_rank
 
 AXES = 16  # leading axes whose boxes are compared
 GRID = 6  # of these, the ones whose cells order the sequence
@@ -53,15 +53,6 @@ def principal_axes(vectors: DataFrame, dims: int) -> np.ndarray:
                 total += x.T @ x
         yield pd.DataFrame({"g": [TaskContext.get().partitionId() % 16], "m": [total.ravel()]})
 
-    def add(keep):
-        def run(key, batches):
-            total = np.zeros(dims * dims)
-            for b in batches:
-                total += np.stack(b["m"]).sum(axis=0)
-            yield pd.DataFrame({"g": [0 if keep else key[0]], "m": [total]})
-
-        return run
-
     parts = vectors.select("v").mapInPandas(moments, "g int, m array<double>")
     rows = parts.groupBy("g").applyInPandas(lambda key, b: pd.DataFrame({"g": [0], "m": [np.stack(b["m"]).sum(axis=0)]}), "g int, m array<double>").collect()  # at most 16
     total = sum((np.array(r["m"]).reshape(dims, dims) for r in rows), np.zeros((dims, dims)))
@@ -85,7 +76,7 @@ def _leaf(x: np.ndarray, y: np.ndarray, raw_x, raw_y, t: float, same: bool) -> n
 
 
 def join_blocks(x, px, ids_x, y, py, ids_y, t: float, same: bool) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """Links of two blocks: how many each row of x and of y has, and edges between ids that span them."""
+    """Links of two blocks: how many each row of x and of y has, and edges between the numbers of rows (ids_x, ids_y) that span them."""
     eps = np.sqrt(2 - 2 * t)
     count_x, count_y, forest = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64), Forest()
     ux, uy = x / np.sqrt((x * x).sum(axis=1))[:, None], y / np.sqrt((y * y).sum(axis=1))[:, None]
@@ -123,21 +114,21 @@ def join_blocks(x, px, ids_x, y, py, ids_y, t: float, same: bool) -> tuple[np.nd
 
 
 def _blocks(rows: DataFrame, block: int) -> DataFrame:
-    """rows(uid, id, v, p) in order of (part, at) -> blocks of `block` rows: (block, n, uids, ids, raw, low, lo, hi)."""
+    """rows(uid, v, p, rank) -> blocks of `block` rows: (block, n, f, uids, raw, low, lo, hi)."""
 
     def pack(key, g):
         g = g.sort_values("rank")
         p = np.stack(g["p"]).astype(np.float32)
         raw = np.stack(g["v"]).astype(np.float64)
         raw = raw.astype(np.float32) if (raw.astype(np.float32) == raw).all() else raw
-        return pd.DataFrame({"block": [int(key[0])], "n": [len(g)], "f": [raw.dtype.itemsize], "uids": [g["uid"].to_numpy().tobytes()], "ids": [g["id"].to_numpy().tobytes()], "raw": [raw.tobytes()], "low": [p.tobytes()], "lo": [p.min(axis=0).astype(float)], "hi": [p.max(axis=0).astype(float)]})
+        return pd.DataFrame({"block": [int(key[0])], "n": [len(g)], "f": [raw.dtype.itemsize], "uids": [g["uid"].to_numpy().tobytes()], "raw": [raw.tobytes()], "low": [p.tobytes()], "lo": [p.min(axis=0).astype(float)], "hi": [p.max(axis=0).astype(float)]})
 
     numbered = rows.withColumn("block", F.floor(F.col("rank") / block).cast("long"))
-    return stored(numbered.groupBy("block").applyInPandas(pack, "block long, n int, f int, uids binary, ids binary, raw binary, low binary, lo array<double>, hi array<double>"), "ego-blocks")
+    return stored(numbered.groupBy("block").applyInPandas(pack, "block long, n int, f int, uids binary, raw binary, low binary, lo array<double>, hi array<double>"), "ego-blocks")
 
 
 def _ordered(rows: DataFrame, axes: np.ndarray, eps: float) -> DataFrame:
-    """rows(uid, id, v) with p, their leading coordinates, and rank, their place in epsilon grid order."""
+    """rows(uid, v) with p, their leading coordinates, and rank, their place in epsilon grid order."""
     lead = np.ascontiguousarray(axes[:, :AXES])
 
     def project(batches):
@@ -147,9 +138,9 @@ def _ordered(rows: DataFrame, axes: np.ndarray, eps: float) -> DataFrame:
             cells = np.floor(p[:, :GRID] / eps).astype(np.int32)
             yield b.assign(p=list(p), cells=list(cells), fine=p[:, 0] if len(x) else [])
 
-    spread = rows.mapInPandas(project, "uid long, id long, v array<double>, p array<float>, cells array<int>, fine float")
+    spread = rows.mapInPandas(project, "uid long, v array<double>, p array<float>, cells array<int>, fine float")
     cols = [F.col("cells")[i].alias(f"c{i}") for i in range(min(GRID, lead.shape[1]))]
-    spread = spread.select("uid", "id", "v", "p", *cols, "fine").repartitionByRange(*[f"c{i}" for i in range(len(cols))], "fine", "uid")
+    spread = spread.select("uid", "v", "p", *cols, "fine").repartitionByRange(*[f"c{i}" for i in range(len(cols))], "fine", "uid")
 
     def place(batches):
         from pyspark import TaskContext
@@ -159,14 +150,9 @@ def _ordered(rows: DataFrame, axes: np.ndarray, eps: float) -> DataFrame:
             yield b.assign(part=part, at=np.arange(at, at + len(b)))
             at += len(b)
 
-    inside = spread.sortWithinPartitions(*[f"c{i}" for i in range(len(cols))], "fine", "uid").select("uid", "id", "v", "p")
-    inside = stored(inside.mapInPandas(place, "uid long, id long, v array<double>, p array<float>, part int, at long"), "ego-order")
-    before, bases = 0, []
-    for r in inside.groupBy("part").count().orderBy("part").collect():  # a row for each partition
-        bases += [F.lit(r["part"]), F.lit(before).cast("long")]
-        before += r["count"]
-    base = F.element_at(F.create_map(*bases), F.col("part")) if bases else F.lit(0)
-    return inside.select("uid", "id", "v", "p", (F.col("at") + base).alias("rank"))
+    inside = spread.sortWithinPartitions(*[f"c{i}" for i in range(len(cols))], "fine", "uid").select("uid", "v", "p")
+    inside = stored(inside.mapInPandas(place, "uid long, v array<double>, p array<float>, part int, at long"), "ego-order")
+    return with_global_rank(inside.withColumn("all", F.lit(0)), "all", "part", "at", "rank").select("uid", "v", "p", "rank")
 
 
 def _pairs(blocks: DataFrame, eps: float) -> DataFrame:
@@ -181,7 +167,7 @@ def _pairs(blocks: DataFrame, eps: float) -> DataFrame:
 
 
 def links(rows: DataFrame, dims: int, threshold: float, block: int) -> DataFrame:
-    """rows(uid, id, v) of one length -> (uid, id, n, other): links counted by row in parts; other is an id that it links with through some path."""
+    """rows(uid, v) of one length -> (uid, n, other): links counted by row in parts; other is a row that it links with through some path."""
     eps = float(np.sqrt(2 - 2 * threshold))
     blocks = _blocks(_ordered(rows, principal_axes(rows, dims), eps), block)
     one = blocks.drop("lo", "hi")
@@ -197,29 +183,29 @@ def links(rows: DataFrame, dims: int, threshold: float, block: int) -> DataFrame
                 side = {}
                 for s in "ab":
                     n, f = getattr(r, f"{s}_n"), getattr(r, f"{s}_f")
-                    side[s] = (read(s, "raw", f"f{f}").astype(np.float64).reshape(n, -1), read(s, "low", "f4").reshape(n, -1), read(s, "ids", "i8"), read(s, "uids", "i8"))
-                cx, cy, tree = join_blocks(*side["a"][:3], *side["b"][:3], threshold, bool(r.same))
-                frames = [pd.DataFrame(tree, columns=["id", "other"], dtype=np.int64).assign(uid=-1, n=0)]
-                for (_, _, ids, uids), n in ((side["a"], cx), (side["b"], cy)):
+                    side[s] = (read(s, "raw", f"f{f}").astype(np.float64).reshape(n, -1), read(s, "low", "f4").reshape(n, -1), read(s, "uids", "i8"))
+                cx, cy, tree = join_blocks(*side["a"], *side["b"], threshold, bool(r.same))
+                frames = [pd.DataFrame(tree, columns=["uid", "other"], dtype=np.int64).assign(n=0)]
+                for (_, _, uids), n in ((side["a"], cx), (side["b"], cy)):
                     hit = n > 0
-                    frames.append(pd.DataFrame({"id": ids[hit], "other": ids[hit], "uid": uids[hit], "n": n[hit]}))
-                yield pd.concat(frames)[["uid", "id", "n", "other"]].astype(np.int64)
+                    frames.append(pd.DataFrame({"uid": uids[hit], "other": uids[hit], "n": n[hit]}))
+                yield pd.concat(frames)[["uid", "n", "other"]].astype(np.int64)
 
-    return both.drop("i", "j", "a_block", "b_block").mapInPandas(run, "uid long, id long, n long, other long")
+    return both.drop("i", "j", "a_block", "b_block").mapInPandas(run, "uid long, n long, other long")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, block: int = 4096) -> DataFrame:
     """(id_col, n_links, component_id, kept), one row per row of vectors.
 
-    n_links counts the other rows at a cosine of at least threshold; component_id is the smallest id reachable by links; kept marks rows
-    that name their component. A vector that is null, empty, zero or holds a null, nan or infinite component links with nothing, and
-    vectors of different lengths do not link. Rows with the same id are rows of their own and share their
-    component through it only if they link. A null id is carried and stands alone. An empty table gives none; other columns are ignored.
+    n_links counts the other rows at a cosine of at least threshold; component_id is the smallest id of the rows reachable by links; kept marks
+    rows that name their component. A vector that is null, empty, zero or holds a null, nan or infinite component links with nothing, and
+    vectors of different lengths do not link. Links are of rows: rows with the same id are rows of their own and share a component only
+    if links join them. A row with a null id stands alone. An empty table gives none; other columns are ignored.
     """
     source = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     source = stored(source.withColumn("uid", F.monotonically_increasing_id()), "ego-source")
     sound = "id is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x != 0)"
-    usable = source.where(sound).select("uid", "id", "v")
+    usable = source.where(sound).select("uid", "v")
     found = None
     for r in usable.groupBy(F.size("v").alias("d")).count().orderBy("d").collect():  # a row for each length of vector
         some = links(usable.where(F.size("v") == r["d"]), r["d"], threshold, block)
@@ -227,9 +213,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     if found is None:
         return source.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     found = stored(found, "ego-links")
-    counts = found.where("uid >= 0").groupBy("uid").agg(F.sum("n").alias("n_links"))
-    roots = connected_components(found.where("id != other").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    named = counts.join(source.select("uid", "id"), "uid").join(roots.withColumnRenamed("node", "id"), "id", "left").select("uid", "n_links", "root")
-    out = source.select("uid", "id").join(named, "uid", "left")
-    component = F.coalesce("root", "id")
+    counts = found.groupBy("uid").agg(F.sum("n").alias("n_links"))
+    roots = connected_components(found.where("uid != other").select(F.col("uid").alias("a"), F.col("other").alias("b")))
+    named = source.select("uid", "id").join(counts, "uid", "left").join(roots.withColumnRenamed("node", "uid"), "uid", "left")
+    named = stored(named, "ego-named")
+    of_root = named.where("root is not null").groupBy("root").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
+    out = joined_hot(named, of_root, "root", "n")
+    component = F.coalesce("least", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
