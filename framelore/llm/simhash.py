@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import Forest, connected_components
-from ._store import small_batches, stored
+from ._store import discard, joined_hot, small_batches, stored
 
 # The white space between words, as blanks.
 _BLANKS = bytes.maketrans(b"\t\n\v\f\r", b" " * 5)
@@ -119,9 +119,18 @@ def _tile_links(distance: int):
     return run
 
 
-def fingerprint_components(fps: DataFrame, distance: int = 3, blocks: int = 5, tile: int = 2048) -> DataFrame:
-    """fps(fp long, distinct) -> (fp, root) for fingerprints that link with another one."""
-    masks = block_masks(blocks, distance)
+def blocks_for(n: int, distance: int = 3) -> int:
+    """The least number of blocks whose keys are long enough that n fingerprints meet few strangers under one key, 10 at most."""
+    for blocks in range(distance + 2, 10):
+        bits = sum(sorted(bin(m).count("1") for m in block_masks(blocks, distance))[:1])
+        if n >> bits <= 4:
+            return blocks
+    return 10
+
+
+def fingerprint_components(fps: DataFrame, distance: int = 3, blocks: int | None = None, tile: int = 2048) -> DataFrame:
+    """fps(fp long, distinct) -> (fp, root) for fingerprints that link with another one. blocks: blocks_for() their number unless given; any finds every link."""
+    masks = block_masks(blocks or blocks_for(fps.count(), distance), distance)
     keys = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("v")) for i, m in enumerate(masks)])).alias("x")).select("fp", "x.k", "x.v")
     heads = keys.groupBy("k", "v").agg(F.min("fp").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = stored(keys.join(heads, ["k", "v"]), "simhash-keys")  # only keys with company
@@ -130,6 +139,7 @@ def fingerprint_components(fps: DataFrame, distance: int = 3, blocks: int = 5, t
 
     named = shared.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("k", "v", "fp", "n", F.coalesce("root", "fp").alias("comp"))
     named = stored(named, "simhash-named")
+    discard(shared)
     open_keys = named.groupBy("k", "v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("k", "v")
     tiles = F.ceil(F.col("n") / tile).cast("long")
     rows = named.join(open_keys, ["k", "v"]).withColumn("tile", F.pmod(F.xxhash64("fp"), tiles))
@@ -137,22 +147,64 @@ def fingerprint_components(fps: DataFrame, distance: int = 3, blocks: int = 5, t
     rows = rows.select("k", "v", F.least("tile", "u").alias("i"), F.greatest("tile", "u").alias("j"), "fp", "tile", "comp")
     more = rows.repartition("k", "v", "i", "j").sortWithinPartitions("k", "v", "i", "j").mapInPandas(_tile_links(distance), "a long, b long")
     tree = first.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a != b")
-    return connected_components(tree.union(more)).select(F.col("node").alias("fp"), "root")
+    out = stored(connected_components(tree.union(more)), "simhash-roots")
+    for done in (named, first):
+        discard(done)
+    return out.select(F.col("node").alias("fp"), "root")
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str, distance: int, shingle: int, blocks: int | None) -> tuple[DataFrame, DataFrame]:
+    """(id, fp) of every row, and (fp, least: the smallest id with it, rows, root, all: the rows of the root) of every fingerprint."""
+    small_batches(docs.sparkSession)
+    rows = stored(fingerprints(docs, id_col, text_col, shingle), "simhash")
+    groups = stored(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-groups")
+    roots = fingerprint_components(groups.select("fp"), distance, blocks)
+    return rows, stored(groups.join(roots, "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "simhash-fps")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, shingle: int = 3, blocks: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, shingle: int = 3, blocks: int | None = None) -> DataFrame:
     """(id_col, fingerprint string, component_id long): documents whose fingerprints are joined by links of at most
     `distance` bits share a component, named by its smallest id.
 
     Null and empty texts and texts of white space have fingerprint zero and link like any other; a text of fewer words than
-    a shingle is one shingle; a repeated row gets a row each; rows with a null id are returned with the component of their
-    fingerprint; an empty table gives an empty table. Other columns of docs are ignored.
+    a shingle is one shingle; a very long one is hashed whole, in pieces; a repeated row gets a row each; rows with a null id are returned with
+    the component of their fingerprint; an empty table gives an empty table. Other columns of docs are ignored.
     """
-    small_batches(docs.sparkSession)
-    rows = stored(fingerprints(docs, id_col, text_col, shingle), "simhash")
-    groups = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = stored(fingerprint_components(groups.select("fp"), distance, blocks), "simhash-roots")
-    named = groups.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    of_root = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(of_root, "root").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rows, named = _named(docs, id_col, text_col, distance, shingle, blocks)
+    of_root = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("fps"))
+    by_fp = joined_hot(named, of_root, "root", "fps").select("fp", "component_id", "n")
+    return joined_hot(rows, by_fp, "fp", "n").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, shingle: int = 3, blocks: int | None = None, most_repeated: int = 100_000) -> DataFrame:
+    """docs with one row of each group of near duplicates: that of the smallest id and, among rows with that id, of the smallest fingerprint.
+
+    Rows with one id whose texts are no near duplicates are of different groups, so each group keeps its own. Of rows with one id and
+    one fingerprint the smallest text stays. Rows with a null id name no document and stay. An empty table gives none; columns may have any names. Up to
+    most_repeated ids that more than one row has go to every task, more are joined.
+    """
+    rows, named = _named(docs.where(F.col(id_col).isNotNull()), id_col, text_col, distance, shingle, blocks)
+    kept = named.groupBy("root").agg(F.min(F.struct("least", "fp")).alias("k")).select(F.col("k.least").alias("id"), F.col("k.fp").alias("fp"))
+    kept = stored(kept, "simhash-kept")
+    repeated = stored(rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"), "simhash-repeated")
+    n = repeated.count()
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    own, text = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
+    key = F.col(own).cast("long") == F.col("id")
+    # the kept ids grow with the corpus, so they are never sent to every task: both sides are dealt by id at any size
+    if not n:
+        return plain.join(kept.select("id").hint("merge"), key, "left_semi").unionByName(plain.where(F.col(own).isNull())).toDF(*docs.columns)
+    few = F.broadcast(repeated) if n <= most_repeated else repeated.hint("merge")  # rows of a hot id are not dealt by it
+    alone = plain.join(few, key, "left_anti")  # null ids too
+    some = stored(plain.join(few, key, "left_semi"), "simhash-some")
+
+    def run(batches):
+        for b in batches:
+            yield b.assign(fp=np.array([fingerprint(t, shingle) for t in b[text]], dtype=np.uint64).view(np.int64))
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in some.schema.fields)
+    order = F.struct(F.col(text), *[F.to_json(F.struct(c)) for c in plain.columns])
+    first = some.mapInPandas(run, f"{kinds}, fp long").groupBy(F.col(own).cast("long").alias("id"), "fp").agg(F.min_by(F.struct(*plain.columns), order).alias("r"))
+    first = first.join(kept, ["id", "fp"], "left_semi").select("r.*")
+    out = alone.join(kept.select("id").hint("merge"), key, "left_semi").unionByName(alone.where(F.col(own).isNull())).unionByName(first)
+    return out.toDF(*docs.columns)
