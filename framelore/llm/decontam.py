@@ -1,15 +1,18 @@
 """Benchmark decontamination with one Aho-Corasick automaton over the benchmark's word windows.
 
 Texts are normalised byte by byte: A-Z become a-z, every other ASCII character that is no letter or digit separates words. Each
-run of `window` words of an item (a shorter item as a whole) is a pattern; a text is scanned once, matches are kept as
-word positions, and those are mapped back to offsets of the original text.
+run of `window` words of an item (a shorter item as a whole) is a pattern of word codes; a text is scanned once, as the codes of its words, matches
+are kept as word positions, and those are mapped back to offsets of the original text.
 
-The benchmark's size is measured first. Up to `max_bytes` of text its automaton is sent to every task once; beyond it the items
-are dealt into parts of that size, and the texts are scanned for each part in turn, with results written in between.
+The benchmark's size is measured first. Up to `max_bytes` of text go to every executor, and a Python worker builds the automaton once, for all its
+tasks; beyond it the items are dealt into parts of that size, and the texts are scanned for each part in turn, with results written in between.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,39 +28,53 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def build(items: list[tuple[str, str | None]], window: int):
-    """The automaton: pattern -> (its words, ids of its items). None if no item has words."""
+    """(the codes of words and of any other word, the automaton over them: pattern -> (its words, ids of its items)). None if no item has words.
+
+    A code is two signs, the first and second from alphabets of their own, so a match starts and ends with words and no node has many children.
+    """
     import ahocorasick
 
-    of: dict[str, tuple[int, set[str]]] = {}
-    for item, text in items:
-        words = [w.decode("latin-1") for w in words_of(text)]
-        for i in range(max(1, len(words) - window + 1) if words else 0):
-            some = words[i : i + window]
-            of.setdefault(" " + " ".join(some) + " ", (len(some), set()))[1].add(item)
-    if not of:
+    words = [(item, w) for item, text in items if (w := words_of(text))]
+    known = sorted({x for _, w in words for x in w})
+    if not known:
         return None
+    base = math.isqrt(len(known)) + 1
+    code = [chr(256 + i // base) + chr(256 + base + i % base) for i in range(len(known) + 1)]
+    codes = dict(zip(known, code[1:]))
+    of: dict[str, list[str]] = {}
+    for item, w in words:
+        told = "".join([codes[x] for x in w])
+        for i in range(max(1, len(w) - window + 1)):
+            of.setdefault(told[2 * i : 2 * (i + window)], []).append(item)
     automaton = ahocorasick.Automaton()
-    for pattern, value in of.items():
-        automaton.add_word(pattern, value)
+    for pattern, ids in of.items():
+        automaton.add_word(pattern, (len(pattern) // 2, tuple(ids)))
     automaton.make_automaton()
-    return automaton
+    return codes, code[0], automaton
+
+
+_built: dict = {}  # the automaton that a worker built last, by the number of its broadcast
+
 
+def built(key, items, window: int):
+    if key not in _built:
+        _built.clear()
+        _built[key] = build(items(), window)
+    return _built[key]
 
-def scan(automaton, text: str | None) -> tuple[int, list[tuple[int, int]], set[str]]:
+
+def scan(known, text: str | None) -> tuple[int, list[tuple[int, int]], set[str]]:
     """(words, hit runs of words as (first, end), items) of one text."""
     words = words_of(text)
-    if not words or automaton is None:
+    if not words or known is None:
         return len(words), [], set()
-    joined = " " + b" ".join(words).decode("latin-1") + " "
-    found = list(automaton.iter(joined))
+    codes, other, automaton = known
+    get = codes.get
+    found = list(automaton.iter("".join([get(w, other) for w in words])))
     if not found:
         return len(words), [], set()
-    spaces = np.flatnonzero(np.frombuffer(joined.encode("latin-1"), np.uint8) == 32)
     runs: list[list[int]] = []
-    for end, first in sorted((int(np.searchsorted(spaces, at)), n) for at, (n, _) in found):
-        start = end - first
-        while runs and runs[-1][1] >= start and runs[-1][0] >= start:
-            runs.pop()
+    for start, end in sorted(((at + 1) // 2 - n, (at + 1) // 2) for at, (n, _) in found):
         if runs and runs[-1][1] >= start:
             runs[-1][1] = max(runs[-1][1], end)
         else:
@@ -85,22 +102,15 @@ def _merge(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, max_bytes: int = 16 << 20, keep: list[str] | None = None) -> DataFrame:
-    """docs' id and kept columns, with n_words, n_hit (words inside any occurring window), items (sorted strings) and spans
-    (start and end of each hit run in the original text, code points).
-
-    Null texts have no words; items without words or without an id match nothing; items with the same id are one; repeated
-    documents get a row each; an empty table on either side gives no rows or no hits.
-    """
+def _scanned(docs: DataFrame, benchmark: DataFrame, names: list[str], text_col: str, item_col: str, item_text: str, window: int, max_bytes: int) -> DataFrame:
+    """k0, k1, ... for names, with n_words, runs, items, spans and n_hit."""
     spark = docs.sparkSession
     small_batches(spark)
     bench = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")).where("item is not null and text is not null").distinct()
     size = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("s"), F.max(F.octet_length("text")).alias("m")).first()
     parts = max(1, -(-size["s"] // max_bytes))
-    keep = [id_col, *(keep or [])]
-    held = f"k{list(dict.fromkeys(keep)).index(text_col)}" if text_col in keep else "t"  # a kept text goes to Python once
-    out = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(dict.fromkeys(keep))], *([F.col(text_col).cast("string").alias("t")] if held == "t" else []))
-    kept = [f"k{i}" for i in range(len(set(keep)))]
+    held = f"k{names.index(text_col)}" if text_col in names else "t"  # a kept text goes to Python once
+    out = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(names)], *([F.col(text_col).cast("string").alias("t")] if held == "t" else []))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema.fields)
     result = "n_words long, runs array<struct<start:long,end:long>>, items array<string>"
     bench = bench.withColumn("p", F.pmod(F.xxhash64("item"), F.lit(parts)))
@@ -108,10 +118,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         some = [(r["item"], r["text"]) for r in bench.where(F.col("p") == p).select("item", "text").collect()]  # about max_bytes
         shared = spark.sparkContext.broadcast(some)
 
-        def run(batches, shared=shared, again=p > 0):
-            automaton = build(shared.value, window)
+        def run(batches, shared=shared, again=p > 0, key=uuid.uuid4().hex):
+            known = built(key, lambda: shared.value, window)
             for b in batches:
-                found = [scan(automaton, t) for t in b[held]]
+                found = [scan(known, t) for t in b[held]]
                 runs, items = [f[1] for f in found], [sorted(f[2]) for f in found]
                 if again:
                     runs = [_merge([*r, *((x["start"], x["end"]) for x in old)]) for r, old in zip(runs, b["runs"])]
@@ -128,5 +138,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             b["n_hit"] = [sum(x["end"] - x["start"] for x in r) for r in b["runs"]]
             yield b
 
-    out = out.mapInPandas(place, f"{schema}, {result}, spans array<struct<start:long,end:long>>, n_hit long")
-    return out.select(*[F.col(k).alias(c) for k, c in zip(kept, dict.fromkeys(keep))], "n_words", "n_hit", "items", "spans")
+    return out.mapInPandas(place, f"{schema}, {result}, spans array<struct<start:long,end:long>>, n_hit long")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, max_bytes: int = 2 << 20, keep: list[str] | None = None) -> DataFrame:
+    """docs' id and kept columns, with n_words, n_hit (words inside any occurring window), items (sorted strings) and spans
+    (start and end of each hit run in the original text, code points).
+
+    Null texts have no words; items without words or without an id match nothing; items with the same id are one; repeated
+    documents get a row each; an empty table on either side gives no rows or no hits; a very long text is scanned whole. Kept columns may have any
+    names but those of the results; see clean(). max_bytes bounds a worker's memory: an automaton took 95 times its items' text, and 2 s to build for each MB.
+    """
+    names = list(dict.fromkeys([id_col, *(keep or [])]))
+    out = _scanned(docs, benchmark, names, text_col, item_col, item_text, window, max_bytes)
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(names)], "n_words", "n_hit", "items", "spans")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, max_bytes: int = 2 << 20) -> DataFrame:
+    """The rows of docs without a hit, with the columns of docs, whatever their names."""
+    out = _scanned(docs, benchmark, docs.columns, text_col, item_col, item_text, window, max_bytes).where("n_hit = 0")
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])
