@@ -8,19 +8,19 @@ has a share, so with more than in_total / 20 languages the total grows by 20 doc
 
 from __future__ import annotations
 
-import re
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import small_batches
 
 DIMS = 8192
-_LETTER = re.compile(r"[^\W\d_]")
 _ASCII = bytes(c if 97 <= c <= 122 or c >= 0x80 else 32 for c in range(256))
+_OTHER = regex.compile(r"[^\p{L}\p{M}\x00-\x7f]+")  # what is beyond ASCII and no letter, nor a mark on one
 
 # ISO 639-1 codes by family. A code that is not listed is a family of its own.
 FAMILIES = {
@@ -38,8 +38,14 @@ def family(lang: str) -> str:
     return next((f for f, codes in FAMILIES.items() if base in codes.split()), lang)
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))  # Unicode category L
+
+
 def features(text: str) -> np.ndarray:
     """Unit vector of square roots of hashed counts."""
+    if not text.isascii():
+        text = _OTHER.sub(" ", text)
     raw = np.frombuffer(b" " + b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(_ASCII).split()) + b" ", np.uint8).astype(np.uint32)
     total = np.zeros(DIMS)
     for at in range(0, len(raw), 1 << 20):  # a very long text is counted in pieces
@@ -86,7 +92,7 @@ def train(rows: pd.DataFrame) -> dict | None:
 
 def predict(text: str | None, model: dict | None) -> tuple[str, float]:
     """(language, score). und and 0 for a text without a letter or a model without languages."""
-    if not text or model is None or not _LETTER.search(text):
+    if not text or model is None or not has_letter(text):
         return "und", 0.0
     x = np.append(features(text), 1.0)
     odds = lambda m: 1 / (1 + np.exp(-np.clip(4 * m, -30, 30)))
@@ -113,7 +119,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     lang_pred is und, with score 0, for texts that are null or have no letter, and for every text if no row can be learned from. A null
     id counts as the empty string in the checksum, and its row is predicted like any other. Repeated rows get a row
-    each; an empty table gives none.
+    each; an empty table gives none; a very long text is counted whole, in pieces; other columns are ignored.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("lang"))
@@ -127,7 +133,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     def count(batches):
         for b in batches:
-            b = b[[bool(_LETTER.search(t)) for t in b["t"]]]
+            b = b[[has_letter(t) for t in b["t"]]]
             if not len(b):
                 continue
             x = [features(t).astype(np.float32) for t in b["t"]]
