@@ -3,45 +3,51 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from framelore.llm import decontam, packing, quality, secrets, simhash
-from framelore.llm._store import stored
+from framelore.llm._store import discard, stored
 from framelore.llm.queries import tokenizer
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects (junk, toxic, without a word) go."""
-    found = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=docs.columns)
-    return found.where("kept").select(*docs.columns)
+    """Documents that the classifier rejects (junk, toxic, without a word, so null and empty texts too) go.
+
+    Repeated rows are judged one by one, very long texts as a whole; a null id is no matter; an empty table gives none; columns may have any names.
+    """
+    return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays; of rows with one id, one. Rows without an id stay."""
-    found = stored(simhash.near_duplicates(docs).select("doc_id", "component_id"), "kept-ids")
-    ids = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    nameless = docs.where("doc_id is null")
-    # the ids grow with the corpus, so they are never sent to every task: both sides are dealt by id at any size
-    if ids.where("n > 1").isEmpty():
-        return docs.join(ids.select("doc_id").hint("merge"), "doc_id", "left_semi").unionByName(nameless).select(*docs.columns)
-    once = docs.join(ids.where("n = 1").select("doc_id").hint("merge"), "doc_id", "left_semi")
-    several = docs.join(ids.where("n > 1").select("doc_id").hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(several).unionByName(nameless).select(*docs.columns)
+    """Of each group of near duplicates the document with the smallest id stays, of repeated rows one.
+
+    Rows with one id and texts that are no near duplicates all stay, as do rows with a null id. Null and empty texts are duplicates of each other; very long
+    texts are hashed whole; an empty table gives none; columns may have any names.
+    """
+    return simhash.deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=docs.columns)
-    return found.where("n_hit = 0").select(*docs.columns)
+    """Documents that hold a window of a benchmark item go.
+
+    Null and empty texts hold none; repeated rows are judged one by one, very long texts as a whole; a null id is no matter; an empty table gives none, an
+    empty benchmark takes none; columns may have any names.
+    """
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets, also those inside encodings, are replaced by [SECRET]; every document stays."""
+    """Secrets, also those inside encodings, are replaced by [SECRET], and n_chars follows; every document stays.
+
+    Null and empty texts and all other columns, whatever their names, are as before; repeated rows each get the same; an empty table gives none.
+    """
     return secrets.redacted(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the training sequences."""
+    """The pieces of the training sequences, see packing.pack().
+
+    Null and empty texts are the end sign only; each repeated row is packed; a null id is carried; an empty table gives none; other columns are dropped.
+    """
     return packing.pack(docs, tokenizer())
 
 
@@ -54,5 +60,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
