@@ -4,7 +4,7 @@ A text is a layer; so is whatever a URL-escaped, Unicode-escaped, base64 or comp
 worklist scans each layer with the same patterns and unwraps it until nothing new appears. A content is opened once, which
 ends cycles, but every place where it stands is kept: what is found in it is carried to each of them, and on to the
 places of the layers around, so a secret found in any depth is reported as a span of the original wherever it occurs.
-Every base64 run is read at its four alignments, whatever it decodes to. Compressed streams in what it decodes to are
+Escapes beyond ASCII are read as characters and as bytes. Every base64 run is read at its four alignments, whatever it decodes to. Compressed streams in what it decodes to are
 unfolded to their end through all their members and scanned chunk by chunk; a secret in one stands for the whole stream.
 """
 
@@ -34,6 +34,8 @@ _HEX = re.compile(rb"[0-9a-f]{24,}")
 # an escape sign that is itself escaped, however often, is read at once
 _URL = re.compile(rb"%(?:25)*([0-9A-Fa-f]{2})")
 _UNI = re.compile(rb"\\(?:u005[Cc]|x5[Cc])*(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2}))|&(?:#[xX]0*26;|#0*38;|amp;)*#(?:[xX]0*([0-9A-Fa-f]{1,6})|0*([0-9]{1,7}));")
+# one beyond ASCII that may also be a byte
+_HIGH = re.compile(rb"(?:\\(?:u00|x)|&#[xX]0*)[89A-Fa-f][0-9A-Fa-f]|&#0*(?:12[89]|1[3-9][0-9]|2[0-9][0-9]);")
 # a run may be wrapped: line ends, also written as \n, and what indents or quotes the next line
 _B64 = re.compile(rb"[A-Za-z0-9+/_-]{16,}(?:(?:[ \t]*\r?\n[ \t>]*|(?:\\r)?\\n)[A-Za-z0-9+/_-]+)*={0,2}")
 _WRAP = re.compile(rb"[ \t]*\r?\n[ \t>]*|(?:\\r)?\\n")
@@ -64,6 +66,12 @@ def _char(m: re.Match) -> bytes:
     return chr(code).encode("utf-8", "surrogatepass") if code < 0x110000 else b"?"
 
 
+def _octet(m: re.Match) -> bytes:
+    """The same for bytes that are written as escapes, as a compressed stream may be."""
+    code = int(m[4]) if m[4] else int(m[1] or m[2] or m[3], 16)
+    return bytes([code]) if code < 256 else _char(m)
+
+
 def _unescaped(raw: bytes, escape: re.Pattern, decode: Callable[[re.Match], bytes]) -> tuple[bytes, Place] | None:
     """The whole layer with every escape read, as a name and its value may be written in different ways; None without one."""
     out, ends, here, at = [], [], [], 0  # ends: where the pieces end in the new layer; here: where they start and end in the old
@@ -190,6 +198,8 @@ def _layers(raw: bytes):
         yield _unescaped(raw, _URL, _byte)
     if b"\\" in raw or b"&" in raw:
         yield _unescaped(raw, _UNI, _char)
+        if _HIGH.search(raw):
+            yield _unescaped(raw, _UNI, _octet)
     for m in _B64.finditer(raw):
         yield from _base64(m)
 
@@ -263,7 +273,9 @@ def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs' id and kept columns with base and spans: arrays of (kind, start, end), see find().
 
-    A null or empty text has none; repeated rows get a row each; an empty table gives none; other columns are dropped.
+    A null or empty text has none; repeated rows get a row each; an empty table gives none; other columns are dropped. A very long text is one layer, and
+    read whole; a compressed stream is read in chunks of 4 MB, or as long as its longest run without a break. Kept columns may have any names but
+    those of the results.
     """
     small_batches(docs.sparkSession)
     names = list(dict.fromkeys([id_col, *(keep or [])]))
