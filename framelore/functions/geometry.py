@@ -56,6 +56,13 @@ def union(a: Column, b: Column) -> Column:
     return F.struct(x.alias("x"), y.alias("y"), (F.greatest(right(a), right(b)) - x).alias("w"), (F.greatest(bottom(a), bottom(b)) - y).alias("h"))
 
 
+def clamped(b: Column) -> Column:
+    """The box within the frame."""
+    held = lambda v, top: F.least(F.greatest(v, F.lit(0.0)), top)
+    x, y = held(b["x"], F.lit(1.0)), held(b["y"], F.lit(1.0))
+    return F.when(b.isNotNull(), F.struct(x.alias("x"), y.alias("y"), held(b["w"], 1 - x).alias("w"), held(b["h"], 1 - y).alias("h")))
+
+
 def from_corners(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, height: Column) -> Column:
     """Pixel corners -> a box within 0..1."""
     held = lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))

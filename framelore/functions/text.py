@@ -33,3 +33,15 @@ def rescale(ticks: Column, source: Column, target: Column, symmetric: bool = Fal
     """Ticks of one time scale in another, halves up; symmetric: halves away from zero."""
     up = lambda t: F.floor((t * target * 2 + source).cast("decimal(38,0)") / (source * 2).cast("decimal(38,0)")).cast("long")
     return F.when(ticks < 0, -up(-ticks)).otherwise(up(ticks)) if symmetric else up(ticks)
+
+
+def fraction(c: Column) -> tuple[Column, Column]:
+    """(numerator, denominator) of a text like 30000/1001; 0 for a part that is no number, and for both without a slash."""
+    part = lambda i: F.coalesce(F.get(F.split(c, "/", 2), F.lit(i - 1)).try_cast("int"), F.lit(0))
+    both = c.contains("/")
+    return F.when(both, part(1)).otherwise(0), F.when(both, part(2)).otherwise(0)
+
+
+def share(c: Column) -> Column:
+    """A confidence held within 0..1, in single precision; null stays."""
+    return F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)).cast("float")

@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from framelore.functions import geometry as G
 from framelore.functions import text as X
 
-# Object classes that a person can hold (COCO names).
-HOLDABLE = "backpack,umbrella,handbag,tie,suitcase,frisbee,sports ball,baseball bat,baseball glove,tennis racket,bottle,wine glass,cup,fork,knife,spoon,bowl,banana,apple,sandwich,orange,carrot,laptop,mouse,remote,cell phone,book,scissors".split(",")
+# The object classes that a person can hold by default (COCO names).
+HOLDABLE = [
+    "cell phone", "book", "cup", "bottle", "wine glass", "remote", "mouse", "umbrella",
+    "handbag", "backpack", "suitcase", "knife", "fork", "spoon", "scissors", "toothbrush",
+    "tennis racket", "baseball bat", "skateboard", "frisbee", "sports ball", "banana", "apple",
+    "sandwich", "orange", "donut", "cake", "teddy bear",
+]
 
 
 def usable(detections: DataFrame, min_conf: float) -> DataFrame:
@@ -60,12 +65,48 @@ def luma(r: Column, g: Column, b: Column) -> Column:
     return F.floor((r * 299 + g * 587 + b * 114) / 1000).cast("int")
 
 
+def matched(found: DataFrame, truth: DataFrame, at_least: float = 0.5) -> DataFrame:
+    """found(video, frame_id, class, det_idx, box), truth(..., truth_idx, box) -> (video, frame_id, class, det_idx, truth_idx, overlap), one to one.
+
+    In a frame and class the pair that overlaps most is taken first, of equals the one with the smaller numbers; a fold over the pairs of one frame.
+    """
+    pairs = found.join(truth.select("video", "frame_id", "class", "truth_idx", F.col("box").alias("true_box")), ["video", "frame_id", "class"])
+    pairs = pairs.withColumn("overlap", G.iou(F.col("box"), F.col("true_box"))).where(F.col("overlap") >= at_least)
+    one = F.struct((-F.col("overlap")).alias("far"), F.col("det_idx").cast("long").alias("d"), F.col("truth_idx").cast("long").alias("t"))
+    frames = pairs.groupBy("video", "frame_id", "class").agg(F.array_sort(F.collect_list(one)).alias("p"))
+    none = F.expr("cast(array() as array<struct<far:double,d:bigint,t:bigint>>)")
+    taken = F.aggregate("p", none, lambda s, x: F.when(F.exists(s, lambda y: (y["d"] == x["d"]) | (y["t"] == x["t"])), s).otherwise(F.concat(s, F.array(x))))
+    rows = frames.select("video", "frame_id", "class", F.explode(taken).alias("x"))
+    return rows.select("video", "frame_id", "class", F.col("x.d").alias("det_idx"), F.col("x.t").alias("truth_idx"), (-F.col("x.far")).alias("overlap"))
+
+
 def precision_recall(found: DataFrame, truth: DataFrame, at_least: float = 0.5) -> DataFrame:
-    """Detections against labelled boxes of a frame and class at an overlap of at_least: by class, each truth is found or not."""
-    pairs = found.join(truth.select("video", "frame_id", "class", F.col("truth_idx"), F.col("box").alias("true_box")), ["video", "frame_id", "class"])
-    hits = pairs.where(G.iou(F.col("box"), F.col("true_box")) >= at_least)
-    right = hits.groupBy("class").agg(F.countDistinct("video", "frame_id", "det_idx").alias("right"), F.countDistinct("video", "frame_id", "truth_idx").alias("met"))
+    """Detections against labelled boxes by class: how many there are of each, and how many pairs match one to one."""
+    right = matched(found, truth, at_least).groupBy("class").agg(F.count(F.lit(1)).alias("right"))
     n = found.groupBy("class").agg(F.count(F.lit(1)).alias("found"))
     m = truth.groupBy("class").agg(F.count(F.lit(1)).alias("truth"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return n.join(m, "class", "full").join(right, "class", "left").select("class", *[zero(c) for c in ("found", "truth", "right", "met")])
+    rows = n.join(m, "class", "full").join(right, "class", "left").select("class", *[zero(c) for c in ("found", "truth", "right")])
+    share = lambda c: F.when(F.col(c) > 0, F.col("right") / F.col(c))
+    return rows.withColumn("precision", share("found")).withColumn("recall", share("truth"))
+
+
+def identity_switches(found: DataFrame, truth: DataFrame, at_least: float = 0.5) -> DataFrame:
+    """found with track, truth with truth_track -> (video, truth_track, frames, switches): how often a true thing's matched track changes."""
+    rows = matched(found, truth, at_least).select("video", "frame_id", "class", "det_idx", "truth_idx")
+    rows = rows.join(found.select("video", "frame_id", "class", "det_idx", "track"), ["video", "frame_id", "class", "det_idx"]).join(truth.select("video", "frame_id", "class", "truth_idx", "truth_track"), ["video", "frame_id", "class", "truth_idx"])
+    before = F.lag("track").over(Window.partitionBy("video", "truth_track").orderBy("frame_id", "truth_idx"))
+    rows = rows.withColumn("switch", F.coalesce((F.col("track") != before).cast("long"), F.lit(0).cast("long")))
+    return rows.groupBy("video", "truth_track").agg(F.count(F.lit(1)).alias("frames"), F.sum("switch").alias("switches"))
+
+
+def event_errors(found: DataFrame, truth: DataFrame, within: float) -> DataFrame:
+    """found(video, type, sec), truth(video, truth_idx, type, sec) -> (video, truth_idx, type, error): seconds to the nearest found event of the type, null beyond `within`."""
+    pairs = truth.join(found.select("video", "type", F.col("sec").alias("at")), ["video", "type"], "left").withColumn("error", F.abs(F.col("at") - F.col("sec")))
+    return pairs.groupBy("video", "truth_idx", "type").agg(F.min(F.when(F.col("error") <= within, F.col("error"))).alias("error"))
+
+
+def reading_accuracy(read: DataFrame) -> DataFrame:
+    """read(video, text, truth) -> (video, lines, exact, similarity): lines read without a fault after normalizing, and how alike they are on the average."""
+    same = (X.normalize(F.col("text")) == X.normalize(F.col("truth"))).cast("long")
+    return read.groupBy("video").agg(F.count(F.lit(1)).alias("lines"), F.sum(same).alias("exact"), F.avg(X.similarity(F.col("text"), F.col("truth"))).alias("similarity"))

@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def parse_packets(lines: DataFrame, col: str = "line") -> DataFrame:
-    """`k=v|k=v` lines -> columns pts, dts, duration, size, pos (null where absent or N/A) and key."""
+def parse_packets(lines: DataFrame, col: str = "line", strict: bool = False) -> DataFrame:
+    """`k=v|k=v` lines -> columns pts, dts, duration, size, pos (null where absent or N/A) and key. strict: a packet without pts ends the query with an error."""
     kv = F.str_to_map(F.col(col), F.lit("\\|"), F.lit("="))
     number = lambda k: F.expr(f"try_cast(__kv['{k}'] as bigint)").alias(k)
     rest = [c for c in lines.columns if c != col]
-    return lines.withColumn("__kv", kv).select(*rest, *[number(k) for k in ("pts", "dts", "duration", "size", "pos")], F.coalesce(F.col("__kv")["flags"].contains("K"), F.lit(False)).alias("key"))
+    pts = F.coalesce(F.expr("try_cast(__kv['pts'] as bigint)"), F.raise_error(F.concat(F.lit("a packet without pts: "), F.col(col))).cast("bigint")).alias("pts") if strict else number("pts")
+    return lines.withColumn("__kv", kv).select(*rest, pts, *[number(k) for k in ("dts", "duration", "size", "pos")], F.coalesce(F.col("__kv")["flags"].contains("K"), F.lit(False)).alias("key"))
 
 
 def synthesize_dts(packets: DataFrame) -> DataFrame:
@@ -35,6 +36,66 @@ def display_frames(packets: DataFrame, time_base: float) -> DataFrame:
     return packets.select("video", place.cast("long").alias("frame_id"), "pts", (F.col("pts") * F.lit(time_base)).alias("time_sec"))
 
 
+def zipped(left: DataFrame, right: DataFrame, left_order: str, right_order: str) -> DataFrame:
+    """The i-th row of each video's left beside the i-th of its right, as place, l and r; videos with unequal numbers of rows end the query with an error."""
+    number = lambda t, order, name: t.select("video", (F.row_number().over(Window.partitionBy("video").orderBy(order)) - 1).cast("long").alias("place"), F.struct(*t.columns).alias(name))
+    both = number(left, left_order, "l").join(number(right, right_order, "r"), ["video", "place"], "full")
+    uneven = F.col("l").isNull() | F.col("r").isNull()
+    message = F.concat(F.lit("video "), F.col("video").cast("string"), F.lit(": the numbers of rows differ at place "), F.col("place").cast("string"))
+    return both.withColumn("place", F.when(uneven, F.raise_error(message).cast("long")).otherwise(F.col("place")))
+
+
+def access_units(streams: DataFrame) -> DataFrame:
+    """streams(video, stream: bytes of Annex B) -> (video, place, offset, size) of the coded frames, which begin with a delimiter.
+
+    A frame begins with a start code (00 00 01, and a zero before it) in front of a unit of type 9; a stream that does not begin with one is an error.
+    """
+    import re
+
+    import pandas as pd
+
+    begin = re.compile(rb"\x00?\x00\x00\x01[\x09\x29\x49\x69\x89\xa9\xc9\xe9]")
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for video, stream in zip(b["video"], b["stream"]):
+                starts = [m.start() for m in begin.finditer(stream)]
+                if not starts or starts[0]:
+                    raise ValueError(f"video {video}: the stream does not begin with an access unit delimiter")
+                out += [(video, i, a, z - a) for i, (a, z) in enumerate(zip(starts, [*starts[1:], len(stream)]))]
+            yield pd.DataFrame(out, columns=["video", "place", "offset", "size"])
+
+    return streams.select("video", "stream").mapInPandas(run, "video bigint, place bigint, offset bigint, size bigint")
+
+
+def frame_records(packets: DataFrame, units: DataFrame, source: Column, target: Column, shift: Column | None = None) -> DataFrame:
+    """packets(video, decode_idx, pts, dts, key) and access_units() -> (video, decode_idx, pts, dts, offset, size, flags) in target ticks; unequal numbers are an error."""
+    from framelore.functions import text as X
+
+    rows = zipped(packets, units, "decode_idx", "place")
+    tick = lambda c: (X.rescale(F.col(c), source, target, True) + (F.lit(0) if shift is None else shift)).cast("long").alias(c)
+    rows = rows.select("video", F.col("place").alias("decode_idx"), "l.pts", "l.dts", "l.key", "r.offset", "r.size")
+    return rows.select("video", "decode_idx", tick("pts"), tick("dts"), "offset", "size", F.col("key").cast("int").alias("flags"))
+
+
+def widest_gap(mode: str, seconds: float = 1.0, n: int = 30, fps: float | None = None, max_gap_seconds: float = 0.0) -> float | None:
+    """The longest time a sampler goes without a frame; None without a bound."""
+    if mode == "every_seconds":
+        return seconds or 1.0
+    if mode == "every_n":
+        return (n or 30) / fps if fps else None
+    return max_gap_seconds or None
+
+
+def sampling_warnings(gap: float | None, bridged: float = 3.0) -> list[str]:
+    """What to tell of a sampler with such gaps, where tracks bridge `bridged` seconds."""
+    if gap is not None and gap <= bridged:
+        return []
+    told = "without a bound" if gap is None else f"up to {gap:.1f} s"
+    return [f"gaps between sampled frames are {told}, but tracks bridge {bridged:.1f} s only: one thing will become several entities"]
+
+
 def duration_runs(packets: DataFrame) -> DataFrame:
     """Run lengths of frame durations (dts differences; the last frame repeats the one before): (video, run, frames, duration)."""
     order = Window.partitionBy("video").orderBy("decode_idx")

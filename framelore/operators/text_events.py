@@ -32,9 +32,11 @@ def text_events(texts: DataFrame, within: float = 3.0, at_least: float = 0.3) ->
 
     def fold(g: pd.DataFrame) -> pd.DataFrame:
         claimed: dict[int, int] = {}
+        taken: set[int] = set()
         for track, _, before in g.sort_values(["track", "overlap", "before"], ascending=[True, False, False])[["track", "overlap", "before"]].itertuples(index=False, name=None):
-            if track not in claimed and before not in claimed.values():
+            if track not in claimed and before not in taken:
                 claimed[track] = before
+                taken.add(before)
         return pd.DataFrame([(g["video"].iloc[0], t, b) for t, b in claimed.items()], columns=["video", "track", "before"])
 
     chosen = predecessors(texts, within, at_least).groupBy("video").applyInPandas(fold, "video bigint, track bigint, before bigint")

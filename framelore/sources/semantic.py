@@ -260,3 +260,40 @@ def from_plain(found: dict, kind: str = "Document") -> dict:
 
     empty = decode(b"", kind)
     return empty | {name: [one(name, known[name][0], x) for x in v] if known[name][1] == "*" else one(name, known[name][0], v) for name, v in found.items() if v is not None}
+
+
+def normalized(document: dict) -> dict:
+    """The document with every block's layer filled in where it has none."""
+    from framelore.operators.document import LAYERS
+
+    kind = {"entities": "entity"}
+    fill = lambda name, b: b | {"layer": b.get("layer") or LAYERS[kind.get(name, name.removesuffix("s"))]}
+    return document | {n: [fill(n, b) for b in document.get(n) or []] for n in KINDS}
+
+
+def by_layer(document: dict) -> dict[int, dict]:
+    """A normalized document's blocks in a document for each layer that has some; times and version are kept."""
+    held = normalized(document)
+    layers = sorted({b["layer"] for n in KINDS for b in held[n]})
+    return {x: held | {"layer": x} | {n: [b for b in held[n] if b["layer"] == x] for n in KINDS} for x in layers}
+
+
+def example(timescale: int, seconds: float) -> dict:
+    """A made-up document with a block of every kind, to try containers and tools without a model."""
+    at = lambda s: int(s * timescale)
+    half, end = at(seconds / 2), at(seconds)
+    box = {"x": 0.25, "y": 0.25, "w": 0.125, "h": 0.5}
+    seen = lambda a, b, frame=0, bbox=None: {"t_start": a, "t_end": b, "frame_id": frame, "bbox": bbox}
+    return normalized({
+        "schema_major": VERSION[0], "schema_minor": VERSION[1], "t_start": 0, "t_end": end,
+        "entities": [{"id": 1, "type": "person", "first_seen": 0, "last_seen": end, "pixel_ref": seen(0, end)}, {"id": 2, "type": "cup", "first_seen": half, "last_seen": end, "pixel_ref": seen(half, end, 1)}],
+        "objects": [{"entity_id": 1, "class": "person", "bbox": box, "confidence": 0.75, "timestamp": 0, "pixel_ref": seen(0, 0, 0, box)}],
+        "texts": [{"content": "Way out", "bbox": box, "confidence": 0.5, "timestamp": half, "pixel_ref": seen(half, end, 1, box)}],
+        "actions": [{"subject_id": 1, "action": "standing", "start": 0, "end": half, "confidence": 0.75, "pixel_ref": seen(0, half)}],
+        "events": [{"type": "cup_appeared", "start": half, "end": half, "entity_ids": [2], "region": box, "confidence": 0.5, "pixel_ref": seen(half, half, 1, box)}],
+        "relations": [{"id": 1, "subject_id": 1, "relation": "holding", "object_id": 2, "start": half, "end": end, "pixel_ref": seen(half, end, 1)}],
+        "scenes": [{"label": "shot_01", "context": "", "start": 0, "end": end, "pixel_ref": seen(0, end)}],
+        "temporals": [{"kind": 1, "t_start": 0, "t_end": half, "active_entity_ids": [1], "pixel_ref": seen(0, half)}, {"kind": 2, "t_start": half, "t_end": end, "base_t": 0, "added_entity_ids": [2], "added_relation_ids": [1], "pixel_ref": seen(half, end, 1)}],
+        "attributes": [{"entity_id": 2, "key": "name", "value": "cup_01", "start": half, "end": end, "pixel_ref": seen(half, end, 1)}],
+        "embeddings": [{"model": "made up", "vector": [0.5, 0.25], "caption": "A person with a cup", "timestamp": half, "pixel_ref": seen(half, half, 1)}],
+    })

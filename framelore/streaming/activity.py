@@ -1,4 +1,4 @@
-"""Samplers and activity counts over unbounded frame streams."""
+"""Activity counts over unbounded frame streams, closed by watermarks; for samplers and trackers see trackers.py."""
 
 from __future__ import annotations
 
@@ -6,12 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def every_seconds_stream(frames: DataFrame, step: float = 1.0) -> DataFrame:
-    """The first frame of each step, as in the batch sampler: the least of every bucket, kept as state by (video, bucket)."""
-    rows = frames.withColumn("bucket", F.floor(F.col("time_sec") / step + 1e-9)).groupBy("video", "bucket").agg(F.min(F.struct("time_sec", "frame_id")).alias("f"))
-    return rows.select("video", "bucket", F.col("f.frame_id").alias("frame_id"), F.col("f.time_sec").alias("time_sec"))
-
-
 def activity(events: DataFrame, time_col: str = "ts", late: str = "10 minutes", every: str = "1 hour") -> DataFrame:
     """Counts by class and tumbling window; rows later than the watermark are dropped."""
     return events.withWatermark(time_col, late).groupBy(F.window(time_col, every), "class").agg(F.count(F.lit(1)).alias("n"))
