@@ -13,6 +13,7 @@ partition counts, so one very common length never meets in one task.
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from functools import lru_cache
 
@@ -182,6 +183,8 @@ def cutting_stock(demand: dict[int, int], room: int, rounds: int = 1500) -> list
         inverse = inverse - np.outer(step, pivot)
         inverse[out] = pivot
         patterns[:, out] = column
+    else:
+        warnings.warn(f"the linear program was stopped after {rounds} rounds; padding may be above the least", RuntimeWarning, stacklevel=2)
     used, full = patterns.astype(np.int64), weight @ patterns == room
     left, whole = need.astype(np.int64), np.zeros(len(weight), np.int64)
     for up in (0, 1):  # round down, then up, as far as the demand lasts
