@@ -81,18 +81,12 @@ def paths(nodes: DataFrame, per_tree: int | None = 1) -> DataFrame:
 def render(turns: DataFrame) -> DataFrame:
     """turns(tree, leaf, place, role, text) -> (tree, leaf, formatted, loss: spans of the assistant texts, code points, end exclusive)."""
     head = F.concat(F.lit(TURN), escape(F.col("role")), F.lit(BODY))
-    body = escape(F.col("text"))
-    own = F.struct("place", head.alias("head"), body.alias("body"), (F.col("role") == "assistant").alias("learn"))
-    rows = turns.groupBy("tree", "leaf").agg(F.array_sort(F.collect_list(own)).alias("t"))
-    start = F.lit(0).cast("long")
-    zero = F.struct(start.alias("at"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("spans"))
-
-    def step(s, t):
-        a = s["at"] + F.length(t["head"])
-        b = a + F.length(t["body"])
-        return F.struct((b + len(END)).alias("at"), F.when(t["learn"], F.concat(s["spans"], F.array(F.struct(a.cast("long").alias("start"), b.cast("long").alias("end"))))).otherwise(s["spans"]).alias("spans"))
-
-    return rows.select("tree", "leaf", F.concat_ws("", F.transform("t", lambda t: F.concat(t["head"], t["body"], F.lit(END)))).alias("formatted"), F.aggregate("t", zero, step)["spans"].alias("loss"))
+    rows = turns.select("tree", "leaf", "place", head.alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == "assistant").alias("learn"))
+    before = Window.partitionBy("tree", "leaf").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.coalesce(F.sum(F.length("head") + F.length("body") + len(END)).over(before), F.lit(0)) + F.length("head")
+    rows = rows.withColumn("start", at.cast("long")).withColumn("end", F.col("start") + F.length("body"))
+    whole = rows.groupBy("tree", "leaf").agg(F.array_sort(F.collect_list(F.struct("place", "head", "body"))).alias("t"), F.array_sort(F.collect_list(F.when(F.col("learn"), F.struct("start", "end")))).alias("loss"))
+    return whole.select("tree", "leaf", F.concat_ws("", F.transform("t", lambda t: F.concat(t["head"], t["body"], F.lit(END)))).alias("formatted"), "loss")
 
 
 def read_back(c: Column) -> Column:
@@ -110,7 +104,7 @@ def format_trees(nodes: DataFrame, per_tree: int | None = 1) -> DataFrame:
     """nodes(tree, node, parent, role, text, score) -> (tree, leaf, formatted, loss), one row for each chosen path.
 
     Null texts and roles are empty, a null score is 0. Node ids are unique in a tree. A node whose parent is not there is a root; a tree of
-    several roots ranks all their paths; nodes on a cycle have no root and are left out. An empty table gives none.
+    several roots ranks all their paths; nodes on a cycle have no root and are left out. An empty table gives none; very long texts are turns like any other.
     """
     clean = stored(nodes.select("tree", "node", "parent", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), "chat-nodes")
     way = paths(clean.select("tree", "node", "parent", "score"), per_tree)
@@ -120,7 +114,8 @@ def format_trees(nodes: DataFrame, per_tree: int | None = 1) -> DataFrame:
 def format_conversations(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Conversations given as ordered turns: each is a tree of one path. (id_col, formatted, loss).
 
-    Turns are ordered by turn (null first), then role, then text; repeated rows are turns of their own. A null id is one conversation.
+    Turns are ordered by turn (null first), then role, then text; repeated rows are turns of their own. A null id is one conversation. Null texts and roles are
+    empty; an empty table gives none; a very long text is one turn; other columns are ignored.
     """
     own = Window.partitionBy("tree").orderBy("turn", "role", "text")
     plain = rows.select(F.struct(F.col(id_col).alias("id")).alias("tree"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
