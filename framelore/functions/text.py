@@ -44,4 +44,4 @@ def fraction(c: Column) -> tuple[Column, Column]:
 
 def share(c: Column) -> Column:
     """A confidence held within 0..1, in single precision; null stays."""
-    return F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)).cast("float")
+    return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))).cast("float")

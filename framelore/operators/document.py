@@ -63,7 +63,7 @@ def _bad_box(c: str) -> Column:
 
 
 def document_violations(document: dict[str, DataFrame], references: bool = True) -> DataFrame:
-    """Block tables by list name, each with video, place, its fields, layer and pixel_ref, as semantic.blocks() gives -> (video, list, place, rule, id) of
+    """Block tables by list name, each with video, place, its fields (lists of ids may be missing), layer and pixel_ref, as semantic.blocks() gives -> (video, list, place, rule, id) of
     every rule that a block breaks; id is the entity or relation that is not known or repeated.
 
     Every block has a layer and a pixel_ref whose times are in order; boxes lie in the frame, confidences in 0..1, times in order. With references, entities and
@@ -87,6 +87,9 @@ def document_violations(document: dict[str, DataFrame], references: bool = True)
             for name, columns in fields.items():
                 if name not in document:
                     continue
+                columns = [c for c in columns if c in document[name].columns]
+                if not columns:
+                    continue
                 ids = [F.coalesce(F.col(c), F.expr("cast(array() as array<bigint>)")) if c.endswith("_ids") else F.array(c) for c in columns]
                 some = document[name].select("video", F.lit(name).alias("list"), "place", F.explode(F.array_distinct(F.concat(*ids))).alias("id"))
                 named = some if named is None else named.unionByName(some)
@@ -199,3 +202,33 @@ def compressed(obs: DataFrame) -> DataFrame:
     codes = words.select("class", (F.row_number().over(Window.orderBy("class")) - 1).alias("class_code"))
     rows = obs.withColumn("delta", F.col("frame_id") - F.coalesce(F.lag("frame_id").over(order), F.lit(0))).withColumn("conf8", F.floor(F.col("conf") * 255 + 0.5).cast("int"))
     return rows.join(codes, "class")
+
+
+def box_runs(obs: DataFrame) -> DataFrame:
+    """Sightings of a track in a row with one and the same box as one: (video, track, run, first_idx, last_idx, first_frame, last_frame, n, box)."""
+    order = Window.partitionBy("video", "track").orderBy("obs_idx")
+    fresh = F.coalesce((F.col("box") != F.lag("box").over(order)).cast("long"), F.lit(1).cast("long"))
+    rows = obs.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order))
+    return rows.groupBy("video", "track", "run").agg(F.min("obs_idx").alias("first_idx"), F.max("obs_idx").alias("last_idx"), F.min("frame_id").alias("first_frame"), F.max("frame_id").alias("last_frame"), F.count(F.lit(1)).alias("n"), F.first("box").alias("box"))
+
+
+def zigzag(c: Column) -> Column:
+    """Signed numbers as unsigned ones, small for small."""
+    return F.shiftleft(c, 1).bitwiseXOR(F.shiftright(c, 63))
+
+
+def varint_size(c: Column) -> Column:
+    """How many bytes a number of 0 or more takes in groups of seven bits."""
+    return F.when(c < 0, 10).otherwise(F.greatest(F.lit(1), F.ceil(F.length(F.bin(c)) / 7)).cast("int")).cast("int")
+
+
+def save(document: dict[str, DataFrame], path: str) -> None:
+    """Block tables as Parquet by list and layer, so that a read of some layers opens no files of others."""
+    for name, t in document.items():
+        t.write.mode("overwrite").partitionBy("layer").parquet(f"{path}/{name}")
+
+
+def read(spark, path: str, name: str, layers: list[int] | None = None) -> DataFrame:
+    """A list's blocks, of the given layers only."""
+    t = spark.read.parquet(f"{path}/{name}")
+    return t.where(F.col("layer").isin(layers)) if layers is not None else t

@@ -108,7 +108,7 @@ def movements(obs: DataFrame, cfg: MotionConfig = MotionConfig()) -> DataFrame:
     runs = absorb(raw_segments(steps(obs, person), cfg.walk_enter, cfg.walk_exit, (cfg.object_enter, cfg.object_exit)), cfg.min_segment_seconds)
     inside = runs.withColumn("obs_idx", F.explode(F.sequence("start_idx", "end_idx"))).join(obs.select("video", "track", "obs_idx", "frame_id", "conf", "box", person.alias("walks")), ["video", "track", "obs_idx"])
     first, last = (lambda c: F.min_by(c, "obs_idx").alias(c)), (lambda c, to: F.max_by(c, "obs_idx").alias(to))
-    return inside.groupBy("video", "track", "segment", "moving", "start_sec", "end_sec").agg(F.first("walks").alias("walks"), first("frame_id"), F.avg("conf").alias("conf"), first("box"), last("box", "end_box"))
+    return inside.groupBy("video", "track", "segment", "moving", "start_sec", "end_sec").agg(first("walks"), first("frame_id"), F.avg("conf").alias("conf"), first("box"), last("box", "end_box"))
 
 
 def actions(obs: DataFrame, cfg: MotionConfig = MotionConfig()) -> DataFrame:

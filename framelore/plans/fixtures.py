@@ -49,8 +49,8 @@ pkt AS (SELECT video, decode_idx, CASE decode_idx % 4 WHEN 1 THEN decode_idx + 2
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lives of tracks in ticks (hours)."""
-    rows = detections(spark, sf_dir).groupBy("video", F.col("track").alias("id")).agg(F.min("frame_id").alias("start"), F.max("frame_id").alias("last"))
-    return rows.selectExpr("video", "id", "start", "least(last, start + 40 + id % 90) as `end`")
+    rows = detections(spark, sf_dir).groupBy("video", F.col("track").alias("id")).agg(F.min("frame_id").alias("start"), F.max("frame_id").alias("end"))
+    return rows
 
 
-SPANS = DET + ', spans AS (SELECT video, track AS id, min(frame_id) AS start, least(max(frame_id), min(frame_id) + 40 + track % 90) AS "end" FROM det GROUP BY video, track)'
+SPANS = DET + ', spans AS (SELECT video, track AS id, min(frame_id) AS start, max(frame_id) AS "end" FROM det GROUP BY video, track)'

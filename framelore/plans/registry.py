@@ -144,10 +144,10 @@ def p_limited_detections(spark, sf_dir):
     return D.limited(fx.detections(spark, sf_dir), ["click", "view", "purchase"], most=2).select("video", "frame_id", "det_idx", "place")
 
 
-@query("""WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '  ' || substr(text, 1, CAST(turn % 4 AS INT)) || ' ' ELSE text END AS raw FROM conversations)
+@query("""WITH t AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '  ' || text || ' ' WHEN 1 THEN ' ' || chr(9) ELSE text END AS raw FROM conversations)
 SELECT conv_id, turn, trim(raw, ' ' || chr(9) || chr(10)) AS text FROM t WHERE length(trim(raw, ' ' || chr(9) || chr(10))) >= 2""")
 def p_usable_lines(spark, sf_dir):
-    raw = F.expr("if(turn % 3 = 0, concat('  ', substr(text, 1, cast(turn % 4 as int)), ' '), text)")
+    raw = F.expr("case turn % 3 when 0 then concat('  ', text, ' ') when 1 then concat(' ', char(9)) else text end")
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", raw.alias("text"), F.lit(0.9).alias("conf"), G.box(F.lit(0.1), F.lit(0.1), F.lit(0.5), F.lit(0.1)).alias("box"))
     return D.usable_lines(rows).select("conv_id", "turn", "text")
 
@@ -158,10 +158,15 @@ def p_boxes(spark, sf_dir):
     return fx.detections(spark, sf_dir).select("det_idx", G.at_edge(b).alias("lr"), G.at_edge(b, 0.1, "lrtb").alias("all_sides"), G.valid(b).alias("valid"))
 
 
-@query("SELECT p_partkey, p_brand IN ('Brand#1', 'book', 'cup') OR p_size % 4 = 0 AS holdable FROM part")
+_HELD = "apple,backpack,banana,baseball bat,book,bottle,cake,cell phone,cup,donut,fork,frisbee,handbag,knife,mouse,orange,remote,sandwich,scissors,skateboard,spoon,sports ball,suitcase,teddy bear,tennis racket,toothbrush,umbrella,wine glass"
+_CLASSES = f"{_HELD},tie,bowl,carrot,laptop,baseball glove,person,chair,dining table"
+
+
+@query(f"WITH c AS (SELECT unnest(string_split('{_CLASSES}', ',')) AS class), h AS (SELECT unnest(string_split('{_HELD}', ',')) AS class) SELECT p_partkey, class, class IN (SELECT class FROM h) AS holdable FROM part, c")
 def p_class_list(spark, sf_dir):
-    rows = _table(spark, sf_dir, "part").selectExpr("p_partkey", "if(p_size % 4 = 0, 'cup', p_brand) as class")
-    return rows.select("p_partkey", (F.col("class").isin([*D.HOLDABLE, "Brand#1"])).alias("holdable"))
+    """Every class of the list, and others, for every part."""
+    rows = _table(spark, sf_dir, "part").select("p_partkey", F.explode(F.split(F.lit(_CLASSES), ",")).alias("class"))
+    return rows.select("p_partkey", "class", F.col("class").isin(D.HOLDABLE).alias("holdable"))
 
 
 @query("SELECT c_custkey, replace(lower(trim(c_mktsegment)), ' ', '_') || '_' || CASE WHEN c_custkey % 120 < 10 THEN '0' ELSE '' END || (c_custkey % 120) AS label FROM customer")
@@ -201,10 +206,10 @@ def f_rescale(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", X.rescale(t, a, b).alias("up"), X.rescale(t, a, b, True).alias("even"))
 
 
-@query("""WITH s AS (SELECT doc_id, doc_id % 7 AS a, doc_id % 11 AS b, doc_id % 13 AS c, lag(doc_id) OVER (ORDER BY doc_id) AS p FROM documents)
+@query("""WITH s AS (SELECT doc_id, doc_id % 7 AS a, doc_id % 11 AS b, doc_id % 13 AS c, lag(doc_id) OVER (PARTITION BY doc_id % 16 ORDER BY doc_id) AS p FROM documents)
 SELECT doc_id, abs(a - p % 7) + abs(b - p % 11) + abs(c - p % 13) AS hist2, abs(a - p % 7) + abs(b - p % 11) + abs(c - p % 13) AS l1 FROM s WHERE p IS NOT NULL""")
 def f_signature_scores(spark, sf_dir):
-    rows = _table(spark, sf_dir, "documents").selectExpr("0L as video", "doc_id as frame_id", "cast(doc_id as double) as time_sec", "cast(array(doc_id % 7, doc_id % 11, doc_id % 13, 5) as array<double>) as hist", "cast(array(doc_id % 7, doc_id % 11, doc_id % 13, 5) as array<double>) as thumb")
+    rows = _table(spark, sf_dir, "documents").selectExpr("doc_id % 16 as video", "doc_id as frame_id", "cast(doc_id as double) as time_sec", "cast(array(doc_id % 7, doc_id % 11, doc_id % 13, 5) as array<double>) as hist", "cast(array(doc_id % 7, doc_id % 11, doc_id % 13, 5) as array<double>) as thumb")
     out = sampling.signature_scores(rows).where("hist_score is not null")
     return out.select(F.col("frame_id").alias("doc_id"), F.round(F.col("hist_score") * 2).cast("long").alias("hist2"), F.round(F.col("mad_score") * 4 * 255).cast("long").alias("l1"))
 
@@ -256,7 +261,33 @@ def w_motion_segments(spark, sf_dir):
 
 @query()
 def r_actions(spark, sf_dir):
-    return motion.actions(fx.observations(spark, sf_dir), min_seconds=3.0)
+    cfg = motion.MotionConfig(classes=("view", "click"), min_segment_seconds=3.0)
+    return motion.actions(fx.observations(spark, sf_dir), cfg).withColumn("box", F.to_json("box"))
+
+
+_WALKS = _SEGMENTS.replace("(h + lead(h) OVER o) / 2 AS ref", "CASE WHEN track % 2 = 0 THEN greatest((h + lead(h) OVER o) / 2, 0.001) ELSE 1.0 END AS ref").replace("speed >= 0.30", "speed >= CASE WHEN track % 2 = 0 THEN 0.30 ELSE 0.04 END").replace("speed < 0.15", "speed < CASE WHEN track % 2 = 0 THEN 0.15 ELSE 0.015 END") + """,
+r AS (SELECT video, track, segment, moving, min(obs_idx) AS a, max(obs_idx) + 1 AS b, min(time_sec) AS start_sec, max(next_sec) AS end_sec FROM e GROUP BY ALL),
+m AS (SELECT r.video, r.track, segment, moving, start_sec, end_sec, avg(o.conf) AS conf, arg_min(o.frame_id, o.obs_idx) AS frame_id, arg_min(o.x, o.obs_idx) AS ax, arg_min(o.y, o.obs_idx) AS ay, arg_min(o.w, o.obs_idx) AS aw, arg_min(o.h, o.obs_idx) AS ah,
+ arg_max(o.x, o.obs_idx) AS bx, arg_max(o.y, o.obs_idx) AS bby, arg_max(o.w, o.obs_idx) AS bw, arg_max(o.h, o.obs_idx) AS bh FROM r JOIN obs o ON o.video = r.video AND o.track = r.track AND o.obs_idx BETWEEN r.a AND r.b GROUP BY ALL)"""
+
+
+def _walkers(spark, sf_dir):
+    """Every other track walks; segments of any length count, so that none is absorbed."""
+    rows = fx.observations(spark, sf_dir).withColumn("class", F.expr("if(track % 2 = 0, 'person', 'chair')"))
+    return rows, motion.MotionConfig(min_segment_seconds=0.0)
+
+
+@query(f"WITH {_WALKS} SELECT video, track, CASE WHEN moving THEN 'walking' ELSE 'standing' END AS action, CAST(start_sec AS BIGINT) AS start_sec, CAST(end_sec AS BIGINT) AS end_sec, frame_id, CAST(round(conf * 1e9) AS BIGINT) AS conf, {_micro('ax')} AS x FROM m WHERE track % 2 = 0")
+def r_walks(spark, sf_dir):
+    out = motion.actions(*_walkers(spark, sf_dir))
+    return out.select("video", "track", "action", F.col("start_sec").cast("long").alias("start_sec"), F.col("end_sec").cast("long").alias("end_sec"), "frame_id", F.round(F.col("conf") * 1e9).cast("long").alias("conf"), G.micro(F.col("box.x")).alias("x"))
+
+
+@query(f"""WITH {_WALKS}, d AS (SELECT *, sqrt((ax + aw / 2 - (bx + bw / 2)) * (ax + aw / 2 - (bx + bw / 2)) + (ay + ah / 2 - (bby + bh / 2)) * (ay + ah / 2 - (bby + bh / 2))) AS far FROM m WHERE track % 2 = 1 AND moving)
+SELECT video, track, 'object_moved' AS type, CAST(start_sec AS BIGINT) AS start_sec, CAST(end_sec AS BIGINT) AS end_sec, frame_id, {_micro('least(ax, bx)')} AS x, {_micro('greatest(ax + aw, bx + bw) - least(ax, bx)')} AS w FROM d WHERE far >= 0.03""")
+def r_object_moves(spark, sf_dir):
+    out = motion.object_moves(*_walkers(spark, sf_dir))
+    return out.select("video", "track", "type", F.col("start_sec").cast("long").alias("start_sec"), F.col("end_sec").cast("long").alias("end_sec"), "frame_id", G.micro(F.col("region.x")).alias("x"), G.micro(F.col("region.w")).alias("w"))
 
 
 # --- relations
@@ -346,9 +377,17 @@ def j_rebuilt_states(spark, sf_dir):
     return graph.rebuilt_sets(blocks).select("video", "t0", "t1", F.concat_ws(",", "ids").alias("ids"))
 
 
-@query()
+_LISTS = _SETS.replace("coalesce(string_agg(CAST(id AS VARCHAR), ',' ORDER BY id), '') AS ids", "coalesce(list(id ORDER BY id) FILTER (id IS NOT NULL), []) AS ids")
+
+
+@query(f"""WITH RECURSIVE {_LISTS}, s AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY t0) AS n FROM a),
+f AS (SELECT video, n, t0, t1, ids, CASE WHEN len(ids) > 0 THEN t0 END AS base, ids AS held FROM s WHERE n = 1
+ UNION ALL SELECT s.video, s.n, s.t0, s.t1, s.ids, CASE WHEN len(s.ids) = 0 THEN NULL WHEN f.base IS NULL OR s.t0 - f.base >= 100 THEN s.t0 ELSE f.base END, CASE WHEN f.base IS NULL OR s.t0 - f.base >= 100 THEN s.ids ELSE f.held END FROM f JOIN s ON s.video = f.video AND s.n = f.n + 1)
+SELECT video, CASE WHEN base = t0 THEN 'KEY' ELSE 'DELTA' END AS kind, t0, t1, CASE WHEN base <> t0 THEN base END AS base_t, CASE WHEN base = t0 THEN array_to_string(ids, ',') ELSE '' END AS ids,
+ CASE WHEN base <> t0 THEN array_to_string([x for x in ids if NOT list_contains(held, x)], ',') ELSE '' END AS added, CASE WHEN base <> t0 THEN array_to_string([x for x in held if NOT list_contains(ids, x)], ',') ELSE '' END AS removed FROM f WHERE base IS NOT NULL""")
 def t_state_blocks(spark, sf_dir):
-    return graph.state_blocks(graph.active_sets(fx.spans(spark, sf_dir)), 100)
+    blocks = graph.state_blocks(graph.active_sets(fx.spans(spark, sf_dir)), 100)
+    return blocks.select("video", "kind", "t0", "t1", "base_t", *[F.concat_ws(",", c).alias(c) for c in ("ids", "added", "removed")])
 
 
 @query(f"""WITH {SPANS}, ev AS (SELECT user_id % 8 AS video, event_id AS t, event_type AS type, user_id AS e1, (user_id + 8) AS e2 FROM events), rel AS (SELECT video, id AS subject, id + 8 AS object, start, "end", 'near' AS name FROM spans),
@@ -402,10 +441,14 @@ def t_every_seconds(spark, sf_dir):
     return sampling.every_seconds(_frames(spark, sf_dir).drop("reason"), 24.0).select("video", "frame_id", "reason")
 
 
-@query()
+@query("""WITH RECURSIVE g AS (SELECT doc_id % 16 AS video, doc_id AS frame_id, doc_id::DOUBLE / 480 AS t, (doc_id % 5)::DOUBLE / 4 AS h, (doc_id % 64)::DOUBLE AS m FROM documents),
+s AS (SELECT *, abs(h - lag(h) OVER w) AS hs, abs(m - lag(m) OVER w) / 255 AS ms, row_number() OVER w AS n FROM g WINDOW w AS (PARTITION BY video ORDER BY t, frame_id)),
+f AS (SELECT video, n, frame_id, t AS last, 'first' AS reason FROM s WHERE n = 1 UNION ALL SELECT s.video, s.n, s.frame_id, CASE WHEN (hs >= 0.35 OR ms >= 0.12) AND t - last >= 0.25 OR t - last >= 2 THEN t ELSE last END,
+ CASE WHEN (hs >= 0.35 OR ms >= 0.12) AND t - last >= 0.25 THEN 'scene' WHEN t - last >= 2 THEN 'max_gap' END FROM f JOIN s ON s.video = f.video AND s.n = f.n + 1)
+SELECT video, frame_id, reason FROM f WHERE reason IS NOT NULL""")
 def t_scene_changes(spark, sf_dir):
     rows = _table(spark, sf_dir, "documents").selectExpr("doc_id % 16 as video", "doc_id as frame_id", "cast(doc_id as double) / 480 as time_sec", "array(cast(doc_id % 5 as double) / 4, 1 - cast(doc_id % 5 as double) / 4) as hist", "array(cast(doc_id % 64 as double)) as thumb")
-    return sampling.scene_changes(sampling.signature_scores(rows))
+    return sampling.scene_changes(sampling.signature_scores(rows), max_gap=2.0).select("video", "frame_id", "reason")
 
 
 # --- linking
@@ -417,10 +460,13 @@ def j_object_tracks(spark, sf_dir):
     return tracking.track_objects(rows, _frames(spark, sf_dir)).withColumn("box", F.to_json("box"))
 
 
-@query()
+@query("""WITH l AS (SELECT conv_id AS video, turn, role AS text FROM conversations WHERE length(trim(role)) >= 2), g AS (SELECT *, CASE WHEN turn - lag(turn) OVER w <= 2 THEN 0 ELSE 1 END AS fresh FROM l WINDOW w AS (PARTITION BY video, text ORDER BY turn)),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY video, text ORDER BY turn) AS island FROM g), t AS (SELECT video, text, island, min(turn) AS first FROM i GROUP BY ALL HAVING count(*) >= 2), n AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY first) AS track FROM t)
+SELECT i.video, n.track, row_number() OVER (PARTITION BY i.video, n.track ORDER BY turn) - 1 AS obs_idx, turn AS frame_id, i.text FROM i JOIN n ON i.video = n.video AND i.text = n.text AND i.island = n.island""")
 def j_text_tracks(spark, sf_dir):
+    """Roles as the one line of each turn: two roles are unlike, so a role's turns that are at most two apart are a track."""
     rows = _table(spark, sf_dir, "conversations").selectExpr("conv_id as video", "turn as frame_id", "cast(turn as double) as time_sec", "cast(0 as bigint) as line_idx", "role as text", "0.9D as conf", "named_struct('x', 0.1D, 'y', 0.1D, 'w', 0.5D, 'h', 0.1D) as box")
-    return tracking.track_text(rows).withColumn("box", F.to_json("box"))
+    return tracking.track_text(rows).select("video", "track", "obs_idx", "frame_id", "text")
 
 
 _TEXTS = DET + """, txt AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY first_sec, det_idx) AS track, first_sec + det_idx % 4 AS last_sec FROM (SELECT video, det_idx, class AS text, frame_id AS first_sec, x, y, w, h FROM det))"""
@@ -439,14 +485,23 @@ def j_text_predecessors(spark, sf_dir):
     return text_events.predecessors(_texts(spark, sf_dir)).select("video", "track", "before", G.micro(F.col("overlap")).alias("overlap"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_TEXTS}, p AS (SELECT b.video, b.track, a.track AS before, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS i, a.w * a.h + b.w * b.h AS s
+FROM txt a JOIN txt b ON a.video = b.video AND a.track <> b.track AND a.last_sec <= b.first_sec AND b.first_sec - a.last_sec <= 3 AND a.text <> b.text),
+c AS (SELECT video, track, list(before ORDER BY i / (s - i) DESC, before DESC) AS few FROM p WHERE i / (s - i) >= 0.3 GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY track) AS n FROM c),
+f AS (SELECT video, n, track, few[1] AS before, [few[1]] AS taken FROM k WHERE n = 1
+ UNION ALL SELECT video, n, track, before, CASE WHEN before IS NULL THEN taken ELSE list_append(taken, before) END FROM (SELECT k.video, k.n, k.track, taken, [x for x in few if NOT list_contains(taken, x)][1] AS before FROM f JOIN k ON k.video = f.video AND k.n = f.n + 1))
+SELECT t.video, t.track, CASE WHEN f.before IS NULL THEN 'text_appeared' ELSE 'text_changed' END AS type, CAST(first_sec AS BIGINT) AS sec, f.before FROM txt t LEFT JOIN f ON f.video = t.video AND f.track = t.track""")
 def r_text_events(spark, sf_dir):
-    return text_events.text_events(_texts(spark, sf_dir))
+    return text_events.text_events(_texts(spark, sf_dir)).withColumn("sec", F.col("sec").cast("long"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {OBS}, s AS (SELECT *, count(*) OVER (PARTITION BY video, track) AS n FROM obs),
+f AS (SELECT video, track, obs_idx, det_idx, n, true AS kept, x, y, w, h FROM s WHERE obs_idx = 0
+ UNION ALL SELECT video, track, obs_idx, det_idx, n, kept, CASE WHEN kept THEN x ELSE fx END, CASE WHEN kept THEN y ELSE fy END, CASE WHEN kept THEN w ELSE fw END, CASE WHEN kept THEN h ELSE fh END
+ FROM (SELECT s.video, s.track, s.obs_idx, s.det_idx, s.n, s.obs_idx = s.n - 1 OR greatest(abs(s.x - f.x), abs(s.y - f.y), abs(s.w - f.w), abs(s.h - f.h)) > 0.3 AS kept, s.x, s.y, s.w, s.h, f.x AS fx, f.y AS fy, f.w AS fw, f.h AS fh FROM f JOIN s ON s.video = f.video AND s.track = f.track AND s.obs_idx = f.obs_idx + 1))
+SELECT video, track, obs_idx, det_idx FROM f WHERE kept""")
 def p_kept_sightings(spark, sf_dir):
-    return text_events.kept_sightings(fx.observations(spark, sf_dir), 0.3).select("video", "track", "obs_idx", "det_idx")
+    return text_events.kept_sightings(fx.observations(spark, sf_dir), 0.3).select("video", "track", F.col("obs_idx").cast("long").alias("obs_idx"), "det_idx")
 
 
 # --- pixels
@@ -515,15 +570,147 @@ def q_compressed(spark, sf_dir):
     return document.compressed(rows).select("video", "track", "obs_idx", "delta", "conf8", "class_code")
 
 
-@query(f"""WITH {DET}, f AS (SELECT * FROM det), g AS (SELECT * REPLACE (x + CAST(det_idx % 9 AS DOUBLE) / 100 AS x), det_idx AS truth_idx FROM det),
-h AS (SELECT f.class, f.det_idx, g.truth_idx, greatest(0, least(f.x + f.w, g.x + g.w) - greatest(f.x, g.x)) * greatest(0, least(f.y + f.h, g.y + g.h) - greatest(f.y, g.y)) AS i, f.w * f.h + g.w * g.h AS s FROM f JOIN g USING (video, frame_id, class)),
-m AS (SELECT class, count(DISTINCT det_idx) AS "right", count(DISTINCT truth_idx) AS met FROM h WHERE i / (s - i) >= 0.7 GROUP BY class)
-SELECT class, coalesce(a.n, 0) AS found, coalesce(b.n, 0) AS truth, coalesce("right", 0) AS "right", coalesce(met, 0) AS met FROM (SELECT class, count(*) AS n FROM f GROUP BY class) a FULL JOIN (SELECT class, count(*) AS n FROM g GROUP BY class) b USING (class) LEFT JOIN m USING (class)""")
+_MATCHED = DET + """, g AS (SELECT * REPLACE (x + CAST(det_idx % 9 AS DOUBLE) / 100 AS x), det_idx AS truth_idx FROM det),
+h AS (SELECT f.video, f.frame_id, f.class, f.det_idx AS d, g.truth_idx AS t, greatest(0, least(f.x + f.w, g.x + g.w) - greatest(f.x, g.x)) * greatest(0, least(f.y + f.h, g.y + g.h) - greatest(f.y, g.y)) AS i, f.w * f.h + g.w * g.h AS s FROM det f JOIN g USING (video, frame_id, class)),
+pp AS (SELECT video, frame_id, class, d, t, row_number() OVER (PARTITION BY video, frame_id, class ORDER BY i / (s - i) DESC, d, t) AS n FROM h WHERE i / (s - i) >= 0.2),
+ff AS (SELECT video, frame_id, class, n, d, t, true AS hit, [d] AS ds, [t] AS ts FROM pp WHERE n = 1 UNION ALL
+ SELECT video, frame_id, class, n, d, t, hit, CASE WHEN hit THEN list_append(ds, d) ELSE ds END, CASE WHEN hit THEN list_append(ts, t) ELSE ts END
+ FROM (SELECT pp.*, ds, ts, NOT (list_contains(ds, pp.d) OR list_contains(ts, pp.t)) AS hit FROM ff JOIN pp ON pp.video = ff.video AND pp.frame_id = ff.frame_id AND pp.class = ff.class AND pp.n = ff.n + 1))"""
+
+
+def _moved(spark, sf_dir):
+    """Detections as truth, some of them moved to the right."""
+    moved = F.expr("named_struct('x', box.x + cast(det_idx % 9 as double) / 100, 'y', box.y, 'w', box.w, 'h', box.h)")
+    return fx.detections(spark, sf_dir).withColumn("box", moved).withColumnsRenamed({"det_idx": "truth_idx", "track": "truth_track"})
+
+
+@query(f"""WITH RECURSIVE {_MATCHED}, m AS (SELECT class, count(*) AS "right" FROM ff WHERE hit GROUP BY class), n AS (SELECT class, count(*) AS n FROM det GROUP BY class)
+SELECT class, n AS found, n AS truth, coalesce("right", 0) AS "right", {_micro('coalesce("right", 0)::DOUBLE / n')} AS precision, {_micro('coalesce("right", 0)::DOUBLE / n')} AS recall FROM n LEFT JOIN m USING (class)""")
 def q_precision_recall(spark, sf_dir):
+    out = D.precision_recall(fx.detections(spark, sf_dir), _moved(spark, sf_dir), 0.2)
+    return out.select("class", "found", "truth", "right", G.micro(F.col("precision")).alias("precision"), G.micro(F.col("recall")).alias("recall"))
+
+
+@query(f"""WITH RECURSIVE {_MATCHED}, m AS (SELECT ff.video, ff.frame_id, a.track, b.track AS truth_track, ff.t FROM ff JOIN det a ON a.det_idx = ff.d JOIN det b ON b.det_idx = ff.t WHERE hit),
+s AS (SELECT *, CASE WHEN track <> lag(track) OVER (PARTITION BY video, truth_track ORDER BY frame_id, t) THEN 1 ELSE 0 END AS switch FROM m) SELECT video, truth_track, count(*) AS frames, CAST(sum(switch) AS BIGINT) AS switches FROM s GROUP BY ALL""")
+def q_identity_switches(spark, sf_dir):
+    return D.identity_switches(fx.detections(spark, sf_dir), _moved(spark, sf_dir), 0.2)
+
+
+@query(f"""WITH {DET}, tr AS (SELECT video, det_idx AS truth_idx, class AS type, frame_id + det_idx % 5 AS sec FROM det WHERE det_idx % 7 = 0), fd AS (SELECT video, class AS type, frame_id AS sec FROM det WHERE det_idx % 7 <> 0),
+e AS (SELECT tr.video, truth_idx, tr.type, min(abs(fd.sec - tr.sec)) AS error FROM tr LEFT JOIN fd ON fd.video = tr.video AND fd.type = tr.type GROUP BY ALL) SELECT video, truth_idx, type, CASE WHEN error <= 3 THEN error END AS error FROM e""")
+def q_event_errors(spark, sf_dir):
     rows = fx.detections(spark, sf_dir)
-    moved = F.expr("named_struct('x', box.x + cast(det_idx % 9 as double) / 100, 'y', box.y, 'w', box.w, 'h', box.h)")
-    truth = rows.withColumn("box", moved).withColumnRenamed("det_idx", "truth_idx")
-    return D.precision_recall(rows, truth, 0.7)
+    truth = rows.where("det_idx % 7 = 0").selectExpr("video", "det_idx as truth_idx", "class as type", "time_sec + det_idx % 5 as sec")
+    found = rows.where("det_idx % 7 != 0").selectExpr("video", "class as type", "time_sec as sec")
+    return D.event_errors(found, truth, 3.0).withColumn("error", F.col("error").cast("long"))
+
+
+@query(f"""WITH n AS (SELECT p_partkey AS k, p_size AS video, trim(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')) AS t FROM part), c AS (SELECT a.video, a.t AS x, CASE WHEN a.k % 3 = 0 THEN a.t ELSE b.t END AS y FROM n a JOIN n b ON b.k = a.k + 1)
+SELECT video, count(*) AS lines, CAST(count(*) FILTER (x = y) AS BIGINT) AS exact, CAST(round(avg(1 - levenshtein(x, y)::DOUBLE / greatest(length(x), length(y))) * 1e9) AS BIGINT) AS similarity FROM c GROUP BY video""")
+def q_reading_accuracy(spark, sf_dir):
+    rows = _table(spark, sf_dir, "part")
+    both = rows.selectExpr("p_partkey as k", "cast(p_size as bigint) as video", "p_name as text").join(rows.selectExpr("p_partkey - 1 as k", "p_name as next"), "k")
+    out = D.reading_accuracy(both.withColumn("truth", F.expr("if(k % 3 = 0, concat(' ', upper(text), '!'), next)")))
+    return out.select(F.col("video").cast("int").alias("video"), "lines", "exact", F.round(F.col("similarity") * 1e9).cast("long").alias("similarity"))
+
+
+@query(f"""WITH {DET}, e AS (SELECT video, class AS type, frame_id AS start, frame_id + det_idx % 9 AS "end", det_idx FROM det WHERE frame_id <= 700 AND frame_id + det_idx % 9 >= 200)
+SELECT video, type, start, "end", CAST(row_number() OVER (PARTITION BY video ORDER BY start, type, "end") AS INT) AS place FROM e""")
+def q_events_between(spark, sf_dir):
+    rows = fx.detections(spark, sf_dir).selectExpr("video", "class as type", "frame_id as start", "frame_id + det_idx % 9 as `end`")
+    return graph.events_between(rows, 200, 700)
+
+
+@query(f"""WITH {SPANS}, p AS (SELECT o_orderkey % 8 AS video, o_orderkey AS probe, o_custkey % 2000 AS t FROM orders), l AS (SELECT p.video, probe, t, id FROM p JOIN spans s ON s.video = p.video AND s.start <= t AND t <= s."end")
+SELECT l.video, probe, t, id, max(d.frame_id) AS timestamp FROM l JOIN det d ON d.video = l.video AND d.track = l.id AND d.frame_id <= t GROUP BY ALL""")
+def q_objects_at(spark, sf_dir):
+    objects = fx.detections(spark, sf_dir).selectExpr("video", "track as entity_id", "frame_id as timestamp", "box as bbox")
+    probes = _table(spark, sf_dir, "orders").selectExpr("o_orderkey % 8 as video", "o_orderkey as probe", "o_custkey % 2000 as t")
+    return graph.objects_at(objects, fx.spans(spark, sf_dir), probes, 64).select("video", "probe", "t", "id", "timestamp")
+
+
+def _document(spark, sf_dir):
+    """Customers as entities, their orders as relations with some faults, and line items as objects."""
+    ref = "if({0} % 31 = 0, null, named_struct('t_start', {1}, 't_end', {1} + 5 - {0} % 7, 'frame_id', {0}, 'bbox', named_struct('x', cast(cast({0} % 90 as float) / 80 as float), 'y', float(0), 'w', float(0.1), 'h', float(0.5)))) as pixel_ref"
+    entities = _table(spark, sf_dir, "customer").selectExpr("0L as video", "c_custkey as place", "c_custkey as id", "c_mktsegment as type", "c_custkey as first_seen", "c_custkey + 3 - c_custkey % 9 as last_seen", "cast(c_custkey % 4 as int) as layer", ref.format("c_custkey", "c_custkey"))
+    orders = _table(spark, sf_dir, "orders")
+    relations = orders.selectExpr("0L as video", "o_orderkey as place", "o_custkey as subject_id", "'near' as relation", "o_custkey * 2 as object_id", "o_orderkey as start", "o_orderkey + o_custkey % 3 - 1 as `end`", "if(o_orderkey % 10 = 0, 0L, o_orderkey div 3) as id", "2 as layer", ref.format("o_orderkey", "o_custkey"))
+    actions = orders.selectExpr("0L as video", "o_orderkey as place", "o_custkey + 5 as subject_id", "'walking' as action", "o_orderkey as start", "o_orderkey as `end`", "cast(o_custkey % 120 as float) / 100 as confidence", "2 as layer", ref.format("o_orderkey", "o_custkey"))
+    temporals = orders.selectExpr("0L as video", "o_orderkey as place", "array(o_custkey, o_custkey) as active_entity_ids", "array(o_orderkey div 3 + 2) as active_relation_ids", "2 as layer", ref.format("o_orderkey", "o_custkey"))
+    return {"entities": entities, "relations": relations, "actions": actions, "temporals": temporals}
+
+
+def _ref_sql(k: str, t: str) -> str:
+    return f"{k} % 31 = 0 AS bare, {t} AS ta, {t} + 5 - {k} % 7 AS tb, ({k} % 90)::FLOAT / 80::FLOAT AS bx"
+
+
+_DOCUMENT = f"""c AS (SELECT c_custkey AS place, c_custkey AS a, c_custkey + 3 - c_custkey % 9 AS b, c_custkey % 4 AS layer, {_ref_sql('c_custkey', 'c_custkey')} FROM customer),
+o AS (SELECT o_orderkey AS place, o_custkey, o_orderkey AS a, o_orderkey + o_custkey % 3 - 1 AS b, CASE WHEN o_orderkey % 10 = 0 THEN 0 ELSE o_orderkey // 3 END AS id, {_ref_sql('o_orderkey', 'o_custkey')} FROM orders),
+al AS (SELECT 'entities' AS list, place, layer, bare, ta, tb, bx FROM c UNION ALL SELECT unnest(['relations', 'actions', 'temporals']), place, 2, bare, ta, tb, bx FROM o),
+v AS (SELECT list, place, 'no layer' AS rule, NULL::BIGINT AS id FROM al WHERE layer = 0 UNION ALL SELECT list, place, 'no pixel_ref', NULL FROM al WHERE bare UNION ALL SELECT list, place, 'pixel_ref times', NULL FROM al WHERE NOT bare AND ta > tb
+ UNION ALL SELECT list, place, 'pixel_ref box', NULL FROM al WHERE NOT bare AND (bx > 1 OR bx + 0.1::FLOAT > 1.0001::FLOAT) UNION ALL SELECT 'entities', place, 'times', NULL FROM c WHERE a > b UNION ALL SELECT 'relations', place, 'times', NULL FROM o WHERE a > b
+ UNION ALL SELECT 'actions', place, 'confidence', NULL FROM o WHERE (o_custkey % 120)::FLOAT / 100 > 1
+ UNION ALL SELECT list, place, 'unknown entity', id FROM (SELECT DISTINCT list, place, id FROM (SELECT 'actions' AS list, place, o_custkey + 5 AS id FROM o UNION ALL SELECT 'relations', place, o_custkey FROM o UNION ALL SELECT 'relations', place, o_custkey * 2 FROM o UNION ALL SELECT 'temporals', place, o_custkey FROM o)) WHERE id NOT IN (SELECT place FROM c)
+ UNION ALL SELECT 'temporals', place, 'unknown relation', a // 3 + 2 FROM o WHERE a // 3 + 2 NOT IN (SELECT id FROM o WHERE id <> 0)
+ UNION ALL SELECT 'relations', place, 'repeated id', id FROM (SELECT place, id, row_number() OVER (PARTITION BY id ORDER BY place) AS n FROM o WHERE id <> 0) WHERE n > 1)"""
+
+
+@query(f"WITH {_DOCUMENT} SELECT * FROM v")
+def p_document_violations(spark, sf_dir):
+    from framelore.operators import document
+
+    return document.document_violations(_document(spark, sf_dir)).drop("video")
+
+
+@query(f"""WITH o AS (SELECT o_orderkey AS k, o_custkey AS a, o_custkey * 2 AS b, o_orderkey + o_custkey % 3 - 1 AS e FROM orders), c AS (SELECT c_custkey FROM customer)
+SELECT kind, start, rule, id FROM (SELECT unnest(['event', 'action', 'relation']) AS kind, k AS start, 'ends before it starts' AS rule, NULL::BIGINT AS id FROM o WHERE e < k
+ UNION ALL SELECT kind, k, 'unknown entity', id FROM (SELECT DISTINCT * FROM (SELECT 'event' AS kind, k, a AS id FROM o UNION ALL SELECT 'event', k, b FROM o UNION ALL SELECT 'action', k, a + 5 FROM o UNION ALL SELECT 'relation', k, a FROM o UNION ALL SELECT 'relation', k, b FROM o)) WHERE id NOT IN (FROM c)
+ UNION ALL SELECT 'relation', k, 'missing or repeated id', k // 4 FROM (SELECT k, row_number() OVER (PARTITION BY k // 4 ORDER BY k) AS n FROM o) WHERE k // 4 = 0 OR n > 1)""")
+def p_graph_violations(spark, sf_dir):
+    from framelore.operators import document
+
+    o = _table(spark, sf_dir, "orders").selectExpr("0L as video", "o_orderkey as start", "o_orderkey + o_custkey % 3 - 1 as `end`", "o_custkey as a", "o_custkey * 2 as b", "o_orderkey div 4 as id")
+    entities = _table(spark, sf_dir, "customer").selectExpr("0L as video", "c_custkey as id")
+    events, acts, rels = o.selectExpr("video", "start", "`end`", "array(a, b) as entities"), o.selectExpr("video", "start", "`end`", "a + 5 as entity"), o.selectExpr("video", "start", "`end`", "id", "a as subject", "b as object")
+    return document.graph_violations(entities, events, acts, rels).drop("video")
+
+
+@query(f"""WITH {_DOCUMENT}, l AS (SELECT 'entities:' || place AS block_id, bare, ta, tb, place FROM c UNION ALL SELECT 'relations:' || place, bare, ta, tb, place FROM o)
+SELECT block_id, ta AS t_start, tb AS t_end, place AS frame_id FROM l WHERE NOT bare AND place % 5 = 0""")
+def q_evidence(spark, sf_dir):
+    held = {k: v for k, v in _document(spark, sf_dir).items() if k in ("entities", "relations")}
+    refs = graph.block_references(held).where("pixel_ref is not null")
+    wanted = refs.select("video", "block_id").where("cast(split(block_id, ':')[1] as bigint) % 5 = 0")
+    return graph.evidence(refs, wanted).select("block_id", "t_start", "t_end", "frame_id")
+
+
+@query(f"""WITH {OBS}, l AS (SELECT video, track, min(frame_id) AS a, max(frame_id) AS b, arg_max(frame_id, (milli_conf, -obs_idx)) AS f, arg_min(class, obs_idx) AS class FROM obs GROUP BY ALL), k AS (SELECT video, track, a, b, f, class FROM l)
+SELECT 'entities' AS list, video, row_number() OVER (PARTITION BY video ORDER BY track) - 1 AS place, track AS entity, class AS told, a AS start, b AS "end", f AS frame_id, 1 AS layer FROM k
+UNION ALL SELECT 'attributes', video, row_number() OVER (PARTITION BY video ORDER BY track) - 1, track, class || '_' || track, a, b, f, 1 FROM k
+UNION ALL SELECT 'relations', video, row_number() OVER (PARTITION BY video ORDER BY a, track) - 1, track, 'near', a, b, f, 2 FROM k""")
+def r_document(spark, sf_dir):
+    """Tracks as entities, each near the next, as a document's blocks."""
+    from framelore.operators import document
+
+    obs = fx.observations(spark, sf_dir)
+    kind = obs.groupBy("video", "track").agg(F.min_by("class", "obs_idx").alias("class"), F.max_by("frame_id", F.struct("conf", -F.col("obs_idx"))).alias("f"), F.min("frame_id").alias("start"), F.max("frame_id").alias("end"))
+    rows = obs.drop("class").join(kind.select("video", "track", "class"), ["video", "track"]).selectExpr("video", "track as entity", "class", "concat(class, '_', track) as name", "cast(obs_idx as bigint) as obs_idx", "frame_id as ticks", "frame_id", "conf", "box")
+    rels = kind.selectExpr("video", "track as id", "track as subject", "'near' as name", "track as object", "start", "`end`", "0.5D as conf", "f as frame_id", "cast(null as struct<x:double,y:double,w:double,h:double>) as box")
+    out = document.from_graph({"observations": rows, "relations": rels}, 0.3, 100)
+    told = {"entities": ("id", "type", "first_seen", "last_seen"), "attributes": ("entity_id", "value", "start", "end"), "relations": ("id", "relation", "start", "end")}
+    parts = [out[k].select(F.lit(k).alias("list"), "video", "place", *[F.col(c).alias(n) for c, n in zip(cols, ("entity", "told", "start", "end"))], F.col("pixel_ref.frame_id").alias("frame_id"), "layer") for k, cols in told.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(f"""WITH {OBS}, g AS (SELECT *, CASE WHEN x = lag(x) OVER w AND y = lag(y) OVER w AND w = lag(w) OVER w AND h = lag(h) OVER w THEN 0 ELSE 1 END AS fresh FROM (SELECT * REPLACE (x - x % 0.3 AS x, 0.1 AS y, 0.2 AS w, 0.3 AS h) FROM obs) WINDOW w AS (PARTITION BY video, track ORDER BY obs_idx)),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY video, track ORDER BY obs_idx) AS run FROM g) SELECT video, track, CAST(run AS BIGINT) AS run, min(obs_idx) AS first_idx, max(obs_idx) AS last_idx, count(*) AS n, CAST(CASE WHEN min(frame_id) < 128 THEN 1 ELSE 2 END AS INT) AS bytes FROM i GROUP BY video, track, run""")
+def q_box_runs(spark, sf_dir):
+    from framelore.operators import document
+
+    rows = fx.observations(spark, sf_dir).withColumn("box", F.expr("named_struct('x', box.x - box.x % 0.3, 'y', 0.1D, 'w', 0.2D, 'h', 0.3D)"))
+    out = document.box_runs(rows.withColumn("obs_idx", F.col("obs_idx").cast("long")))
+    return out.select("video", "track", "run", "first_idx", "last_idx", "n", document.varint_size(F.col("first_frame")).alias("bytes"))
 
 
 @query(f"WITH {DET} SELECT class, count(*) AS detections, count(DISTINCT track) AS tracks, count(DISTINCT (video, frame_id)) AS frames FROM det GROUP BY class")

@@ -348,6 +348,8 @@ class ContainerSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Make the source known to a session, which has to push filters to it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(ContainerSource)
 
 
