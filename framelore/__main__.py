@@ -1,6 +1,6 @@
 """Containers without Spark.
 
-python -m framelore [look] FILE [--info] [--json OUT] [--frame N] [--no-verify]
+python -m framelore [look] FILE [--info] [--json OUT] [--frame N] [--mp4 OUT] [--no-verify]
 python -m framelore write OUT --pixels FILE --packets FILE [--time-base N/D] [--size WxH] [--fps N/D] [--semantic empty|example|FILE] [--split-layers] [--meta FILE] [--cost-log FILE]
 """
 
@@ -14,7 +14,7 @@ import re
 import sys
 
 from framelore.cost import CostLog
-from framelore.sources import container, semantic
+from framelore.sources import container, mp4, semantic
 
 _UNIT = re.compile(rb"\x00?\x00\x00\x01[\x09\x29\x49\x69\x89\xa9\xc9\xe9]")  # a start code before an access unit delimiter
 
@@ -36,6 +36,16 @@ def look(given) -> None:
                 print(f"section {s.idx}: type {s.type}, layer {s.layer}, {s.length} bytes at {s.offset}, checksum {s.crc32:08x}, ticks {s.start} to {s.end}")
         if given.frame is not None:
             print("pts {}, dts {}, offset {}, size {}, flags {}".format(*held.record(given.frame)))
+        if given.mp4:
+            done = False
+            try:
+                with open(given.mp4, "wb") as out:
+                    n = mp4.write(out, held, not given.no_verify)
+                done = True
+            finally:
+                if not done and os.path.exists(given.mp4):
+                    os.remove(given.mp4)
+            print(f"{n} frames")
         if given.json:
             parts = [semantic.decode(held.content(s, not given.no_verify)) for s in held.sections if s.type == container.SEMANTIC]
             if not parts:
@@ -123,6 +133,7 @@ def main(args: list[str] | None = None) -> int:
     one.add_argument("--info", action="store_true", help="print the header and the sections")
     one.add_argument("--json", metavar="OUT", help="write the semantic documents, as one, as JSON (- for the output)")
     one.add_argument("--frame", type=int, help="print a record of the frame index")
+    one.add_argument("--mp4", metavar="OUT", help="rebuild an MP4 file")
     one.add_argument("--no-verify", action="store_true", help="do not check the sections' checksums")
     two = verbs.add_parser("write", help="make a file of coded pixels, their packets and a document")
     two.add_argument("out")
@@ -142,7 +153,7 @@ def main(args: list[str] | None = None) -> int:
         given = ask.parse_args(args)
     except SystemExit as e:
         return int(e.code or 0)
-    if given.verb == "look" and not given.info and not given.json and given.frame is None:
+    if given.verb == "look" and not (given.info or given.json or given.mp4) and given.frame is None:
         one.print_usage(sys.stderr)
         return 2
     try:
