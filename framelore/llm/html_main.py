@@ -8,8 +8,8 @@ others fill slots. How much text a slot takes on the average leads to the main r
 holds most of it, as long as there is one. The main text is what fills the slots of that region; elements whose tag, role, class or id marks them as
 furniture, and nodes that hold links only, are left out.
 
-Copies of an article are one content, whatever stands around them: a text is counted once for each different longest other text of
-its pages. Pages of hosts with fewer than `pages` pages share slots with all such pages whose trees are alike.
+Copies of an article are one content, whatever stands around them: a page is known by its two longest texts, and a text is counted once for each different
+pair of the two longest other texts of its pages. Pages of hosts with fewer than `pages` pages share slots with all such pages whose trees are alike.
 
 Wrappers are folded within partitions and merged by host in two salted levels, and counts are grouped sums, so a hot host is never gathered. The sizes
 of wrappers and counts are measured: small ones go to every task, larger ones are joined to the pages.
@@ -37,6 +37,8 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("article aside blockquote body dl fieldset figure footer form header html main menu nav ol section table td th ul div".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+HOLDERS = frozenset("html div section main article center table tbody tr td".split())  # blocks that may be the main region
+PROSE = frozenset("#text p pre".split())
 FURNITURE = frozenset("nav aside footer form menu button select input dialog head script style noscript template iframe svg math textarea object embed audio video canvas title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 MARKS = re.compile(r"(?:^|[^a-z])(?:nav(?:bar|igation)?|menus?|breadcrumbs?|header|masthead|topbar|footer|foot|colophon|sidebars?|side|aside|rail|widgets?|ads?|advert(?:s|isement|isements|ising)?|adslot|banners?|promos?|promotion|sponsor(?:ed|s)?|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|newsletter|subscribe|subscription|signup|paywall|login|search|share|sharing|social|related|recommended|recommendations|pagination|pager|comments?|commentlist|replies|reply|respond|responses|discussion|disqus|forms?|copyright|skip|hidden)(?:$|[^a-z])")
@@ -392,7 +394,14 @@ def wrappers(pages: DataFrame, least: int) -> DataFrame:
     return parts.drop("salt").repartition("host").sortWithinPartitions("host").mapInPandas(together(False), "host string, n long, w string").where(F.col("n") >= least).select("host", "w")
 
 
-_KINDS = "key string, node array<int>, parent array<int>, head array<int>, text array<string>, links array<int>, hash array<long>, first long, second long"
+_KINDS = "key string, node array<int>, parent array<int>, head array<int>, text array<string>, links array<int>, hash array<long>, top array<long>"
+
+
+HEADING, HEADER, BODY, HOLDER, TEXT = range(1, 6)
+
+
+def _head(tag: str) -> int:
+    return HEADING if tag in HEADINGS else HEADER if tag == "header" else BODY if tag == "body" else HOLDER if tag in HOLDERS else TEXT if tag in PROSE else 0
 
 
 def blocks(html: str | None, host: str, wrapper: str | list | None) -> tuple:
@@ -409,23 +418,20 @@ def blocks(html: str | None, host: str, wrapper: str | list | None) -> tuple:
     else:
         key = host
     hashes = [0 if t is None else xxh64_intdigest(t) - (1 << 63) for t in page.text]
-    top: list[int] = []
-    for _, h in sorted({(-len(t), h) for t, h in zip(page.text, hashes) if t is not None}):
-        top.append(h)
-        if len(top) == 2:
-            break
-    heads = [1 if x.split(".")[0] in HEADINGS else 2 if x.split(".")[0] == "header" else 3 if x.split(".")[0] == "body" else 0 for x in page.label]
-    return key, numbers(own, wrapper, len(page.label)), page.parent, heads, page.text, page.links, hashes, top[0] if top else 0, top[-1] if top else 0
+    top = list(dict.fromkeys(h for _, h in sorted((-len(t), h) for t, h in zip(page.text, hashes) if t is not None)))[:3]
+    heads = [_head(x.split(".")[0]) for x in page.label]
+    return key, numbers(own, wrapper, len(page.label)), page.parent, heads, page.text, page.links, hashes, top
 
 
 def slots(rows: DataFrame, share: float, pages: int) -> DataFrame:
     """Blocks' rows -> (key, node, mean, linked, fixed): over the different contents that have a node, its mean length of text that is neither
     template nor link, its share of link text, and the texts (hashes) that are template."""
-    each = rows.select("key", "first", "second", F.explode(F.arrays_zip("node", "hash", "links", F.transform("text", lambda t: F.length(t)).alias("chars"))).alias("b")).where("b.chars is not null and b.node >= 0")
-    each = each.select("key", "b.node", "b.hash", "b.links", "b.chars", F.when(F.col("b.hash") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("other"))
+    each = rows.select("key", "top", F.explode(F.arrays_zip("node", "hash", "links", F.transform("text", lambda t: F.length(t)).alias("chars"))).alias("b")).where("b.chars is not null and b.node >= 0")
+    others = F.slice(F.array_remove("top", F.col("b.hash")), 1, 2)
+    each = each.select("key", "b.node", "b.hash", "b.links", "b.chars", F.xxhash64(others).alias("other"), F.xxhash64(F.slice("top", 1, 2)).alias("page"))
+    each = stored(each.groupBy("key", "node", "hash", "other", "page").agg(F.max("chars").alias("chars"), F.max("links").alias("links")), "html-counts")
+    n = each.groupBy("key", "node", "page").agg(F.lit(1).alias("one")).groupBy("key", "node").agg(F.count(F.lit(1)).alias("n"))
     each = each.groupBy("key", "node", "hash", "other").agg(F.max("chars").alias("chars"), F.max("links").alias("links"))
-    each = stored(each, "html-counts")
-    n = each.groupBy("key", "node", "other").agg(F.lit(1).alias("one")).groupBy("key", "node").agg(F.count(F.lit(1)).alias("n"))
     total = each.groupBy("key", "node").agg(F.sum("chars").alias("chars"), F.sum("links").alias("links"))
     often = each.groupBy("key", "node", "hash").agg(F.count(F.lit(1)).alias("c"), F.sum("chars").alias("chars"), F.sum("links").alias("links")).where(F.col("c") >= pages)
     fixed = often.join(n, ["key", "node"]).where(F.col("c") >= share * F.col("n")).groupBy("key", "node").agg(F.collect_list("hash").alias("fixed"), F.sum(F.col("chars") - F.col("links")).alias("off"))
@@ -447,17 +453,19 @@ def main_text(row, known: dict[int, tuple[float, float, frozenset]]) -> str:
     for i in range(size - 1, 0, -1):
         weight[parent[i]] += weight[i]
         kids[parent[i]].append(i)
-    at = 0
-    while True:  # the region: down to the block that holds most of the text, unless a heading stands beside it
-        some = [k for k in kids[at] if text[k] is None and row["head"][k] != 2 and weight[k] >= 0.5 * weight[at] > 0]
-        if not some or any(row["head"][k] == 1 for k in kids[at]):
+    at, head = 0, row["head"]
+    while True:  # the region: down to the block that holds most of the text, unless headings or prose stand beside it
+        some = [k for k in kids[at] if text[k] is None and head[k] in (BODY, HOLDER) and weight[k] >= 0.5 * weight[at] > 0]
+        site = head[at] in (0, BODY) or at == 0 or parent[at] == 0  # a header of the body is the site's, and a short line beside the text may be a notice
+        beside = sum(weight[k] for k in kids[at] if text[k] is not None and head[k] == TEXT)
+        if not some or any(head[k] == HEADING or head[k] == HEADER and not site for k in kids[at]) or beside > (0.05 * weight[at] if site else 0):
             break
         at = max(some, key=lambda k: weight[k])
     inside, out = [False] * size, []
     inside[at] = True
     for i in range(at + 1, size):
         p = parent[i]
-        inside[i] = inside[p] and not (row["head"][i] == 2 and row["head"][p] == 3)  # a header of the body is the site's
+        inside[i] = inside[p] and not (head[i] == HEADER and head[p] == BODY)  # a header of the body is the site's
         if inside[i] and text[i] is not None:
             mean, linked, fixed = known.get(node[i], (0.0, 0.0, ()))
             if row["hash"][i] not in fixed and linked <= 0.8:
@@ -508,6 +516,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 told.append(main_text(row, own))
             yield pd.DataFrame({"id": b["id"], "url": b["url"], "text": told})
 
-    thin = cut.drop("first", "second")
+    thin = cut.drop("top")
     out = (thin if known is not None else thin.join(held, "key", "left")).mapInPandas(fill, f"{kinds}, text string")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text")

@@ -87,8 +87,9 @@ NOTICE = "This long notice says the same on every page. " * 20
     "<div>Home News Sport</div><div>STORY</div><div>All texts belong to us</div>",
     f"<div><div>{NOTICE}</div>STORY</div>",
     "<section>" * 60 + "<div class='a'>Always here</div><div class='b'>STORY</div>" + "</section>" * 60,
+    "<article><h1>T</h1>STORY<p>Write to us and get a letter each week</p></article>",
     f"<article><p>Shared first words</p><div><div>STORY</div><div><p>{NOTICE}</p></div></div></article>",
-], ids=["in an article", "siblings without a class", "long", "deep", "longer than the text"])
+], ids=["in an article", "siblings without a class", "long", "deep", "a paragraph", "longer than the text"])
 def test_what_all_pages_share_is_template(spark, body):
     rows = [(i, f"http://t.example/{i}", page(i, body)) for i in range(20)]
     rows[0] = (0, "http://t.example/0", page(0, body.replace("STORY", "STORY<p>only here</p>").replace("Home News", "Start")))
@@ -99,6 +100,14 @@ def test_what_all_pages_share_is_template(spark, body):
             assert kept == " ".join(story(i)), (i, got[i][:200])
 
 
+@pytest.mark.parametrize("body", ["<header><h1>Head</h1></header><div>STORY</div>", "<p>Head</p><blockquote>STORY</blockquote>", "<p>Head</p><div>STORY</div>", "<h2>Head</h2><section>STORY</section>", "<p>Head</p><ul><li>STORY</li></ul>"])
+def test_the_region_holds_what_stands_beside_the_text(spark, body):
+    """Titles, leads, quotes and lists within the article are of it, however it is divided; what stands beside the article is not."""
+    rows = [(i, f"http://r.example/{i}", page(i, f"<header>Site {i * 7}</header><div>Buy {i * 13} now</div><article>{body.replace('Head', f'Head {i}')}</article><div>See {i * 3} more</div>")) for i in range(8)]
+    got = texts(spark, rows)
+    assert all(got[i] == " ".join([f"Head {i}", *story(i)]) for i in range(8)), got[1][:200]
+
+
 def test_copies_of_an_article_are_no_template(spark):
     """Pages of one host with one article, menus and footers apart, and one that differs from it in a word."""
     draw = random.Random(2)
