@@ -101,9 +101,22 @@ def identity_switches(found: DataFrame, truth: DataFrame, at_least: float = 0.5)
 
 
 def event_errors(found: DataFrame, truth: DataFrame, within: float) -> DataFrame:
-    """found(video, type, sec), truth(video, truth_idx, type, sec) -> (video, truth_idx, type, error): seconds to the nearest found event of the type, null beyond `within`."""
-    pairs = truth.join(found.select("video", "type", F.col("sec").alias("at")), ["video", "type"], "left").withColumn("error", F.abs(F.col("at") - F.col("sec")))
-    return pairs.groupBy("video", "truth_idx", "type").agg(F.min(F.when(F.col("error") <= within, F.col("error"))).alias("error"))
+    """found(video, type, sec), truth(video, truth_idx, type, sec) -> (video, truth_idx, type, error): seconds to the nearest found event of the type, null beyond `within`.
+
+    Times are cut into cells of twice `within`: in its own cell a true event meets the last found before and the first after it, in the next ones the last and the first of all.
+    """
+    width = 2.0 * within if within > 0 else 1.0
+    cell = F.floor(F.greatest(F.least(F.col("sec") / width, F.lit(1e15)), F.lit(-1e15)))
+    known = found.where(F.col("video").isNotNull() & F.col("type").isNotNull() & F.col("sec").isNotNull() & ~F.isnan(F.col("sec").cast("double"))).select("video", "type", "sec").distinct().withColumn("cell", cell)
+    rows = truth.select("video", "type", "sec", "truth_idx", F.lit(None).cast(known.schema["sec"].dataType).alias("at"), F.lit(True).alias("asked")).withColumn("cell", cell)
+    both = rows.unionByName(known.select("video", "type", "sec", "cell", F.lit(None).cast(truth.schema["truth_idx"].dataType).alias("truth_idx"), F.col("sec").alias("at"), F.lit(False).alias("asked")))
+    cells = Window.partitionBy("video", "type", "cell")
+    upto = lambda *order: F.last("at", ignorenulls=True).over(cells.orderBy(*order, "asked").rowsBetween(Window.unboundedPreceding, 0))
+    near = both.withColumn("before", upto("sec")).withColumn("after", upto(F.desc("sec"))).where("asked")
+    ends = known.groupBy("video", "type", "cell").agg(F.min("sec").alias("first"), F.max("sec").alias("last"))
+    near = near.join(ends.select("video", "type", (F.col("cell") + 1).alias("cell"), "last"), ["video", "type", "cell"], "left").join(ends.select("video", "type", (F.col("cell") - 1).alias("cell"), "first"), ["video", "type", "cell"], "left")
+    errors = [F.abs(F.col(c) - F.col("sec")) for c in ("before", "after", "last", "first")]
+    return near.groupBy("video", "truth_idx", "type").agg(F.min(F.least(*[F.when(e <= within, e) for e in errors])).alias("error"))
 
 
 def reading_accuracy(read: DataFrame) -> DataFrame:
