@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,17 +13,60 @@ from framelore.functions import geometry as G
 from framelore.functions.text import normalize
 
 
+PAIRS = 1_000_000  # how many overlaps are held at once
+SIDES = ["x", "y", "right", "bottom", "area"]
+
+
+def _sides(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The ends and the beginnings of texts alike, with a time `at` and the sides and area of the box that stands then; without those of no time."""
+
+    def side(at: str, box: str, ended: bool) -> DataFrame:
+        b = F.col(box)
+        some = texts.where(F.col("video").isNotNull() & F.col("text").isNotNull() & (F.abs(F.col(at).cast("double")) < float("inf")))
+        sides = (b["x"], b["y"], G.right(b), G.bottom(b), G.area(b))
+        return some.select("video", "track", F.col(at).cast("double").alias("at"), normalize(F.col("text")).alias("said"), *[c.cast("double").alias(n) for c, n in zip(sides, SIDES)], F.lit(ended).alias("ended"))
+
+    return side("last_sec", "best_box", True), side("first_sec", "first_box", False)
+
+
+def _overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """G.iou of boxes given by their five SIDES, the first axis; the others are broadcast."""
+    inter = np.maximum(np.minimum(a[2], b[2]) - np.maximum(a[0], b[0]), 0) * np.maximum(np.minimum(a[3], b[3]) - np.maximum(a[1], b[1]), 0)
+    both = a[4] + b[4] - inter
+    return np.divide(inter, both, out=np.zeros_like(inter), where=both > 0)
+
+
 def predecessors(texts: DataFrame, within: float = 3.0, at_least: float = 0.3) -> DataFrame:
     """texts(video, track, text, first_sec, last_sec, first_box, best_box) -> (video, track, before, overlap): every other text that ended up to `within` seconds before
-    this one began, said something else and stood in its place. Times are cut into buckets of `within`, so the join has equality keys: the end
-    of a text is dealt to its bucket and the next one, and each pair meets once.
+    this one began, said something else and stood in its place. Times are cut into cells of twice `within`: a text is dealt to that of its beginning and to the
+    one or two in which those after it begin, so each pair meets once. In a cell both are in order of time, and only those in reach are compared.
     """
-    cell = lambda c: F.floor(F.col(c) / within).cast("long")
-    said = texts.withColumn("said", normalize(F.col("text")))
-    ended = said.select("video", F.explode(F.array(cell("last_sec"), cell("last_sec") + 1)).alias("cell"), F.col("track").alias("before"), "last_sec", F.col("said").alias("was"), "best_box")
-    began = said.select("video", cell("first_sec").alias("cell"), "track", "first_sec", "said", "first_box")
-    pairs = began.join(ended, ["video", "cell"]).where((F.col("track") != F.col("before")) & (F.col("last_sec") <= F.col("first_sec")) & (F.col("first_sec") - F.col("last_sec") <= within) & (F.col("said") != F.col("was")))
-    return pairs.select("video", "track", "before", G.iou(F.col("best_box"), F.col("first_box")).alias("overlap")).where(F.col("overlap") >= at_least)
+    width = 2.0 * within if within > 0 else 1.0
+    cell = lambda far: F.floor((F.col("at") + far) / width)
+    ended, began = _sides(texts)
+    both = ended.withColumn("cell", F.explode(F.sequence(cell(0.0), cell(0.75 * width)))).unionByName(began.withColumn("cell", cell(0.0)))
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g = pd.concat(list(batches)).sort_values("at")
+        old = g["ended"].to_numpy(bool)
+        at, said, track, box = g["at"].to_numpy(), pd.factorize(g["said"])[0], g["track"].to_numpy(), g[SIDES].to_numpy(float).T
+        at0, said0, track0, box0, at1, said1, track1, box1 = *(v[..., old] for v in (at, said, track, box)), *(v[..., ~old] for v in (at, said, track, box))
+        low, high = np.searchsorted(at0, at1 - 1.5 * within, "left"), np.searchsorted(at0, at1, "right")
+        start = 0
+        while start < len(low):
+            stop = max(start + 1, start + int(np.searchsorted((high[start:] - low[start]) * np.arange(1, len(low) - start + 1), PAIRS, "right")))
+            for some in range(low[start], max(high[stop - 1], low[start] + 1), PAIRS):
+                i, j = slice(start, stop), slice(some, min(some + PAIRS, high[stop - 1]))
+                since = at1[i, None] - at0[None, j]
+                overlap = _overlap(box0[:, None, j], box1[:, i, None])
+                m, n = np.nonzero((overlap >= at_least) & (since >= 0) & (since <= within) & (said1[i, None] != said0[None, j]) & (track1[i, None] != track0[None, j]))
+                if len(m):
+                    yield pd.DataFrame({"video": g["video"].iloc[0], "track": track1[i][m], "before": track0[j][n], "overlap": overlap[m, n]})
+            start = stop
+
+    kinds = dict(texts.dtypes)
+    spread = both.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "video", "cell")  # few rows, but many pairs: not to be coalesced
+    return spread.groupBy("video", "cell").applyInPandas(fold, f"video {kinds['video']}, track {kinds['track']}, before {kinds['track']}, overlap double")
 
 
 def text_events(texts: DataFrame, within: float = 3.0, at_least: float = 0.3) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import random
 import threading
 from contextlib import contextmanager
 
 import numpy as np
 
 from framelore.operators import detections as D
+from framelore.operators import text_events
 
 
 @contextmanager
@@ -43,3 +45,52 @@ def test_event_errors_at_the_edges(spark):
     assert got == {1: 6.0 - 5.9, 2: 12.1 - 12.0, 3: 9.0 - 5.9 if 9.0 - 5.9 <= 3 else None, 4: 3.0, 5: None, 6: 1.0, 7: None, 8: 3.0}
     exact = spark.createDataFrame([("b", 3.0, 1, 1), ("b", 3.5, 1, 2)], kinds + ", truth_idx long")
     assert {r["truth_idx"]: r["error"] for r in D.event_errors(found, exact, 0.0).collect()} == {1: 0.0, 2: None}
+
+
+TEXT = "video long, track long, text string, first_sec double, last_sec double, first_box struct<x double, y double, w double, h double>, best_box struct<x double, y double, w double, h double>"
+
+
+def texts(n, seed):
+    """Texts numbered by their beginning, on a coarse grid, so that times, words and boxes are often equal; some of no words, time or box."""
+    rng, out = random.Random(seed), []
+    for video in (1, 2):
+        starts = sorted(rng.randrange(12 * n) / 40 for _ in range(n))
+        for track, sec in enumerate(starts, 1):
+            box = lambda: (rng.randrange(3) / 10, rng.randrange(2) / 10, rng.randrange(4) / 10, 0.2)
+            text, last, first_box = rng.choice(["Intro", "intro!", "Agenda", "Ende", None, ""]), sec + rng.randrange(5) * 0.3, box()
+            out.append((video, track, text, sec, None if track % 17 == 0 else float("nan") if track % 19 == 0 else last, first_box, None if track % 23 == 0 else box()))
+    return out
+
+
+def overlap(a, b):
+    inter = max(0.0, min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])) * max(0.0, min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1]))
+    both = a[2] * a[3] + b[2] * b[3] - inter
+    return inter / both if both > 0 else 0.0
+
+
+def before(rows, within):
+    said = lambda t: t.lower().replace("!", "")
+    timed = [r for r in rows if r[4] is not None and r[4] == r[4] and r[6] is not None and r[2] is not None]
+    found = {}
+    for b in rows:
+        for a in timed:
+            if b[2] is not None and a[0] == b[0] and a[1] != b[1] and a[4] <= b[3] and b[3] - a[4] <= within and said(a[2]) != said(b[2]) and (o := overlap(a[6], b[5])) >= 0.3:
+                found.setdefault((b[0], b[1]), []).append((o, a[1]))
+    return found
+
+
+def test_text_predecessors_equal_a_loop(spark):
+    for within in (3.0, 0.3):
+        rows = texts(150, 1)
+        want = {(*k, a, o) for k, some in before(rows, within).items() for o, a in some}
+        assert want and {tuple(r) for r in text_events.predecessors(spark.createDataFrame(rows, TEXT), within).select("video", "track", "before", "overlap").collect()} == want
+
+
+def test_text_predecessors_of_one_crowded_moment(spark):
+    n = 15_000
+    box = "named_struct('x', cast(id % 122 as double) / 122, 'y', cast(id div 122 as double) / 123, 'w', 0.005D, 'h', 0.005D)"
+    crowd = spark.range(n).selectExpr("1L as video", "id + 1 as track", "concat('line ', id) as text", "cast(id as double) / 1e5 as first_sec", "cast(id as double) / 1e5 as last_sec", f"{box} as first_box", f"{box} as best_box")
+    moved = crowd.selectExpr("video", f"track + {n} as track", "concat(text, ' b') as text", "first_sec + 1 as first_sec", "last_sec + 9 as last_sec", "first_box", "best_box")
+    with at_most(spark, 90):
+        found = text_events.predecessors(crowd.unionByName(moved)).selectExpr("track - before as far", "round(overlap, 9) as overlap").groupBy("far", "overlap").count().collect()
+    assert [tuple(r) for r in found] == [(n, 1.0, n)]
