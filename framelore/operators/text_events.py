@@ -69,23 +69,65 @@ def predecessors(texts: DataFrame, within: float = 3.0, at_least: float = 0.3) -
     return spread.groupBy("video", "cell").applyInPandas(fold, f"video {kinds['video']}, track {kinds['track']}, before {kinds['track']}, overlap double")
 
 
+class _Ended:
+    """The texts of one video that ended up to `within` before now, in order of their ends."""
+
+    def __init__(self, within: float, at_least: float):
+        self.within, self.at_least = within, at_least
+        self.start = self.size = 0
+        self.at, self.track, self.free, self.box, self.said = np.zeros(1024), np.zeros(1024, np.int64), np.zeros(1024, bool), np.zeros((5, 1024)), [""] * 1024
+
+    def add(self, at: float, track: int, said: str, box: tuple) -> None:
+        if self.size == len(self.at):
+            left = np.flatnonzero(self.free[self.start :]) + self.start
+            room = max(1024, 2 * len(left))
+            grown = lambda a: np.concatenate([a[..., left], np.zeros((*a.shape[:-1], room - len(left)), a.dtype)], axis=-1)
+            self.at, self.track, self.free, self.box = grown(self.at), grown(self.track), grown(self.free), grown(self.box)
+            self.said = [self.said[i] for i in left] + [""] * (room - len(left))
+            self.start, self.size = 0, len(left)
+        n = self.size
+        self.at[n], self.track[n], self.free[n], self.box[:, n], self.said[n] = at, track, True, box, said
+        self.size += 1
+
+    def claim(self, at: float, track: int, said: str, box: tuple) -> int | None:
+        """The free text of other words that overlaps most, of equals the later one; it is free no more."""
+        while self.start < self.size and at - self.at[self.start] > self.within:
+            self.start += 1
+        near = slice(self.start, self.size)
+        overlap = _overlap(self.box[:, near], box)
+        some = np.flatnonzero((overlap >= self.at_least) & self.free[near])
+        for i in some[np.lexsort((self.track[near][some], overlap[some]))[::-1]] + self.start:
+            if self.said[i] != said and self.track[i] != track:
+                self.free[i] = False
+                return int(self.track[i])
+        return None
+
+
 def text_events(texts: DataFrame, within: float = 3.0, at_least: float = 0.3) -> DataFrame:
     """predecessors()'s texts, numbered by their beginning -> (video, track, type, sec, before): text_changed where a predecessor is claimed, else text_appeared.
 
-    Each takes the free predecessor that overlaps most, of equals the later one, and texts choose in their order; so the candidate
-    pairs of a video, few as they are, are folded together.
+    Each takes the free predecessor that overlaps most, of equals the later one, and texts choose in their order. So a video's beginnings and ends are read in order of
+    time, in one task, which holds the texts that ended up to `within` ago and not the pairs.
     """
 
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        claimed: dict[int, int] = {}
-        taken: set[int] = set()
-        for track, _, before in g.sort_values(["track", "overlap", "before"], ascending=[True, False, False])[["track", "overlap", "before"]].itertuples(index=False, name=None):
-            if track not in claimed and before not in taken:
-                claimed[track] = before
-                taken.add(before)
-        return pd.DataFrame([(g["video"].iloc[0], t, b) for t, b in claimed.items()], columns=["video", "track", "before"])
-
-    chosen = predecessors(texts, within, at_least).groupBy("video").applyInPandas(fold, "video bigint, track bigint, before bigint")
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        video = pool = None
+        for g in batches:
+            out = []
+            boxes = zip(*[g[c].to_numpy(float).tolist() for c in SIDES])
+            for v, at, ended, track, said, box in zip(g["video"].tolist(), g["at"].tolist(), g["ended"].tolist(), g["track"].tolist(), g["said"].tolist(), boxes):
+                if pool is None or v != video:
+                    video, pool = v, _Ended(within, at_least)
+                if ended:
+                    pool.add(at, track, said, box)
+                elif (before := pool.claim(at, track, said, box)) is not None:
+                    out.append((v, track, before))
+            yield pd.DataFrame(out, columns=["video", "track", "before"])
+
+    ended, began = _sides(texts)
+    both = ended.unionByName(began).repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "video").sortWithinPartitions("video", "at", F.desc("ended"), "track")
+    kind = dict(texts.dtypes)["video"]
+    chosen = both.mapInPandas(fold, f"video {kind}, track bigint, before bigint")
     rows = texts.select("video", "track", F.col("first_sec").alias("sec")).join(chosen, ["video", "track"], "left")
     return rows.select("video", "track", F.when(F.col("before").isNull(), "text_appeared").otherwise("text_changed").alias("type"), "sec", "before")
 

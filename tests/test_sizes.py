@@ -94,3 +94,26 @@ def test_text_predecessors_of_one_crowded_moment(spark):
     with at_most(spark, 90):
         found = text_events.predecessors(crowd.unionByName(moved)).selectExpr("track - before as far", "round(overlap, 9) as overlap").groupBy("far", "overlap").count().collect()
     assert [tuple(r) for r in found] == [(n, 1.0, n)]
+
+
+def test_text_events_equal_a_loop(spark):
+    for seed in (2, 3):
+        rows, want = texts(150, seed), {}
+        found, taken = before(rows, 3.0), set()
+        for r in rows:
+            some = [(o, a) for o, a in found.get(r[:2], []) if (r[0], a) not in taken]
+            want[r[:2]] = max(some)[1] if some else None
+            taken.add((r[0], want[r[:2]]))
+        got = text_events.text_events(spark.createDataFrame(rows, TEXT)).collect()
+        assert {(r["video"], r["track"]): r["before"] for r in got} == want
+        assert all((r["type"] == "text_appeared") == (r["before"] is None) for r in got) and len(got) == len(rows)
+
+
+def test_text_events_of_one_crowded_moment(spark):
+    """Each of many texts in one place claims the last one that is free."""
+    n = 8000
+    box = "named_struct('x', 0.1D, 'y', 0.1D, 'w', 0.5D, 'h', 0.1D)"
+    crowd = spark.range(2 * n).selectExpr("1L as video", "id + 1 as track", "concat('line ', id) as text", f"if(id < {n}, 0D, 1D) as first_sec", f"if(id < {n}, 1D, 9D) as last_sec", f"{box} as first_box", f"{box} as best_box")
+    with at_most(spark, 60):
+        found = {r["track"]: r["before"] for r in text_events.text_events(crowd).collect()}
+    assert found == {k: None if k <= n else 2 * n + 1 - k for k in range(1, 2 * n + 1)}
