@@ -9,7 +9,7 @@ from contextlib import contextmanager
 import numpy as np
 
 from framelore.operators import detections as D
-from framelore.operators import text_events
+from framelore.operators import graph, text_events
 
 
 @contextmanager
@@ -117,3 +117,12 @@ def test_text_events_of_one_crowded_moment(spark):
     with at_most(spark, 60):
         found = {r["track"]: r["before"] for r in text_events.text_events(crowd).collect()}
     assert found == {k: None if k <= n else 2 * n + 1 - k for k in range(1, 2 * n + 1)}
+
+
+def test_objects_at_of_many_probes_of_few_times(spark):
+    entities = spark.range(300).selectExpr("1L as video", "id", "0L as start", "99L as end")
+    objects = spark.range(300 * 50).selectExpr("1L as video", "id div 50 as entity_id", "id % 50 * 2 as timestamp", "named_struct('x', id div 50 + id % 50 / 100) as bbox")
+    probes = spark.range(400_000).selectExpr("1L as video", "id as probe", "id % 100 as t")
+    with at_most(spark, 60):
+        found = graph.objects_at(objects, entities, probes, 8).selectExpr("probe % 100 = t and timestamp = t - t % 2 and bbox.x = id + timestamp / 200 as good").groupBy("good").count().collect()
+    assert [tuple(r) for r in found] == [(True, 300 * 400_000)]
