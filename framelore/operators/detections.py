@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,19 +69,85 @@ def luma(r: Column, g: Column, b: Column) -> Column:
     return F.floor((r * 299 + g * 587 + b * 114) / 1000).cast("int")
 
 
+PAIRS = 1_000_000  # how many overlaps are held at once
+
+
 def matched(found: DataFrame, truth: DataFrame, at_least: float = 0.5) -> DataFrame:
     """found(video, frame_id, class, det_idx, box), truth(..., truth_idx, box) -> (video, frame_id, class, det_idx, truth_idx, overlap), one to one.
 
-    In a frame and class the pair that overlaps most is taken first, of equals the one with the smaller numbers; a fold over the pairs of one frame.
+    In a frame and class the pair that overlaps most is taken first, of equals the one with the smaller numbers; a fold over the boxes of one frame.
     """
-    pairs = found.join(truth.select("video", "frame_id", "class", "truth_idx", F.col("box").alias("true_box")), ["video", "frame_id", "class"])
-    pairs = pairs.withColumn("overlap", G.iou(F.col("box"), F.col("true_box"))).where(F.col("overlap") >= at_least)
-    one = F.struct((-F.col("overlap")).alias("far"), F.col("det_idx").cast("long").alias("d"), F.col("truth_idx").cast("long").alias("t"))
-    frames = pairs.groupBy("video", "frame_id", "class").agg(F.array_sort(F.collect_list(one)).alias("p"))
-    none = F.expr("cast(array() as array<struct<far:double,d:bigint,t:bigint>>)")
-    taken = F.aggregate("p", none, lambda s, x: F.when(F.exists(s, lambda y: (y["d"] == x["d"]) | (y["t"] == x["t"])), s).otherwise(F.concat(s, F.array(x))))
-    rows = frames.select("video", "frame_id", "class", F.explode(taken).alias("x"))
-    return rows.select("video", "frame_id", "class", F.col("x.d").alias("det_idx"), F.col("x.t").alias("truth_idx"), (-F.col("x.far")).alias("overlap"))
+    return _matched(found, truth, at_least, None, None)
+
+
+def _matched(found: DataFrame, truth: DataFrame, at_least: float, of_found: str | None, of_truth: str | None) -> DataFrame:
+    """matched() with a column of each side, which goes through Python as text, since whole numbers beside nulls would not stay whole there."""
+
+    def side(rows: DataFrame, number: str, true: bool, own: str | None) -> DataFrame:
+        known = rows.where(F.col("video").isNotNull() & F.col("frame_id").isNotNull() & F.col("class").isNotNull())
+        more = [F.col(own).cast("string").alias("own")] if own else []
+        return known.select("video", "frame_id", "class", F.lit(true).alias("true"), F.col(number).cast("long").alias("n"), *[F.col("box")[k].cast("double").alias(k) for k in "xywh"], *more)
+
+    def pick(box: np.ndarray, n: np.ndarray, at: np.ndarray, other: np.ndarray) -> list[tuple]:
+        """(row found, true row, overlap) of one frame and class."""
+        step, near = max(1, PAIRS // max(1, len(other))), []
+        for start in range(0, len(at), step):
+            some = at[start : start + step]
+            overlap = G.overlap(box[:, some][:, :, None], box[:, other][:, None])
+            i, j = np.nonzero(overlap >= at_least)
+            near.append((overlap[i, j], some[i], other[j]))
+        far, i, j = near[0] if len(near) == 1 else (np.concatenate(c) for c in zip(*near))
+        order = np.argsort(-far, kind="stable")  # equals stay in order of their numbers
+        i, j, had, taken, held = i[order], j[order], set(), set(), []
+        for k, (d, t) in enumerate(zip(n[i].tolist(), n[j].tolist())):
+            if d not in had and t not in taken:
+                had.add(d)
+                taken.add(t)
+                held.append(k)
+        return list(zip(i[held].tolist(), j[held].tolist(), far[order][held].tolist()))
+
+    keys = ["video", "frame_id", "class"]
+
+    def edges(g: pd.DataFrame) -> list[int]:
+        fresh = np.zeros(max(0, len(g) - 1), bool)
+        for c in keys:
+            v = g[c].to_numpy()
+            fresh |= v[1:] != v[:-1]
+        return (np.flatnonzero(fresh) + 1).tolist()
+
+    def match(g: pd.DataFrame) -> pd.DataFrame:
+        """Of whole frames, in each the boxes found before the true ones."""
+        true, n, box = g["true"].to_numpy(bool), g["n"].to_numpy(), G.sides(g[["x", "y", "w", "h"]].to_numpy(float).T)
+        first, cuts, out = np.cumsum(true), [0, *edges(g), len(g)], []
+        for a, b in zip(cuts, cuts[1:]):
+            turn = b - int(first[b - 1] - (first[a - 1] if a else 0))
+            if a < turn < b:
+                out += pick(box, n, np.arange(a, turn), np.arange(turn, b))
+        i, j, far = ([x[k] for x in out] for k in range(3))
+        rows = g.iloc[i]
+        owned = {c: g["own"].to_numpy()[k] for c, k in ((of_found, i), (of_truth, j)) if c}
+        return pd.DataFrame({c: rows[c].to_numpy() for c in keys} | {"det_idx": n[i], "truth_idx": n[j], "overlap": np.array(far, float)} | owned)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: list[pd.DataFrame] = []  # of a frame that may go on in the next batch
+        for g in batches:
+            if g.empty:
+                continue
+            cut = max(edges(g), default=0)
+            if cut or (rest and edges(pd.concat([rest[-1][-1:], g[:1]]))):
+                yield match(pd.concat([*rest, g[:cut]]))
+                rest = []
+            rest.append(g[cut:])
+        if rest:
+            yield match(pd.concat(rest))
+
+    kinds = dict(found.dtypes)
+    carried = {c: dict(t.dtypes)[c] for t, c in ((found, of_found), (truth, of_truth)) if c}
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keys], "det_idx bigint, truth_idx bigint, overlap double", *[f"`{c}` string" for c in carried]])
+    both = side(found, "det_idx", False, of_found).unionByName(side(truth, "truth_idx", True, of_truth))
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few rows, but many pairs: not to be coalesced
+    rows = both.repartition(parts, *keys).sortWithinPartitions(*keys, "true", "n").mapInPandas(fold, schema)
+    return rows.withColumns({c: F.col(c).cast(kind) for c, kind in carried.items()}) if carried else rows
 
 
 def precision_recall(found: DataFrame, truth: DataFrame, at_least: float = 0.5) -> DataFrame:

@@ -29,13 +29,6 @@ def _sides(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return side("last_sec", "best_box", True), side("first_sec", "first_box", False)
 
 
-def _overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """G.iou of boxes given by their five SIDES, the first axis; the others are broadcast."""
-    inter = np.maximum(np.minimum(a[2], b[2]) - np.maximum(a[0], b[0]), 0) * np.maximum(np.minimum(a[3], b[3]) - np.maximum(a[1], b[1]), 0)
-    both = a[4] + b[4] - inter
-    return np.divide(inter, both, out=np.zeros_like(inter), where=both > 0)
-
-
 def predecessors(texts: DataFrame, within: float = 3.0, at_least: float = 0.3) -> DataFrame:
     """texts(video, track, text, first_sec, last_sec, first_box, best_box) -> (video, track, before, overlap): every other text that ended up to `within` seconds before
     this one began, said something else and stood in its place. Times are cut into cells of twice `within`: a text is dealt to that of its beginning and to the
@@ -58,7 +51,7 @@ def predecessors(texts: DataFrame, within: float = 3.0, at_least: float = 0.3) -
             for some in range(low[start], max(high[stop - 1], low[start] + 1), PAIRS):
                 i, j = slice(start, stop), slice(some, min(some + PAIRS, high[stop - 1]))
                 since = at1[i, None] - at0[None, j]
-                overlap = _overlap(box0[:, None, j], box1[:, i, None])
+                overlap = G.overlap(box0[:, None, j], box1[:, i, None])
                 m, n = np.nonzero((overlap >= at_least) & (since >= 0) & (since <= within) & (said1[i, None] != said0[None, j]) & (track1[i, None] != track0[None, j]))
                 if len(m):
                     yield pd.DataFrame({"video": g["video"].iloc[0], "track": track1[i][m], "before": track0[j][n], "overlap": overlap[m, n]})
@@ -94,7 +87,7 @@ class _Ended:
         while self.start < self.size and at - self.at[self.start] > self.within:
             self.start += 1
         near = slice(self.start, self.size)
-        overlap = _overlap(self.box[:, near], box)
+        overlap = G.overlap(self.box[:, near], box)
         some = np.flatnonzero((overlap >= self.at_least) & self.free[near])
         for i in some[np.lexsort((self.track[near][some], overlap[some]))[::-1]] + self.start:
             if self.said[i] != said and self.track[i] != track:

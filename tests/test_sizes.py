@@ -126,3 +126,52 @@ def test_objects_at_of_many_probes_of_few_times(spark):
     with at_most(spark, 60):
         found = graph.objects_at(objects, entities, probes, 8).selectExpr("probe % 100 = t and timestamp = t - t % 2 and bbox.x = id + timestamp / 200 as good").groupBy("good").count().collect()
     assert [tuple(r) for r in found] == [(True, 300 * 400_000)]
+
+
+BOXED = "video long, frame_id long, class string, {0} long, {1} long, box struct<x double, y double, w double, h double>"
+
+
+def test_matches_equal_a_loop(spark):
+    """Frames of few and many boxes on a coarse grid, so that overlaps are often equal; over many batches, one frame longer than a batch."""
+    rng = random.Random(4)
+
+    def boxes(base):
+        some = []
+        for k in range(400):
+            frame = 1 if k < 150 else rng.randrange(2, 60)
+            some.append((k % 2, frame, rng.choice("ab"), base + k, 2**60 + k, None if k % 29 == 0 else (rng.randrange(6) / 10, rng.randrange(2) / 10, rng.randrange(4) / 10, 0.2)))
+        rng.shuffle(some)
+        return some
+
+    found, truth, want = boxes(0), boxes(1000), {}
+    pairs = sorted((-o, d[3], t[3], d[:3]) for d in found for t in truth if d[:3] == t[:3] and d[5] and t[5] and (o := overlap(d[5], t[5])) >= 0.2)
+    had, taken = set(), set()
+    for far, d, t, key in pairs:
+        if d not in had and t not in taken:
+            had.add(d)
+            taken.add(t)
+            want[*key, d, t] = -far
+    a, b = spark.createDataFrame(found, BOXED.format("det_idx", "track")), spark.createDataFrame(truth, BOXED.format("truth_idx", "truth_track"))
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    try:
+        for size in (before, "7"):
+            spark.conf.set(batch, size)
+            got = D.matched(a, b, 0.2).collect()
+            assert {(r["video"], r["frame_id"], r["class"], r["det_idx"], r["truth_idx"]): r["overlap"] for r in got} == want and len(got) == len(want)
+            switches = D.identity_switches(a, b, 0.2).collect()
+            assert {(r["truth_track"], r["switches"]) for r in switches} == {(2**60 + k[4] - 1000, 0) for k in want}
+    finally:
+        spark.conf.set(batch, before)
+
+
+def test_matches_of_a_crowded_frame(spark):
+    n = 1500
+    box = "named_struct('x', 0.1D + id / 1e5, 'y', 0.1D, 'w', 0.5D, 'h', 0.5D) as box"
+    found = spark.range(n).selectExpr("1L as video", "1L as frame_id", "'a' as class", "id as det_idx", "id as track", box)
+    truth = found.withColumnsRenamed({"det_idx": "truth_idx", "track": "truth_track"})
+    with at_most(spark, 40):
+        got = D.precision_recall(found, truth).collect()
+        switches = D.identity_switches(found, truth).collect()
+    assert [(r["class"], r["right"], r["precision"], r["recall"]) for r in got] == [("a", n, 1.0, 1.0)]
+    assert sorted((r["truth_track"], r["frames"], r["switches"]) for r in switches) == [(k, 1, 0) for k in range(n)]
