@@ -163,8 +163,7 @@ def precision_recall(found: DataFrame, truth: DataFrame, at_least: float = 0.5)
 
 def identity_switches(found: DataFrame, truth: DataFrame, at_least: float = 0.5) -> DataFrame:
     """found with track, truth with truth_track -> (video, truth_track, frames, switches): how often a true thing's matched track changes."""
-    rows = matched(found, truth, at_least).select("video", "frame_id", "class", "det_idx", "truth_idx")
-    rows = rows.join(found.select("video", "frame_id", "class", "det_idx", "track"), ["video", "frame_id", "class", "det_idx"]).join(truth.select("video", "frame_id", "class", "truth_idx", "truth_track"), ["video", "frame_id", "class", "truth_idx"])
+    rows = _matched(found, truth, at_least, "track", "truth_track")
     before = F.lag("track").over(Window.partitionBy("video", "truth_track").orderBy("frame_id", "truth_idx"))
     rows = rows.withColumn("switch", F.coalesce((F.col("track") != before).cast("long"), F.lit(0).cast("long")))
     return rows.groupBy("video", "truth_track").agg(F.count(F.lit(1)).alias("frames"), F.sum("switch").alias("switches"))
