@@ -9,7 +9,7 @@ from contextlib import contextmanager
 import numpy as np
 
 from framelore.operators import detections as D
-from framelore.operators import graph, text_events
+from framelore.operators import graph, relations, text_events
 
 
 @contextmanager
@@ -175,3 +175,28 @@ def test_matches_of_a_crowded_frame(spark):
         switches = D.identity_switches(found, truth).collect()
     assert [(r["class"], r["right"], r["precision"], r["recall"]) for r in got] == [("a", n, 1.0, 1.0)]
     assert sorted((r["truth_track"], r["frames"], r["switches"]) for r in switches) == [(k, 1, 0) for k in range(n)]
+
+
+def test_near_relations_equal_the_stored_pairs(spark):
+    rng = random.Random(5)
+    rows = []
+    for video in (1, 2):
+        for frame in sorted(rng.sample(range(200), 60)):
+            for track in rng.sample(range(12), 6):
+                box = None if rng.random() < 0.03 else (rng.randrange(8) / 10, rng.randrange(8) / 10, 0.2, 0.4)
+                rows.append((video, frame, float(frame), 2**60 + track, rng.choice(["person", "dog", "cup", "tv", None]), box))
+    seen = spark.createDataFrame(rows, "video long, frame_id long, time_sec double, track long, class string, box struct<x double, y double, w double, h double>")
+    kinds = ["person", "dog"]
+    want = relations.islands(relations.near(relations.pairs(seen, kinds)), seen, gap=5.0)
+    got = relations.near_relations(seen, kinds, gap=5.0)
+    assert want.count() > 20
+    assert sorted(tuple(r) for r in got.select(*want.columns).collect()) == sorted(tuple(r) for r in want.collect())
+
+
+def test_near_relations_of_crowded_frames(spark):
+    """2,000 things in each of 20 frames: 40 million pairs, of which only neighbours are near; they are not shuffled."""
+    n = 2000
+    seen = spark.range(20 * n).selectExpr("1L as video", f"id div {n} as frame_id", f"cast(id div {n} as double) as time_sec", f"id % {n} as track", "'person' as class", f"named_struct('x', 0.9D * (id % {n}), 'y', 0D, 'w', 0.8D, 'h', 0.6D) as box")
+    with at_most(spark, 60):
+        got = relations.near_relations(seen, ["person"]).collect()
+    assert sorted((r["subject"], r["object"], r["hits"], r["relation_id"]) for r in got) == [(k, k + 1, 20, k + 1) for k in range(n - 1)]
