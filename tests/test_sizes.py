@@ -200,3 +200,12 @@ def test_near_relations_of_crowded_frames(spark):
     with at_most(spark, 60):
         got = relations.near_relations(seen, ["person"]).collect()
     assert sorted((r["subject"], r["object"], r["hits"], r["relation_id"]) for r in got) == [(k, k + 1, 20, k + 1) for k in range(n - 1)]
+
+
+def test_active_at_of_many_probes_of_few_times(spark):
+    """Most spans share a bucket with a probe and do not hold it."""
+    spans = spark.range(4000).selectExpr("1L as video", "id", "id as start", "id as end")
+    probes = spark.range(200_000).selectExpr("1L as video", "id as probe", "id % 4000 as t")
+    with at_most(spark, 20):
+        found = graph.active_at(spans, probes, 4000).selectExpr("id = t and probe % 4000 = t as good").groupBy("good").count().collect()
+    assert [tuple(r) for r in found] == [(True, 200_000)]
