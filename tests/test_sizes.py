@@ -128,6 +128,41 @@ def test_objects_at_of_many_probes_of_few_times(spark):
     assert [tuple(r) for r in found] == [(True, 300 * 400_000)]
 
 
+def test_objects_at_equals_a_loop(spark):
+    """Several lives of an entity, objects before, after and between them, none at all, some without a time; times asked often, once or not at all; whole and broken times."""
+    rng = random.Random(7)
+    for scale, kind in ((1, "long"), (0.25, "double")):
+        at = lambda n, scale=scale: None if rng.random() < 0.03 else rng.randrange(n) * scale
+        objects = [(rng.randrange(3), rng.randrange(8), at(90)) for _ in range(150)]
+        objects = [(*o, (float(o[1]), o[2])) for o in dict.fromkeys(objects)]
+        lives = [(rng.randrange(3), rng.randrange(12), at(90), at(120)) for _ in range(40)]
+        probes = [(rng.randrange(3), k if k % 50 else None, at(130)) for k in range(1200)] + [(0, k, 40 * scale) for k in range(5000, 6300)]
+        want = []
+        for v, i, start, end in lives:
+            for pv, probe, t in probes:
+                if v == pv and None not in (start, end, t) and start <= t <= end:
+                    had = [o[2] for o in objects if o[:2] == (v, i) and o[2] is not None and o[2] <= t]
+                    want.append((v, probe, t, i, max(had, default=None), (float(i), max(had)) if had else None))
+        frames = (spark.createDataFrame(rows, schema.format(kind)) for rows, schema in ((objects, "video long, entity_id long, timestamp {0}, bbox struct<x double, at {0}>"), (lives, "video long, id long, start {0}, end {0}"), (probes, "video long, probe long, t {0}")))
+        objects_, lives_, probes_ = frames
+        for bucket in (1, 64):
+            got = [(r["video"], r["probe"], r["t"], r["id"], r["timestamp"], r["bbox"] and tuple(r["bbox"])) for r in graph.objects_at(objects_, lives_, probes_, bucket).collect()]
+            assert len(want) > 1000 and sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_objects_at_keeps_pairs_off_the_disk(spark, tmp_path):
+    """Each of 3,000 entities lives at each of 400 asked times: 1.2 million of these and 24 million rows, of 6,000 objects and 8,000 probes."""
+    entities = spark.range(3000).selectExpr("1L as video", "id * 7919 % 3000 as id", "0L as start", "399L as end")
+    objects = spark.range(6000).selectExpr("1L as video", "id div 2 as entity_id", "id % 2 * (id * 31 % 399) as timestamp", "named_struct('x', 0.5D) as bbox")
+    probes = spark.range(8000).selectExpr("1L as video", "id * 7919 % 8000 as probe", "id % 400 as t")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    graph.objects_at(objects, entities, probes, 512).drop("bbox").write.parquet(str(tmp_path / "out"))
+    assert written() - before < 3e6
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3000 * 8000
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 24e6
+
+
 BOXED = "video long, frame_id long, class string, {0} long, {1} long, box struct<x double, y double, w double, h double>"
 
 
